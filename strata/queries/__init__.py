@@ -1,3 +1,3 @@
 """Query registrations, grouped like the operator inventory."""
 
-from . import conformed, reports  # noqa: F401
+from . import conformed, marts, reports  # noqa: F401
