@@ -58,7 +58,7 @@ def month_end_snapshots(spark: SparkSession, start, end, name: str = "AS_OF_DATE
     """D3: the last day of every month between ``start`` and ``end``."""
     months = F.sequence(F.trunc(_lit_or_col(start).cast("date"), "MM"),
                         F.trunc(_lit_or_col(end).cast("date"), "MM"), F.expr("interval 1 month"))
-    return _one_row(spark).select(F.last_day(F.explode(months)).alias(name))
+    return _one_row(spark).select(F.explode(months).alias("_m")).select(F.last_day("_m").alias(name))
 
 
 def forecast_horizon(df: DataFrame, snap_col: str, k: int, step_days: int = 30, stop_year=None,

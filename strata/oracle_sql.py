@@ -186,7 +186,8 @@ FROM (SELECT *, cast(MONTH + INTERVAL 1 MONTH as date) FMONTH FROM monthly_lines
 
 
 # ---------------------------------------------------------------- CDL builders (first load: insert all)
-def _cdl(name: str, raw: str, schema, keys: dict[str, str], merge_keys: list[str], where: str = "") -> None:
+def _cdl(name: str, raw: str, schema, keys: dict[str, str], merge_keys: list[str], where: str = "",
+         stamp: str | None = RUN_TS, extra_deps: tuple = ()) -> None:
     proj = []
     for f in schema.fields:
         if f.name == "CDL_LOAD_DATE":
@@ -198,13 +199,14 @@ def _cdl(name: str, raw: str, schema, keys: dict[str, str], merge_keys: list[str
         else:
             proj.append(f.name)
     cols = ", ".join(_cols(schema, ("CDL_LOAD_DATE",)))
+    stamp_sql = f", {stamp} CDL_LOAD_DATE" if stamp else ""
     body = f"""
-SELECT {cols}, {RUN_TS} CDL_LOAD_DATE FROM (
+SELECT {cols}{stamp_sql} FROM (
   SELECT *, row_number() OVER (PARTITION BY {', '.join(merge_keys)}
                                ORDER BY {dedup_order(schema, merge_keys)}) _rn
   FROM (SELECT {', '.join(proj)} FROM {raw} {where}) s) d
 WHERE _rn = 1"""
-    cte(name, body, raw)
+    cte(name, body, raw, *extra_deps)
 
 
 _cdl("cdl_dim_company", "raw_company", S.CDL_DIM_COMPANY, {"KEY_COMPANY": fp("COMPANY_CODE")}, ["KEY_COMPANY"])
@@ -265,3 +267,20 @@ def render(schema, alias: str = "") -> str:
         else:
             out.append(f'{x} AS "{f.name}"')
     return ", ".join(out)
+
+
+def merge_sql(target: str, source: str, schema, keys: list[str], update_cols: list[str],
+              stamp_col: str | None, run_ts_sql: str, null_safe: bool = False) -> str:
+    """MERGE (matched: update ``update_cols`` + stamp; not matched: insert) as a FULL OUTER JOIN."""
+    eq = " AND ".join((f"t.{k} IS NOT DISTINCT FROM s.{k}" if null_safe else f"t.{k} = s.{k}") for k in keys)
+    out = []
+    for f in schema.fields:
+        c = f.name
+        if c == stamp_col:
+            out.append(f"case when s._sp then {run_ts_sql} else t.{c} end {c}")
+        elif c in update_cols:
+            out.append(f"case when s._sp then s.{c} else t.{c} end {c}")
+        else:
+            out.append(f"case when t._tp then t.{c} else s.{c} end {c}")
+    return (f"SELECT {', '.join(out)} FROM (SELECT *, true _tp FROM {target}) t "
+            f"FULL OUTER JOIN (SELECT *, true _sp FROM {source}) s ON {eq}")
