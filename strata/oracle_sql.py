@@ -74,7 +74,8 @@ def _cols(schema, skip=()) -> list[str]:
 
 def dedup_order(schema, keys: list[str], first: str = "RAW_LOAD_DATE DESC NULLS LAST",
                 used=("RAW_LOAD_DATE",)) -> str:
-    tail = [f"{c} ASC NULLS FIRST" for c in _cols(schema, ("CDL_LOAD_DATE",)) if c not in keys and c not in used]
+    tail = [f"{c} ASC NULLS FIRST" for c in _cols(schema, ("CDL_LOAD_DATE",))
+            if c not in keys and c not in used and not c.startswith("KEY_")]
     return ", ".join([first] + tail)
 
 

@@ -31,16 +31,34 @@ def _source(raw: DataFrame, keys: dict[str, Column], schema: T.StructType) -> Da
     return x.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in cols])
 
 
-def _latest(src: DataFrame, merge_keys: list[str]) -> DataFrame:
-    return dedup_latest(src, merge_keys, [F.col("RAW_LOAD_DATE").desc_nulls_last()], ["RAW_LOAD_DATE"])
+def tie_break_columns(schema: T.StructType, merge_keys: list[str]) -> list[str]:
+    """Columns that order rows of one merge key after the load stamp: every stored column except the
+    keys, the stamps and the derived KEY_* hashes (functions of code columns already in the list)."""
+    return [f.name for f in schema.fields if f.name not in merge_keys and not f.name.startswith("KEY_")
+            and f.name not in ("RAW_LOAD_DATE", "CDL_LOAD_DATE")]
+
+
+def _latest(src: DataFrame, merge_keys: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """W1 on the source: newest RAW_LOAD_DATE per merge key, then the tie-break columns ascending."""
+    ties = tie_break_columns(schema, merge_keys) if schema is not None else [
+        c for c in src.columns if c not in merge_keys and not c.startswith("KEY_") and c != "RAW_LOAD_DATE"]
+    order = [F.col("RAW_LOAD_DATE").desc_nulls_last()] + [F.col(c).asc_nulls_first() for c in ties]
+    return dedup_latest(src, merge_keys, order, tie_break=False)
 
 
 def _upsert(raw: DataFrame, keys: dict[str, Column], schema: T.StructType, merge_keys: list[str],
             update_cols: list[str], target: DataFrame | None, run_ts: dt.datetime, dedup: bool = True,
             null_safe: bool = False) -> DataFrame:
-    src = _source(raw, keys, schema)
+    """Dedup first, hash later: only the keys the merge needs are computed before the W1 shuffle;
+    the remaining surrogate keys are computed once per surviving row."""
+    x = raw.withColumnRenamed("LOAD_DATE", "RAW_LOAD_DATE")
+    early = {k: e for k, e in keys.items() if k in merge_keys}
+    x = x.withColumns(early)
     if dedup:
-        src = _latest(src, merge_keys)
+        x = _latest(x, merge_keys, schema)
+    x = x.withColumns({k: e for k, e in keys.items() if k not in merge_keys})
+    cols = [f.name for f in schema.fields if f.name != "CDL_LOAD_DATE"]
+    src = x.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in cols])
     out = merge_upsert(target, src, merge_keys, update_cols + ["RAW_LOAD_DATE"], run_ts, "CDL_LOAD_DATE",
                        null_safe=null_safe)
     return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
