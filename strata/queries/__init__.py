@@ -1,3 +1,3 @@
 """Query registrations, grouped like the operator inventory."""
 
-from . import conformed, marts, quality, relational, reports, scalars, upserts  # noqa: F401
+from . import conformed, io, marts, quality, relational, reports, scalars, upserts  # noqa: F401

@@ -137,14 +137,17 @@ def preview(df: DataFrame, n: int = 10, order_by: list[Column] | None = None) ->
 def schema_from_sample(spark: SparkSession, path: str) -> DataFrame:
     """A sample JSON file (an array, multi-line) described as (column, type, null_only).
 
-    The schema pass is Spark's JSON inference; null-only fields are reported as strings.
+    Types come from Spark's JSON inference; ``null_only`` from one aggregate counting the non-NULL
+    values of every column (inference alone reports an always-NULL field as a string).
     """
     df = spark.read.option("multiLine", True).json(path)
-    rows = []
-    for f in df.schema.fields:
-        null_only = isinstance(f.dataType, T.NullType)
-        rows.append((f.name, "string" if null_only else f.dataType.simpleString(), null_only))
-    return spark.createDataFrame(rows, "column_name string, data_type string, null_only boolean")
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    parts = [F.struct(F.lit(f.name).alias("column_name"),
+                      F.lit("string" if isinstance(f.dataType, T.NullType) else f.dataType.simpleString())
+                      .alias("data_type"),
+                      (F.col(f"c{i}") == 0).alias("null_only"))
+             for i, f in enumerate(df.schema.fields)]
+    return counts.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
 
 # Type names tried in order, narrowest first.
