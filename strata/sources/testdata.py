@@ -120,9 +120,11 @@ def raw_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_lines_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer ⋈ part ⋈ nation, with the columns the RAW rules need.
 
-    lineitem is the big side; orders is the second largest and is shuffle-joined on the order key.
-    customer and part are shuffled or broadcast by AQE depending on their measured size; nation is
-    25 rows at every scale and is broadcast.
+    lineitem ⋈ orders is a sort-merge join on the order key at every scale (the ``merge`` hint):
+    at scale both sides are far above any broadcast bound, and on small inputs a single-row-group
+    file would otherwise pin the whole scan-join-hash pipeline to one task until the first shuffle.
+    customer and part are shuffled or broadcast depending on their (estimated or, with AQE,
+    measured) size; nation is 25 rows at every scale and is broadcast.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag",
@@ -132,7 +134,7 @@ def order_lines_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
+    j = (li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
          .join(c, F.col("o_custkey") == c.c_custkey)
          .join(p, li.l_partkey == p.p_partkey)
          .join(F.broadcast(n), F.col("c_nationkey") == n.n_nationkey))
