@@ -1,3 +1,4 @@
-"""Query registrations, grouped like the operator inventory."""
+"""Query registrations, grouped like the operator inventory (dependency order: marts register the
+mart CTEs the later modules reuse)."""
 
-from . import conformed, io, marts, quality, relational, reports, scalars, upserts  # noqa: F401
+from . import conformed, marts, reports, scalars, relational, quality, upserts, io, history  # noqa: F401
