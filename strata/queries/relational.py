@@ -121,9 +121,9 @@ LEFT JOIN cdl_dim_company c ON s.KEY_COMPANY = c.KEY_COMPANY
 LEFT JOIN cdl_dim_customer cu ON s.KEY_CUSTOMER = cu.KEY_CUSTOMER""",
                              "cdl_fact_sales", "cdl_dim_company", "cdl_dim_customer"))
 def j2(ctx):
-    """Left lookups of names from two dimensions (the company one is 25 rows: broadcast)."""
+    """Left lookups of names from two dimensions (join strategy left to Catalyst and AQE)."""
     s = ctx.cdl["cdl_fact_sales"].select("KEY_COMPANY", "KEY_CUSTOMER", "ORDER_ID", "ORDER_LINE_NO")
-    s = J.enrich(s, ctx.cdl["cdl_dim_company"], "KEY_COMPANY", ["COMPANY_NAME", "REGION"], broadcast_dim=True)
+    s = J.enrich(s, ctx.cdl["cdl_dim_company"], "KEY_COMPANY", ["COMPANY_NAME", "REGION"])
     s = J.enrich(s, ctx.cdl["cdl_dim_customer"], "KEY_CUSTOMER", ["CUSTOMER_TYPE"])
     return s.drop("KEY_COMPANY", "KEY_CUSTOMER")
 
