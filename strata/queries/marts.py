@@ -35,9 +35,15 @@ def b1(ctx):
     return M.fact_sales_summary(c["cdl_fact_sales"], c["cdl_dim_product"], c["cdl_dim_company"])
 
 
-def as_of_latest_sale(ctx):
-    """The as-of date of B2: the latest transaction date in the data (T8: a required argument)."""
-    return ctx.cdl["cdl_fact_sales"].select(F.max("TRANSACTION_DATE")).scalar()
+AS_OF_SQL = "(SELECT max(cast(o_orderdate as date)) FROM orders)"
+
+
+def as_of_latest_order(ctx):
+    """The as-of date used by the registry (T8: a required argument): the latest order date.
+
+    A scalar subquery over one column of ``orders`` (answered from Parquet statistics at scale), not
+    over the conformed fact, which would re-run its whole deduplicating pipeline just for a date."""
+    return ctx.table("orders").select(F.max("o_orderdate").cast("date")).scalar()
 
 
 O.cte("b2_mart", """
@@ -67,12 +73,12 @@ LEFT JOIN (SELECT KEY_PRODUCT, KEY_COMPANY, sum(RETURN_QTY) TOTAL_RETURN_QTY,
 LEFT JOIN (SELECT KEY_PRODUCT, PRICE FROM (
              SELECT *, row_number() OVER (PARTITION BY KEY_PRODUCT ORDER BY EFFECTIVE_DATE DESC) rn
              FROM cdl_fact_product_price WHERE PRICE_TYPE = 'LIST'
-               AND (SELECT max(TRANSACTION_DATE) FROM cdl_fact_sales) BETWEEN EFFECTIVE_DATE AND EXPIRY_DATE) x
+               AND (SELECT max(cast(o_orderdate as date)) FROM orders) BETWEEN EFFECTIVE_DATE AND EXPIRY_DATE) x
            WHERE rn = 1) lp ON s.KEY_PRODUCT = lp.KEY_PRODUCT
 LEFT JOIN (SELECT KEY_PRODUCT, COST FROM (
              SELECT *, row_number() OVER (PARTITION BY KEY_PRODUCT ORDER BY EFFECTIVE_DATE DESC) rn
              FROM cdl_fact_product_cost WHERE COST_TYPE = 'EX-FACTORY'
-               AND (SELECT max(TRANSACTION_DATE) FROM cdl_fact_sales) BETWEEN EFFECTIVE_DATE AND EXPIRY_DATE) x
+               AND (SELECT max(cast(o_orderdate as date)) FROM orders) BETWEEN EFFECTIVE_DATE AND EXPIRY_DATE) x
            WHERE rn = 1) uc ON s.KEY_PRODUCT = uc.KEY_PRODUCT
 LEFT JOIN cdl_dim_product p ON s.KEY_PRODUCT = p.KEY_PRODUCT""",
       "cdl_fact_sales", "cdl_fact_returns", "cdl_fact_product_price", "cdl_fact_product_cost", "cdl_dim_product")
@@ -81,10 +87,10 @@ LEFT JOIN cdl_dim_product p ON s.KEY_PRODUCT = p.KEY_PRODUCT""",
 @register("b2_fact_product_profitability",
           O.sql(f"SELECT {O.render(S.FACT_PRODUCT_PROFITABILITY)} FROM b2_mart", "b2_mart"))
 def b2(ctx):
-    """B2: fact_product_profitability as of the latest sale, LIST price, EX-FACTORY cost."""
+    """B2: fact_product_profitability as of the latest order date, LIST price, EX-FACTORY cost."""
     c = ctx.cdl
     return M.fact_product_profitability(c["cdl_fact_sales"], c["cdl_fact_returns"], c["cdl_fact_product_price"],
-                                        c["cdl_fact_product_cost"], c["cdl_dim_product"], as_of_latest_sale(ctx))
+                                        c["cdl_fact_product_cost"], c["cdl_dim_product"], as_of_latest_order(ctx))
 
 
 _G = "KEY_PRODUCT, KEY_COMPANY, KEY_SELLING_METHOD, AS_OF_DATE, FORECAST_DATE, TOY_NO, COMPANY_CODE, " \

@@ -24,11 +24,12 @@ O.cte("runs", """SELECT cast(user_id as varchar) run_id, ts run_timestamp, event
        'table_' || cast(event_id % 7 as varchar) table_name,
        case when event_type = 'error' then 'failed' else 'success' end status, event_id rows_affected,
        value duration_seconds, case when event_type = 'error' then props end error_message, ts created_at FROM events""")
-_AS_OF = "(SELECT max(TRANSACTION_DATE) FROM cdl_fact_sales)"
+_AS_OF = "(SELECT max(cast(o_orderdate as date)) FROM orders)"
 
 
 def _as_of(ctx):
-    return ctx.cdl["cdl_fact_sales"].select(F.max("TRANSACTION_DATE")).scalar()
+    from .marts import as_of_latest_order
+    return as_of_latest_order(ctx)
 
 
 # ---------------------------------------------------------------- filters
@@ -361,7 +362,7 @@ SELECT TOY_NO, cast(PRICE as varchar) PRICE FROM (
   WHERE PRICE_TYPE = 'LIST' AND {_AS_OF} BETWEEN EFFECTIVE_DATE AND EXPIRY_DATE) p WHERE rn = 1""",
                                     "cdl_fact_product_price", "cdl_fact_sales"))
 def w4(ctx):
-    """Latest valid LIST price per product as of the latest sale."""
+    """Latest valid LIST price per product as of the latest order date."""
     return W.current_price(ctx.cdl["cdl_fact_product_price"], _as_of(ctx), "PRICE_TYPE", "LIST").select(
         "TOY_NO", "PRICE")
 
