@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,3 +178,39 @@ def infer_column_types(df: DataFrame, cols: list[str] | None = None, with_timest
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def merge_partitions(spark: SparkSession, path: str, source: DataFrame, partition_col: str,
+                     merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+    """MERGE into a large partitioned table, rewriting only the partitions the source touches.
+
+    ``partition_col`` must be a function of the merge key that never changes for a key (e.g. the
+    month of a non-updatable order date), so a key's target row and its source row share a partition.
+    Steps: (1) the touched partition values (a distinct over the source; bounded by the number of
+    partitions, e.g. months); (2) the target restricted to them — a partition-pruned scan; (3) the
+    merge; (4) the merged partitions written to a staging folder; (5) the staging folder copied over
+    the table with dynamic partition overwrite, replacing exactly the touched partitions.
+    Re-running after a failure at any step is safe: the merge is idempotent for a given source and
+    run stamp, and untouched partitions are never written.
+    """
+    exists = _has_parquet(spark, path)
+    touched = [r[0] for r in source.select(partition_col).distinct().collect()]  # one value per partition
+    if exists:
+        target = spark.read.parquet(path)
+        part_t = target.schema[partition_col].dataType
+        target = target.filter(F.col(partition_col).isin([F.lit(v).cast(part_t) for v in touched]))
+    else:
+        target = None
+    merged = merge(target, source)
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    merged.write.mode("overwrite").partitionBy(partition_col).parquet(staging)
+    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(path))
+
+
+def _has_parquet(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema  # noqa: B018 - metadata only
+        return True
+    except Exception:  # noqa: BLE001 - no table yet
+        return False
