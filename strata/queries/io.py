@@ -110,16 +110,31 @@ def r1(ctx):
 
 @register("r2_refresh_bl")
 def r2(ctx):
-    """R2 + R3: every mart refreshed; a failing mart is logged and the others still run."""
-    from .marts import b1, b2, b3
+    """R2 + R3: the CDL layer is refreshed and written first (R1); every mart is then built from the
+    *written* conformed tables (lineage cut at the layer boundary) and written; a failing mart is
+    logged and the others still run."""
+    from ..plans import marts as M
+    from .marts import as_of_latest_order
     root = _scratch(ctx, "warehouse")
+    log = R.refresh_cdl(ctx.spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="bl")
+    c = R.written_cdl(ctx.spark, root)
 
     def broken():
         raise RuntimeError("mart definition refers to a missing column")
 
-    marts = {"fact_sales_summary": lambda: b1(ctx), "fact_product_profitability": lambda: b2(ctx),
-             "broken_mart": broken, "fact_demand_vs_sales": lambda: b3(ctx)}
-    return R.log_frame(ctx.spark, R.refresh_bl(ctx.spark, marts, root, DEFAULT_RUN_TS, run_id="bl"))
+    marts = {
+        "fact_sales_summary": lambda: M.fact_sales_summary(c["cdl_fact_sales"], c["cdl_dim_product"],
+                                                           c["cdl_dim_company"]),
+        "fact_product_profitability": lambda: M.fact_product_profitability(
+            c["cdl_fact_sales"], c["cdl_fact_returns"], c["cdl_fact_product_price"], c["cdl_fact_product_cost"],
+            c["cdl_dim_product"], as_of_latest_order(ctx)),
+        "broken_mart": broken,
+        "fact_demand_vs_sales": lambda: M.fact_demand_vs_sales(
+            c["cdl_fact_demand_forecast"], c["cdl_fact_sales_forecast"], c["cdl_fact_sales"], c["cdl_dim_product"],
+            c["cdl_dim_company"]),
+    }
+    log += R.refresh_bl(ctx.spark, marts, root, DEFAULT_RUN_TS, run_id="bl")
+    return R.log_frame(ctx.spark, log)
 
 
 @register("r6_stream_upsert")

@@ -11,6 +11,8 @@ from ..operators import joins as J
 from ..operators import spines as D
 from ..operators import windows as W
 from ..registry import register
+from ..sources import schemas as S
+from .scalars import _categorize_sql as categorize_sql
 from ..sources.testdata import pipeline_artifacts, pipeline_lessons, pipeline_runs
 
 _ART = """SELECT cast(event_id as varchar) artifact_id, 'mart_' || cast(user_id as varchar) || '.yaml' filename,
@@ -291,7 +293,7 @@ def a7(ctx):
 
 
 O.cte("lessons", f"""SELECT cast(doc_id as varchar) id, source context, text error_message, lang fix_description,
-       {__import__('strata.queries.scalars', fromlist=['x'])._categorize_sql('text')} error_category FROM documents""")
+       {categorize_sql('text')} error_category FROM documents""")
 
 
 @register("a8_top_lessons", O.sql("""
@@ -324,7 +326,7 @@ def a9(ctx):
 
 # ---------------------------------------------------------------- windows
 @register("w1_dedup_latest", O.sql(f"""
-SELECT {O.render(__import__('strata.sources.schemas', fromlist=['x']).RAW_RETURN)} FROM (
+SELECT {O.render(S.RAW_RETURN)} FROM (
   SELECT *, row_number() OVER (PARTITION BY RETURN_ID ORDER BY LOAD_DATE DESC NULLS LAST, ORDER_ID NULLS FIRST,
     ORDER_LINE_NO NULLS FIRST, RETURN_DATE NULLS FIRST, COMPANY_CODE NULLS FIRST, TOY_NO NULLS FIRST,
     DASH_CODE NULLS FIRST, RETURN_QTY NULLS FIRST, RETURN_VALUE NULLS FIRST, RETURN_REASON NULLS FIRST,

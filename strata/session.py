@@ -31,12 +31,38 @@ SCALE_CONF = {
 }
 
 
+ADVISORY_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def sized_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Shuffle sizing for a job reading ``input_bytes`` on ``total_cores`` task slots.
+
+    AQE coalesces small shuffle partitions but never splits a large one (skew aside), so the initial
+    partition count must be sized for the largest shuffle: about one advisory-size (128 MiB) partition
+    per 128 MiB of input, and at least two tasks per core. 100 TB on 1000 executors × 8 cores gives
+    ~800k initial partitions, which AQE then coalesces stage by stage to what each shuffle really holds.
+    Scan splits stay at 128 MiB, so a scan task's input fits comfortably in executor memory.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // ADVISORY_PARTITION_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(ADVISORY_PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(ADVISORY_PARTITION_BYTES),
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "strata", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "strata", extra: dict | None = None,
+                  input_bytes: int | None = None, total_cores: int | None = None) -> SparkSession:
+    """A session with the scale settings. ``input_bytes`` + ``total_cores`` size the shuffles for the
+    data at hand (``sized_conf``); ``shuffle_partitions`` sets the count directly (local tests)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(SCALE_CONF)
+    if input_bytes and total_cores:
+        conf.update(sized_conf(input_bytes, total_cores))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

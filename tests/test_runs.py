@@ -128,3 +128,17 @@ def test_merge_partitions_rewrites_only_touched(spark):
     assert sorted(os.listdir(os.path.join(path, "m=1"))) == untouched          # partition 1 never rewritten
     got = sorted((r.k, r.v, r.m) for r in spark.read.parquet(path).collect())
     assert got == [(1, "a", 1), (2, "B", 2), (3, "c", 2)]
+
+
+def test_marts_from_written_cdl_match_lazy_plans(spark):
+    log = E.queries()["r2_refresh_bl"](spark, SF).collect()
+    counts = {r.table_name: r.rows_affected for r in log}
+    assert counts["fact_sales_summary"] == E.queries()["b1_fact_sales_summary"](spark, SF).count()
+    assert counts["fact_demand_vs_sales"] == E.queries()["b3_fact_demand_vs_sales"](spark, SF).count()
+    assert {r.status for r in log if r.table_name == "broken_mart"} == {"failed"}
+
+
+def test_sized_conf():
+    from strata.session import sized_conf
+    assert sized_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"] == str(100 * 2**40 // 2**27)
+    assert sized_conf(10, 8)["spark.sql.shuffle.partitions"] == "16"
