@@ -122,11 +122,18 @@ def fact_demand_vs_sales(demand: DataFrame, sales_fc: DataFrame, sales: DataFram
 def build_mart(df: DataFrame, keys: list[str], required: list[str], run_ts: dt.datetime,
                source_system: str, target: DataFrame | None = None, schema=None,
                order: list[Column] | None = None) -> DataFrame:
-    """The common tail of every mart: DISTINCT → latest per key → defaults → ADMIN → MERGE."""
-    x = df.distinct()
-    x = dedup_latest(x, keys, order or [], [])
-    x = fill_defaults(x if schema is None else conform(x, schema))
+    """The common tail of every mart: DISTINCT → latest per key → defaults → ADMIN → MERGE.
+
+    Planned as: defaults and the ADMIN block first, then one row per composite-key hash (W1 with a
+    total tie-break over the data columns). Keeping one row per key subsumes DISTINCT (identical rows
+    share their key), and deduplicating on the hash — the MERGE key — leaves the source partitioned
+    exactly as the MERGE join needs it, so the only shuffles are the W1 exchange and the target's side.
+    """
+    x = fill_defaults(df if schema is None else conform(df, schema))
+    data_cols = list(x.columns)
     x = add_admin(x, keys, required, run_ts, source_system)
+    ties = [F.col(c).asc_nulls_first() for c in data_cols]
+    x = dedup_latest(x, ["ADMIN_COMPOSITEKEY_HASH"], list(order or []) + ties, tie_break=False)
     return merge_mart(target, x, run_ts)
 
 
