@@ -90,8 +90,8 @@ def selling_method_source(spark: SparkSession, observed: DataFrame | None = None
     if observed is None:
         return lit
     codes = observed.select("SELLING_METHOD_CODE").distinct().filter(F.col("SELLING_METHOD_CODE").isNotNull())
-    # the literal side is 4 rows: a bounded broadcast
-    return codes.join(F.broadcast(lit), "SELLING_METHOD_CODE", "full_outer")
+    # FULL OUTER cannot broadcast a side; both sides are a handful of rows after the distinct
+    return codes.join(lit, "SELLING_METHOD_CODE", "full_outer")
 
 
 def build_dim_selling_method(spark: SparkSession, observed: DataFrame | None = None,

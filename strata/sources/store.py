@@ -1,9 +1,10 @@
 """Sources, sinks and table management.
 
 Tables live as Parquet directories under one root per layer (``raw/ cdl/ bl/ br/ ops/``) in a
-shared folder. A full refresh writes a new version directory and then repoints ``_CURRENT``, so a
-reader never sees a half-written table and a failed write leaves the previous version intact (a
-retried job simply writes the next version). Nothing here collects data rows to the driver.
+shared folder. A full refresh writes a new, sequence-numbered version directory; the version becomes
+current when Spark's job commit writes its ``_SUCCESS`` marker, so a reader never sees a half-written
+table and a failed write leaves the previous version current (a retried job writes the next version).
+Nothing here collects data rows to the driver.
 """
 
 from __future__ import annotations
@@ -58,14 +59,38 @@ def table_path(root: str, layer: str, table: str) -> str:
     return os.path.join(root, layer, table)
 
 
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop FileSystem of ``path`` (HDFS, S3A, GCS, local: whatever the cluster configures)."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def _version_dirs(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(name, committed) of every version directory, oldest first."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v-"):
+            committed = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+            out.append((name, bool(committed)))
+    return sorted(out)
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
-    """The version directory a table points to (``_CURRENT`` holds its name), or None."""
-    pointer = os.path.join(path, "_CURRENT")
-    try:
-        rows = spark.read.text(pointer).collect()  # one line
-    except Exception:  # noqa: BLE001 - missing table
-        return None
-    return os.path.join(path, rows[0].value.strip()) if rows else None
+    """The newest committed version directory of a table (None when the table does not exist).
+
+    A version counts only once Spark's job commit has written its ``_SUCCESS`` marker, so a write
+    that died half-way (lost executors, killed driver) is never read."""
+    done = [n for n, ok in _version_dirs(spark, path) if ok]
+    return os.path.join(path, done[-1]) if done else None
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -73,22 +98,33 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(v) if v else None
 
 
-def _swap(spark: SparkSession, path: str, version: str) -> None:
-    tmp = os.path.join(path, f"_pointer-{uuid.uuid4().hex}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(tmp)
-    spark.read.text(tmp).coalesce(1).write.mode("overwrite").text(os.path.join(path, "_CURRENT"))
-
-
 def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """DELETE + INSERT as write-new-version-then-swap. Returns the new version directory."""
+    """DELETE + INSERT as write-a-new-version: readers switch when the job commits.
+
+    Version names carry a zero-padded sequence number (after every earlier attempt, committed or
+    not), so "newest committed" is well defined and a retried job simply writes the next version."""
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    w = df.write.mode("overwrite")
+    seq = len(_version_dirs(spark, path)) + 1
+    target = os.path.join(path, f"v-{seq:010d}-{uuid.uuid4().hex[:8]}")
+    w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(os.path.join(path, version))
-    _swap(spark, path, version)
-    return os.path.join(path, version)
+    w.parquet(target)
+    return target
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete all but the ``keep`` newest committed versions (and failed attempts older than them)."""
+    dirs = _version_dirs(spark, path)
+    done = [n for n, ok in dirs if ok]
+    if len(done) <= keep:
+        return []
+    oldest_kept = done[-keep]
+    doomed = [n for n, _ in dirs if n < oldest_kept]
+    fs, p = _fs(spark, path)
+    for n in doomed:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p, n), True)
+    return doomed
 
 
 load_truncate = full_refresh
@@ -193,7 +229,7 @@ def merge_partitions(spark: SparkSession, path: str, source: DataFrame, partitio
     Re-running after a failure at any step is safe: the merge is idempotent for a given source and
     run stamp, and untouched partitions are never written.
     """
-    exists = _has_parquet(spark, path)
+    exists = path_exists(spark, path)
     touched = [r[0] for r in source.select(partition_col).distinct().collect()]  # one value per partition
     if exists:
         target = spark.read.parquet(path)
@@ -206,11 +242,3 @@ def merge_partitions(spark: SparkSession, path: str, source: DataFrame, partitio
     merged.write.mode("overwrite").partitionBy(partition_col).parquet(staging)
     (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
-
-
-def _has_parquet(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - metadata only
-        return True
-    except Exception:  # noqa: BLE001 - no table yet
-        return False

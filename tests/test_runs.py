@@ -142,3 +142,17 @@ def test_sized_conf():
     from strata.session import sized_conf
     assert sized_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"] == str(100 * 2**40 // 2**27)
     assert sized_conf(10, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_uncommitted_version_is_never_read(spark):
+    path = tempfile.mkdtemp(prefix="strata-test-")
+    store.full_refresh(spark.range(3).toDF("x"), path)
+    crashed = os.path.join(path, "v-0000000002-deadbeef")
+    spark.range(7).toDF("x").write.parquet(crashed)
+    os.remove(os.path.join(crashed, "_SUCCESS"))            # as if the job died before its commit
+    assert store.read_table(spark, path).count() == 3
+    v3 = store.full_refresh(spark.range(5).toDF("x"), path)  # a retry writes the next version
+    assert store.current_version(spark, path) == v3 and store.read_table(spark, path).count() == 5
+    store.full_refresh(spark.range(6).toDF("x"), path)
+    removed = store.vacuum(spark, path, keep=2)
+    assert len(removed) == 2 and store.read_table(spark, path).count() == 6
