@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..plans import runs as R
 from ..plans.cdl import DEFAULT_RUN_TS, build_fact_sales
+from .. import oracle_sql as O
 from ..registry import register
+from . import relational as _rel  # noqa: F401  (registers the runs/lessons CTEs)
 from ..session import scratch_root
 from ..sources import schemas as S
 from ..sources import store
@@ -26,7 +28,7 @@ def _scratch(ctx, what: str) -> str:
     return os.path.join(scratch_root(ctx.spark), f"{what}-{uuid.uuid4().hex}")
 
 
-@register("s1_read_raw_jsonl")
+@register("s1_read_raw_jsonl", O.sql(f"SELECT {O.render(S.RAW_RETURN)} FROM raw_return", "raw_return"))
 def s1(ctx):
     """S1 + S3: RAW returns written as NDJSON (ISO dates), read back with the declared schema, FAILFAST."""
     path = _scratch(ctx, "jsonl")
@@ -34,7 +36,7 @@ def s1(ctx):
     return store.read_raw_jsonl(ctx.spark, path, S.RAW_RETURN)
 
 
-@register("s2_read_raw_csv")
+@register("s2_read_raw_csv", O.sql(f"SELECT {O.render(S.RAW_CUSTOMER)} FROM raw_customer", "raw_customer"))
 def s2(ctx):
     """RAW customers written as headered CSV and read back with the declared schema."""
     path = _scratch(ctx, "csv")
@@ -42,7 +44,7 @@ def s2(ctx):
     return store.read_raw_csv(ctx.spark, path, S.RAW_CUSTOMER)
 
 
-@register("s4_load_truncate")
+@register("s4_load_truncate", O.sql(f"SELECT {O.render(S.RAW_PRODUCT)} FROM raw_product", "raw_product"))
 def s4(ctx):
     """Truncate-and-load twice; readers see exactly the second load (version swap)."""
     path = _scratch(ctx, "table")
@@ -51,7 +53,7 @@ def s4(ctx):
     return store.read_table(ctx.spark, path)
 
 
-@register("s5_ensure_table_append_log")
+@register("s5_ensure_table_append_log", O.sql(f"SELECT {O.render(S.PIPELINE_RUNS)} FROM runs", "runs"))
 def s5(ctx):
     """S5 + S6: create the run-log table only if missing (typed, empty), then append records twice
     (the second ensure is a no-op)."""
@@ -88,7 +90,7 @@ def s10(ctx):
     return store.schema_from_sample(ctx.spark, path)
 
 
-@register("m7_replace_table")
+@register("m7_replace_table", O.sql("SELECT COMPANY_CODE, REGION, CURRENCY_CODE FROM raw_company", "raw_company"))
 def m7(ctx):
     """M7: CREATE OR REPLACE: the second version of the table has a different schema."""
     path = _scratch(ctx, "replace")
@@ -137,7 +139,7 @@ def r2(ctx):
     return R.log_frame(ctx.spark, log)
 
 
-@register("r6_stream_upsert")
+@register("r6_stream_upsert", O.sql(f"SELECT {O.render(S.CDL_FACT_SALES)} FROM cdl_fact_sales", "cdl_fact_sales"))
 def r6(ctx):
     """RAW order-line files arriving in two drops are streamed (availableNow) into staging and
     merged into the sales fact; equals the batch build (c8)."""
