@@ -33,6 +33,13 @@ def rollup_sales(fact: DataFrame, dims: list, qty: str = "ORDER_QTY", value: str
         F.sum(F.col(value).cast("decimal(18,2)")).alias("total_value"))
 
 
+def count_distinct(c, approx: bool = False, rsd: float = 0.01) -> Column:
+    """A2: COUNT DISTINCT; ``approx`` switches to HyperLogLog++ (``approx_count_distinct``), one
+    fixed-size sketch per group and task instead of a second shuffle of (group, value) pairs."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.approx_count_distinct(col, rsd) if approx else F.count_distinct(col)
+
+
 def ratio_of_sums(n, d) -> Column:
     """A3: SAFE_DIVIDE(SUM(n), SUM(d))."""
     return safe_divide(F.sum(n), F.sum(d))

@@ -33,15 +33,18 @@ INLIST_MAX = 1000
 
 
 def filter_in(df: DataFrame, col: str, values) -> DataFrame:
-    """IN-list. A short literal list stays a pushed-down ``In`` predicate; a DataFrame of values
-    becomes a ``left_semi`` join (AQE broadcasts it when its measured size is small)."""
+    """IN-list. A short literal list stays a pushed-down ``In`` predicate; a long Python list
+    becomes a broadcast ``left_semi`` join (its size is known: it is already in driver memory); a
+    DataFrame of values becomes a ``left_semi`` join that AQE broadcasts when its measured size is small."""
     if isinstance(values, DataFrame):
         vcol = values.columns[0]
         return df.join(values.select(F.col(vcol).alias(col)).distinct(), col, "left_semi")
-    vals = list(values)
-    if len(vals) > INLIST_MAX:
-        raise ValueError("pass a DataFrame of values for long lists")
-    return df.filter(F.col(col).isin(vals))
+    vals = list(dict.fromkeys(values))
+    if len(vals) <= INLIST_MAX:
+        return df.filter(F.col(col).isin(vals))
+    dtype = df.schema[col].dataType
+    lookup = df.sparkSession.createDataFrame([(v,) for v in vals], f"{col} {dtype.simpleString()}")
+    return df.join(F.broadcast(lookup), col, "left_semi")
 
 
 def require_grain(df: DataFrame, cols: Iterable[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_admin, conform, fill_defaults, safe_divide
+from ..operators.aggs import count_distinct
 from ..operators.filters import require_grain
 from ..operators.joins import drill_across, enrich, grain_left_join, month_join
 from ..operators.merge import merge_mart
@@ -25,16 +26,18 @@ SALES_SUMMARY_GRAIN = ["KEY_CALENDAR", "KEY_PRODUCT", "KEY_COMPANY", "KEY_CUSTOM
                        "CURRENCY_CODE"]
 
 
-def fact_sales_summary(sales: DataFrame, product: DataFrame, company: DataFrame) -> DataFrame:
+def fact_sales_summary(sales: DataFrame, product: DataFrame, company: DataFrame,
+                       approx_order_count: bool = False) -> DataFrame:
     """B1: per product, company, customer, method, date, currency: sums, ASP, average discount,
-    distinct orders; names looked up; measures default 0."""
+    distinct orders (exact by default; ``approx_order_count`` uses HyperLogLog++ for very large
+    grains); names looked up; measures default 0."""
     g = sales.groupBy(*SALES_SUMMARY_GRAIN).agg(
         F.sum("ORDER_QTY").alias("TOTAL_ORDER_QTY"),
         F.sum("ORDER_VALUE").alias("TOTAL_ORDER_VALUE"),
         F.sum("ORDER_LIST_VALUE").alias("TOTAL_LIST_VALUE"),
         safe_divide(F.sum(F.col("ORDER_VALUE").cast("decimal(18,2)")), F.sum("ORDER_QTY")).alias("AVG_SELLING_PRICE"),
         (F.sum("DISCOUNT_PCT").cast("double") / F.count("DISCOUNT_PCT")).alias("AVG_DISCOUNT_PCT"),
-        F.countDistinct("ORDER_ID").alias("ORDER_COUNT"))
+        count_distinct("ORDER_ID", approx_order_count).alias("ORDER_COUNT"))
     g = g.withColumns({"TRANSACTION_YEAR": F.year("TRANSACTION_DATE"),
                        "TRANSACTION_MONTH": F.month("TRANSACTION_DATE")})
     g = enrich(g, company, "KEY_COMPANY", ["COMPANY_NAME"])

@@ -240,8 +240,8 @@ SELECT COMPANY_CODE, count(DISTINCT ORDER_ID) orders, count(DISTINCT CUSTOMER_CO
 FROM cdl_fact_sales GROUP BY 1""", "cdl_fact_sales"))
 def a2(ctx):
     """A2: COUNT DISTINCT (exact)."""
-    return ctx.cdl["cdl_fact_sales"].groupBy("COMPANY_CODE").agg(F.countDistinct("ORDER_ID").alias("orders"),
-                                                                 F.countDistinct("CUSTOMER_CODE").alias("customers"))
+    return ctx.cdl["cdl_fact_sales"].groupBy("COMPANY_CODE").agg(A.count_distinct("ORDER_ID").alias("orders"),
+                                                                 A.count_distinct("CUSTOMER_CODE").alias("customers"))
 
 
 @register("a3_ratio_of_sums", O.sql("""

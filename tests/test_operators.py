@@ -179,3 +179,21 @@ def test_bounded_broadcast(spark):
     assert J.bounded_broadcast(small, 10) is not small      # hinted copy
     assert J.bounded_broadcast(big, 10) is big              # bound refuted: left to the optimizer
     assert J.bounded_broadcast(big, 10, known_bound=4) is not big
+
+
+def test_filter_in_long_list_becomes_semi_join(spark):
+    from strata.operators.filters import INLIST_MAX, filter_in
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    vals = list(range(0, 5000, 2)) + [1, 1]
+    assert len(vals) > INLIST_MAX
+    out = filter_in(df, "k", vals)
+    assert out.count() == 2501
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert filter_in(df, "k", [3, 4]).count() == 2
+
+
+def test_approx_count_distinct_close(spark):
+    df = spark.range(20000).selectExpr("id % 3 AS g", "id AS v")
+    exact = {r.g: r.n for r in df.groupBy("g").agg(A.count_distinct("v").alias("n")).collect()}
+    approx = {r.g: r.n for r in df.groupBy("g").agg(A.count_distinct("v", approx=True).alias("n")).collect()}
+    assert all(abs(approx[g] - exact[g]) / exact[g] < 0.05 for g in exact)
