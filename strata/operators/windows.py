@@ -29,7 +29,8 @@ def dedup_latest(df: DataFrame, keys: list[str], order: list[Column] | None = No
     """
     ords = _order(df, keys, order, order_names or []) if tie_break else list(order or [])
     w = Window.partitionBy(*keys).orderBy(*ords)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    cols = df.columns
+    return df.select("*", F.row_number().over(w).alias("_rn")).filter(F.col("_rn") == 1).select(*cols)
 
 
 def active_artifacts(df: DataFrame, key: str = "target_table") -> DataFrame:

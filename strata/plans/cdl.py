@@ -50,15 +50,23 @@ def _upsert(raw: DataFrame, keys: dict[str, Column], schema: T.StructType, merge
             update_cols: list[str], target: DataFrame | None, run_ts: dt.datetime, dedup: bool = True,
             null_safe: bool = False) -> DataFrame:
     """Dedup first, hash later: only the keys the merge needs are computed before the W1 shuffle;
-    the remaining surrogate keys are computed once per surviving row."""
-    x = raw.withColumnRenamed("LOAD_DATE", "RAW_LOAD_DATE")
+    the remaining surrogate keys are computed once per surviving row. Written as two projections
+    around the window (plus the MERGE join when there is a target)."""
     early = {k: e for k, e in keys.items() if k in merge_keys}
-    x = x.withColumns(early)
+    x = raw.select(*[F.col(c) for c in raw.columns if c != "LOAD_DATE"],
+                   F.col("LOAD_DATE").alias("RAW_LOAD_DATE"), *[e.alias(k) for k, e in early.items()])
     if dedup:
         x = _latest(x, merge_keys, schema)
-    x = x.withColumns({k: e for k, e in keys.items() if k not in merge_keys})
-    cols = [f.name for f in schema.fields if f.name != "CDL_LOAD_DATE"]
-    src = x.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in cols])
+    late = {k: e for k, e in keys.items() if k not in merge_keys}
+    ts = F.lit(run_ts).cast("timestamp")
+
+    def col(f: T.StructField) -> Column:
+        e = late[f.name] if f.name in late else F.col(f.name)
+        return e.cast(f.dataType).alias(f.name)
+
+    if target is None:
+        return x.select(*[(ts.alias(f.name) if f.name == "CDL_LOAD_DATE" else col(f)) for f in schema.fields])
+    src = x.select(*[col(f) for f in schema.fields if f.name != "CDL_LOAD_DATE"])
     out = merge_upsert(target, src, merge_keys, update_cols + ["RAW_LOAD_DATE"], run_ts, "CDL_LOAD_DATE",
                        null_safe=null_safe)
     return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
