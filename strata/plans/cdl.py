@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import calendar_key, fingerprint64, product_key
 from ..functions.scalars import SELLING_METHODS
-from ..operators.merge import merge_insert_only, merge_upsert
+from ..operators.merge import assert_unique_source, merge_insert_only, merge_upsert
 from ..operators.spines import calendar_dim
 from ..operators.windows import dedup_latest
 from ..sources import schemas as S
@@ -48,14 +48,17 @@ def _latest(src: DataFrame, merge_keys: list[str], schema: T.StructType | None =
 
 def _upsert(raw: DataFrame, keys: dict[str, Column], schema: T.StructType, merge_keys: list[str],
             update_cols: list[str], target: DataFrame | None, run_ts: dt.datetime, dedup: bool = True,
-            null_safe: bool = False) -> DataFrame:
+            null_safe: bool = False, strict: bool = False) -> DataFrame:
     """Dedup first, hash later: only the keys the merge needs are computed before the W1 shuffle;
     the remaining surrogate keys are computed once per surviving row. Written as two projections
     around the window (plus the MERGE join when there is a target)."""
     early = {k: e for k, e in keys.items() if k in merge_keys}
     x = raw.select(*[F.col(c) for c in raw.columns if c != "LOAD_DATE"],
                    F.col("LOAD_DATE").alias("RAW_LOAD_DATE"), *[e.alias(k) for k, e in early.items()])
-    if dedup:
+    if strict:
+        # M4 as a hard guard: a merge key carried by two source rows fails the build (T5)
+        assert_unique_source(x, merge_keys)
+    elif dedup:
         x = _latest(x, merge_keys, schema)
     late = {k: e for k, e in keys.items() if k not in merge_keys}
     ts = F.lit(run_ts).cast("timestamp")
@@ -72,24 +75,24 @@ def _upsert(raw: DataFrame, keys: dict[str, Column], schema: T.StructType, merge
     return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
-def build_dim_company(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS) -> DataFrame:
+def build_dim_company(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
     """C1."""
     upd = ["COMPANY_NAME", "REGION", "CURRENCY_CODE", "GEOGRAPHIC_SECURITY_CODE", "COUNTRY", "STATUS"]
     return _upsert(raw, {"KEY_COMPANY": fingerprint64("COMPANY_CODE")}, S.CDL_DIM_COMPANY, ["KEY_COMPANY"],
-                   upd, target, run_ts)
+                   upd, target, run_ts, strict=strict)
 
 
-def build_dim_customer(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS) -> DataFrame:
+def build_dim_customer(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
     """C2."""
     upd = ["CUSTOMER_NAME", "CUSTOMER_TYPE", "STATUS", "CREDIT_LIMIT", "PAYMENT_TERMS"]
     return _upsert(raw, {"KEY_CUSTOMER": fingerprint64("CUSTOMER_CODE")}, S.CDL_DIM_CUSTOMER, ["KEY_CUSTOMER"],
-                   upd, target, run_ts)
+                   upd, target, run_ts, strict=strict)
 
 
-def build_dim_product(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS) -> DataFrame:
+def build_dim_product(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
     """C3."""
     upd = ["PRODUCT_NAME", "CATEGORY", "BRAND", "STATUS", "LAUNCH_DATE", "WEIGHT_KG"]
-    return _upsert(raw, {"KEY_PRODUCT": product_key()}, S.CDL_DIM_PRODUCT, ["KEY_PRODUCT"], upd, target, run_ts)
+    return _upsert(raw, {"KEY_PRODUCT": product_key()}, S.CDL_DIM_PRODUCT, ["KEY_PRODUCT"], upd, target, run_ts, strict=strict)
 
 
 def selling_method_source(spark: SparkSession, observed: DataFrame | None = None) -> DataFrame:
@@ -120,19 +123,19 @@ def build_dim_calendar(spark: SparkSession, start, end, target: DataFrame | None
 
 
 def build_fact_product_price(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS,
-                             null_safe: bool = False) -> DataFrame:
+                             null_safe: bool = False, strict: bool = False) -> DataFrame:
     """C6."""
     return _upsert(raw, {"KEY_PRODUCT": product_key()}, S.CDL_FACT_PRODUCT_PRICE,
                    ["KEY_PRODUCT", "PRICE_TYPE", "EFFECTIVE_DATE"], ["PRICE", "CURRENCY_CODE", "EXPIRY_DATE"],
-                   target, run_ts, null_safe=null_safe)
+                   target, run_ts, null_safe=null_safe, strict=strict)
 
 
 def build_fact_product_cost(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS,
-                            null_safe: bool = False) -> DataFrame:
+                            null_safe: bool = False, strict: bool = False) -> DataFrame:
     """C7."""
     return _upsert(raw, {"KEY_PRODUCT": product_key()}, S.CDL_FACT_PRODUCT_COST,
                    ["KEY_PRODUCT", "COST_TYPE", "EFFECTIVE_DATE"], ["COST", "CURRENCY_CODE", "EXPIRY_DATE"],
-                   target, run_ts, null_safe=null_safe)
+                   target, run_ts, null_safe=null_safe, strict=strict)
 
 
 SALES_UPDATE = ["ORDER_STATUS", "ORDER_QTY", "SELLING_PRICE", "ORDER_VALUE", "ORDER_LIST_VALUE"]
@@ -145,19 +148,19 @@ def sales_keys() -> dict[str, Column]:
             "KEY_CALENDAR": calendar_key("TRANSACTION_DATE")}
 
 
-def build_fact_sales(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS) -> DataFrame:
+def build_fact_sales(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
     """Merge on ORDER_ID + ORDER_LINE_NO; only status, quantity, price and values update."""
     return _upsert(raw, sales_keys(), S.CDL_FACT_SALES, ["ORDER_ID", "ORDER_LINE_NO"], SALES_UPDATE,
-                   target, run_ts)
+                   target, run_ts, strict=strict)
 
 
 def build_fact_returns(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS,
-                       null_safe: bool = False) -> DataFrame:
+                       null_safe: bool = False, strict: bool = False) -> DataFrame:
     """Merge on RETURN_ID + ORDER_LINE_NO (RETURN_ID repeats per order, T6)."""
     keys = {"KEY_PRODUCT": product_key(), "KEY_COMPANY": fingerprint64("COMPANY_CODE"),
             "KEY_CALENDAR": calendar_key("RETURN_DATE")}
     return _upsert(raw, keys, S.CDL_FACT_RETURNS, ["RETURN_ID", "ORDER_LINE_NO"],
-                   ["RETURN_QTY", "RETURN_VALUE", "RETURN_REASON"], target, run_ts, null_safe=null_safe)
+                   ["RETURN_QTY", "RETURN_VALUE", "RETURN_REASON"], target, run_ts, null_safe=null_safe, strict=strict)
 
 
 def _forecast_keys() -> dict[str, Column]:
@@ -165,16 +168,16 @@ def _forecast_keys() -> dict[str, Column]:
             "KEY_SELLING_METHOD": fingerprint64("SELLING_METHOD_CODE")}
 
 
-def build_fact_demand_forecast(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS) -> DataFrame:
+def build_fact_demand_forecast(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
     """C10."""
     return _upsert(raw, _forecast_keys(), S.CDL_FACT_DEMAND_FORECAST, ["FORECAST_ID"],
-                   ["DEMAND_PLAN_QTY", "DEMAND_PLAN_DRAFT_QTY"], target, run_ts)
+                   ["DEMAND_PLAN_QTY", "DEMAND_PLAN_DRAFT_QTY"], target, run_ts, strict=strict)
 
 
-def build_fact_sales_forecast(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS) -> DataFrame:
+def build_fact_sales_forecast(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
     """C11."""
     return _upsert(raw, _forecast_keys(), S.CDL_FACT_SALES_FORECAST, ["FORECAST_ID"],
-                   ["SALES_FORECAST_QTY", "SALES_FORECAST_STAGED_QTY"], target, run_ts)
+                   ["SALES_FORECAST_QTY", "SALES_FORECAST_STAGED_QTY"], target, run_ts, strict=strict)
 
 
 # The fixed refresh order of the eleven MERGEs.

@@ -156,3 +156,13 @@ def test_uncommitted_version_is_never_read(spark):
     store.full_refresh(spark.range(6).toDF("x"), path)
     removed = store.vacuum(spark, path, keep=2)
     assert len(removed) == 2 and store.read_table(spark, path).count() == 6
+
+
+def test_strict_build_raises_on_repeated_merge_keys(spark):
+    import pytest as _pytest
+    from strata.operators.merge import MergeCardinalityError
+    ctx = Ctx(spark, SF)
+    with _pytest.raises(MergeCardinalityError):
+        build_fact_sales(ctx.raw["raw_order_line"], strict=True)      # the test data repeats (order, line)
+    assert build_fact_sales(ctx.raw["raw_company"].limit(0).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in S.RAW_ORDER_LINE.fields]), strict=True).count() == 0
