@@ -81,7 +81,10 @@ def interval_join(df: DataFrame, hist: DataFrame, key, date_col: str, row_keys:
     cond = [df[c] == h[f"_h_{c}"] for c in k]
     cond.append(df[date_col].between(h["_h_eff"], h["_h_exp"]))
     j = df.join(h, reduce(lambda a, b: a & b, cond), how)
-    j = dedup_latest(j, row_keys, [F.col("_h_eff").desc_nulls_last()], ["_h_eff"], tie_break=False)
+    # latest effective date wins; equal effective dates are decided by the attached values (total order)
+    order = [F.col("_h_eff").desc_nulls_last(), F.col("_h_exp").desc_nulls_last()] + \
+        [F.col(c).asc_nulls_first() for c in value_cols]
+    j = dedup_latest(j, row_keys, order, tie_break=False)
     return j.drop(*[f"_h_{c}" for c in k], "_h_eff", "_h_exp")
 
 

@@ -197,3 +197,11 @@ def test_approx_count_distinct_close(spark):
     exact = {r.g: r.n for r in df.groupBy("g").agg(A.count_distinct("v").alias("n")).collect()}
     approx = {r.g: r.n for r in df.groupBy("g").agg(A.count_distinct("v", approx=True).alias("n")).collect()}
     assert all(abs(approx[g] - exact[g]) / exact[g] < 0.05 for g in exact)
+
+
+def test_interval_join_equal_effective_dates_is_deterministic(spark):
+    s = spark.createDataFrame([(1, "o1", dt.date(2024, 6, 1))], "k int, id string, d date")
+    rows = [(1, dt.date(2024, 1, 1), dt.date(2024, 12, 31), 9), (1, dt.date(2024, 1, 1), dt.date(2024, 12, 31), 7)]
+    for data in (rows, rows[::-1]):
+        h = spark.createDataFrame(data, "k int, EFFECTIVE_DATE date, EXPIRY_DATE date, price int").repartition(2)
+        assert J.interval_join(s, h, "k", "d", ["id"], ["price"]).collect()[0].price == 7
