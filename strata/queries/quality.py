@@ -121,11 +121,11 @@ LEFT JOIN cdl_fact_returns r ON s.KEY_PRODUCT = r.KEY_PRODUCT AND s.ORDER_ID = r
 
 
 @register("dq4_null_check", O.sql(f"""
-SELECT column_name, nulls FROM (SELECT 'ORDER_ID' column_name, count_if(ORDER_ID IS NULL) nulls FROM {_J3}
-UNION ALL SELECT 'ORDER_LINE_NO', count_if(ORDER_LINE_NO IS NULL) FROM {_J3}
-UNION ALL SELECT 'ORDER_QTY', count_if(ORDER_QTY IS NULL) FROM {_J3}
-UNION ALL SELECT 'RETURN_ID', count_if(RETURN_ID IS NULL) FROM {_J3}
-UNION ALL SELECT 'RETURN_QTY', count_if(RETURN_QTY IS NULL) FROM {_J3}) u""", "cdl_fact_sales", "cdl_fact_returns"))
+SELECT column_name, nulls FROM (SELECT 'ORDER_ID' column_name, cast(count_if(ORDER_ID IS NULL) as bigint) nulls FROM {_J3}
+UNION ALL SELECT 'ORDER_LINE_NO', cast(count_if(ORDER_LINE_NO IS NULL) as bigint) FROM {_J3}
+UNION ALL SELECT 'ORDER_QTY', cast(count_if(ORDER_QTY IS NULL) as bigint) FROM {_J3}
+UNION ALL SELECT 'RETURN_ID', cast(count_if(RETURN_ID IS NULL) as bigint) FROM {_J3}
+UNION ALL SELECT 'RETURN_QTY', cast(count_if(RETURN_QTY IS NULL) as bigint) FROM {_J3}) u""", "cdl_fact_sales", "cdl_fact_returns"))
 def dq4(ctx):
     """DQ4: NULL count per column, unpivoted."""
     from .relational import j3

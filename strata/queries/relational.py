@@ -268,9 +268,9 @@ LEFT JOIN cdl_fact_returns r ON s.KEY_PRODUCT = r.KEY_PRODUCT AND s.ORDER_ID = r
 
 
 @register("a5_null_counts", O.sql(f"""
-SELECT count(*) cnt, count_if(ORDER_ID IS NULL) ORDER_ID_nulls, count_if(ORDER_LINE_NO IS NULL) ORDER_LINE_NO_nulls,
-       count_if(ORDER_QTY IS NULL) ORDER_QTY_nulls, count_if(RETURN_ID IS NULL) RETURN_ID_nulls,
-       count_if(RETURN_QTY IS NULL) RETURN_QTY_nulls FROM {_J3}""", "cdl_fact_sales", "cdl_fact_returns"))
+SELECT count(*) cnt, cast(count_if(ORDER_ID IS NULL) as bigint) ORDER_ID_nulls, cast(count_if(ORDER_LINE_NO IS NULL) as bigint) ORDER_LINE_NO_nulls,
+       cast(count_if(ORDER_QTY IS NULL) as bigint) ORDER_QTY_nulls, cast(count_if(RETURN_ID IS NULL) as bigint) RETURN_ID_nulls,
+       cast(count_if(RETURN_QTY IS NULL) as bigint) RETURN_QTY_nulls FROM {_J3}""", "cdl_fact_sales", "cdl_fact_returns"))
 def a5(ctx):
     """A5: one pass, COUNTIF(c IS NULL) for every column."""
     return A.null_counts(j3(ctx))
@@ -313,7 +313,7 @@ def a8(ctx):
 
 @register("a9_run_history", O.sql("""
 SELECT run_id, strftime(max(run_timestamp), '%Y-%m-%d %H:%M:%S.%f') run_timestamp, count(*) steps,
-       count_if(status = 'success') successes, count_if(status = 'failed') failures,
+       cast(count_if(status = 'success') as bigint) successes, cast(count_if(status = 'failed') as bigint) failures,
        cast(sum(cast(coalesce(duration_seconds, 0.0) as decimal(20,6))) as double) total_duration_seconds,
        case when count_if(status = 'failed') > 0 then 'failed' else 'success' end overall_status,
        case when count_if(status = 'success') = count(*) then 'success' when count_if(status = 'failed') > 0 then 'failed'

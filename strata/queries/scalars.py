@@ -161,8 +161,8 @@ def p12(ctx):
 
 @register("p13_status_rank", O.sql("""
 SELECT cast(event_id as varchar) artifact_id, status,
-       case status when 'passed' then 1 when 'executed' then 2 when 'testing' then 3 when 'generated' then 4 else 5 end
-         status_rank
+       cast(case status when 'passed' then 1 when 'executed' then 2 when 'testing' then 3 when 'generated' then 4
+            else 5 end as bigint) status_rank
 FROM (SELECT event_id, case event_type when 'purchase' then 'passed' when 'click' then 'executed'
       when 'view' then 'testing' when 'signup' then 'generated' else 'failed' end status FROM events) e""", ))
 def p13(ctx):
