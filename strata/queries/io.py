@@ -151,3 +151,33 @@ def r6(ctx):
     store.write_jsonl(ol.filter(F.col("TRANSACTION_DATE") >= cut), os.path.join(src, "drop2"))
     return stream_upsert(ctx.spark, os.path.join(src, "*"), S.RAW_ORDER_LINE, os.path.join(base, "staging"),
                          lambda staged: build_fact_sales(staged), checkpoint=os.path.join(base, "_checkpoint"))
+
+
+@register("r7_daily_refresh")
+def r7(ctx):
+    """§3.3 daily refresh end to end: the RAW tables land as NDJSON files, are loaded with their
+    declared schemas, conformed (R1), the three marts rebuilt from the written conformed layer (R2),
+    each mart checked by its DQ suite, everything logged. Returns the run log."""
+    from ..plans import marts as M
+    from .marts import as_of_latest_order
+    base = _scratch(ctx, "daily")
+    landing = os.path.join(base, "landing")
+    for name, df in ((n, ctx.raw[n]) for n in S.RAW):
+        store.write_jsonl(df, os.path.join(landing, name))
+    raw = R.read_landing(ctx.spark, landing)
+    as_of = as_of_latest_order(ctx)
+    marts = {
+        "fact_sales_summary": lambda c: M.fact_sales_summary(c["cdl_fact_sales"], c["cdl_dim_product"],
+                                                             c["cdl_dim_company"]),
+        "fact_product_profitability": lambda c: M.fact_product_profitability(
+            c["cdl_fact_sales"], c["cdl_fact_returns"], c["cdl_fact_product_price"], c["cdl_fact_product_cost"],
+            c["cdl_dim_product"], as_of),
+        "fact_demand_vs_sales": lambda c: M.fact_demand_vs_sales(
+            c["cdl_fact_demand_forecast"], c["cdl_fact_sales_forecast"], c["cdl_fact_sales"], c["cdl_dim_product"],
+            c["cdl_dim_company"]),
+    }
+    keys = {"fact_sales_summary": ["KEY_CALENDAR", "KEY_PRODUCT", "KEY_COMPANY", "KEY_CUSTOMER", "KEY_SELLING_METHOD"],
+            "fact_product_profitability": ["KEY_PRODUCT", "KEY_COMPANY"],
+            "fact_demand_vs_sales": ["KEY_PRODUCT", "KEY_COMPANY", "KEY_SELLING_METHOD", "AS_OF_DATE",
+                                     "FORECAST_DATE"]}
+    return R.daily_refresh(ctx.spark, raw, os.path.join(base, "warehouse"), marts, DEFAULT_RUN_TS, "daily", keys)

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 # Entries whose callables write files before returning (their plans are re-reads of those files).
-WRITES = {"r1_refresh_cdl", "r2_refresh_bl", "r6_stream_upsert", "m6_full_refresh", "m1b_merge_partitioned",
+WRITES = {"r1_refresh_cdl", "r2_refresh_bl", "r7_daily_refresh", "r6_stream_upsert", "m6_full_refresh", "m1b_merge_partitioned",
           "s1_read_raw_jsonl", "s2_read_raw_csv", "s3_write_jsonl", "s4_load_truncate", "s5_ensure_table_append_log",
           "s6_append_log", "s7_write_mart", "s10_schema_from_sample", "m7_replace_table"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",

@@ -166,3 +166,12 @@ def test_strict_build_raises_on_repeated_merge_keys(spark):
         build_fact_sales(ctx.raw["raw_order_line"], strict=True)      # the test data repeats (order, line)
     assert build_fact_sales(ctx.raw["raw_company"].limit(0).select(
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in S.RAW_ORDER_LINE.fields]), strict=True).count() == 0
+
+
+def test_daily_refresh_end_to_end(spark):
+    log = E.queries()["r7_daily_refresh"](spark, SF).collect()
+    steps = [(r.step, r.status) for r in log]
+    assert steps.count(("cdl", "success")) == 11 and steps.count(("bl", "success")) == 3
+    assert steps.count(("dq", "success")) == 3
+    rows = {r.table_name: r.rows_affected for r in log if r.step == "bl"}
+    assert rows["fact_sales_summary"] == E.queries()["b1_fact_sales_summary"](spark, SF).count()
