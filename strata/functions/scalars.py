@@ -41,8 +41,7 @@ def is_weekend(d) -> Column:
 
 def safe_cast(c, to: str | T.DataType) -> Column:
     """NULL where the value does not convert (SAFE_CAST)."""
-    return F.try_cast(_c(c), to if isinstance(to, str) else to.simpleString()) if hasattr(F, "try_cast") \
-        else _c(c).try_cast(to)
+    return _c(c).try_cast(to)
 
 
 def safe_divide(n, d) -> Column:
