@@ -1,10 +1,10 @@
 """Sources, sinks and table management.
 
 Tables live as Parquet directories under one root per layer (``raw/ cdl/ bl/ br/ ops/``) in a
-shared folder. A full refresh writes a new, sequence-numbered version directory; the version becomes
-current when Spark's job commit writes its ``_SUCCESS`` marker, so a reader never sees a half-written
-table and a failed write leaves the previous version current (a retried job writes the next version).
-Nothing here collects data rows to the driver.
+shared folder. A full refresh writes a new version folder and then commits it by creating the marker
+``_commits/<seq>`` with create-if-absent: a reader never sees a half-written table, a failed write
+leaves the previous version current, and two writers that start from the same version cannot both
+commit (optimistic concurrency). Nothing here collects data rows to the driver.
 """
 
 from __future__ import annotations
@@ -73,27 +73,46 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _version_dirs(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
-    """(name, committed) of every version directory, oldest first."""
-    fs, p = _fs(spark, path)
+class ConcurrentWriteError(RuntimeError):
+    """Another writer committed a version on the same base first: re-read the table and retry."""
+
+
+def _jpath(spark: SparkSession, *parts: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(os.path.join(*parts))
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """Committed sequence numbers of a table, ascending."""
+    fs, p = _fs(spark, os.path.join(path, "_commits"))
     if not fs.exists(p):
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v-"):
-            committed = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-            out.append((name, bool(committed)))
-    return sorted(out)
+    return sorted(int(st.getPath().getName()) for st in fs.listStatus(p) if st.getPath().getName().isdigit())
+
+
+def _read_text(spark: SparkSession, file_path: str) -> str:
+    fs, p = _fs(spark, file_path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def current_seq(spark: SparkSession, path: str) -> int:
+    """The sequence number of the current version (0 when the table has none yet)."""
+    seqs = _commits(spark, path)
+    return seqs[-1] if seqs else 0
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
-    """The newest committed version directory of a table (None when the table does not exist).
+    """The folder of the newest committed version (None when the table does not exist).
 
-    A version counts only once Spark's job commit has written its ``_SUCCESS`` marker, so a write
-    that died half-way (lost executors, killed driver) is never read."""
-    done = [n for n, ok in _version_dirs(spark, path) if ok]
-    return os.path.join(path, done[-1]) if done else None
+    A version exists only once its commit marker ``_commits/<seq>`` was created, which happens after
+    Spark's job commit finished writing the data: a write that died half-way is never read."""
+    seq = current_seq(spark, path)
+    if seq == 0:
+        return None
+    return os.path.join(path, _read_text(spark, os.path.join(path, "_commits", f"{seq:010d}")))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -101,33 +120,51 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(v) if v else None
 
 
-def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """DELETE + INSERT as write-a-new-version: readers switch when the job commits.
+def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                 expected_seq: int | None = None) -> str:
+    """DELETE + INSERT as a new version with an optimistic-concurrency commit.
 
-    Version names carry a zero-padded sequence number (after every earlier attempt, committed or
-    not), so "newest committed" is well defined and a retried job simply writes the next version."""
+    The data is written to a fresh ``v-<uuid>`` folder; then the commit marker ``_commits/<base+1>``
+    is created with create-if-absent (atomic on HDFS and local file systems; needs conditional puts
+    on object stores). ``expected_seq`` is the version the caller's plan was built from (a MERGE reads
+    its target first); when another writer committed on that base in the meantime, the marker already
+    exists and ``ConcurrentWriteError`` is raised instead of silently losing that writer's update.
+    """
     spark = df.sparkSession
-    seq = len(_version_dirs(spark, path)) + 1
-    target = os.path.join(path, f"v-{seq:010d}-{uuid.uuid4().hex[:8]}")
+    base = current_seq(spark, path) if expected_seq is None else expected_seq
+    name = f"v-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(target)
-    return target
+    w.parquet(os.path.join(path, name))
+    fs, marker = _fs(spark, os.path.join(path, "_commits", f"{base + 1:010d}"))
+    try:
+        out = fs.create(marker, False)            # overwrite=False: fails when the marker exists
+    except Exception as e:  # noqa: BLE001 - py4j wraps the FileAlreadyExistsException
+        raise ConcurrentWriteError(f"{path}: version {base + 1} was committed by another writer") from e
+    try:
+        out.write(bytearray(name.encode("utf-8")))
+    finally:
+        out.close()
+    return os.path.join(path, name)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
-    """Delete all but the ``keep`` newest committed versions (and failed attempts older than them)."""
-    dirs = _version_dirs(spark, path)
-    done = [n for n, ok in dirs if ok]
-    if len(done) <= keep:
+    """Delete version folders older than the ``keep`` newest committed ones, including abandoned
+    (never committed) folders written before the oldest kept commit."""
+    seqs = _commits(spark, path)
+    if len(seqs) <= keep:
         return []
-    oldest_kept = done[-keep]
-    doomed = [n for n, _ in dirs if n < oldest_kept]
     fs, p = _fs(spark, path)
-    for n in doomed:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p, n), True)
-    return doomed
+    kept = {_read_text(spark, os.path.join(path, "_commits", f"{q:010d}")) for q in seqs[-keep:]}
+    oldest_kept = fs.getFileStatus(_jpath(spark, path, "_commits", f"{seqs[-keep]:010d}")).getModificationTime()
+    removed = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("v-") and name not in kept and st.getModificationTime() <= oldest_kept:
+            fs.delete(st.getPath(), True)
+            removed.append(name)
+    return sorted(removed)
 
 
 load_truncate = full_refresh

@@ -147,15 +147,24 @@ def test_sized_conf():
 def test_uncommitted_version_is_never_read(spark):
     path = tempfile.mkdtemp(prefix="strata-test-")
     store.full_refresh(spark.range(3).toDF("x"), path)
-    crashed = os.path.join(path, "v-0000000002-deadbeef")
-    spark.range(7).toDF("x").write.parquet(crashed)
-    os.remove(os.path.join(crashed, "_SUCCESS"))            # as if the job died before its commit
+    spark.range(7).toDF("x").write.parquet(os.path.join(path, "v-crashed"))   # data written, never committed
     assert store.read_table(spark, path).count() == 3
-    v3 = store.full_refresh(spark.range(5).toDF("x"), path)  # a retry writes the next version
-    assert store.current_version(spark, path) == v3 and store.read_table(spark, path).count() == 5
+    v2 = store.full_refresh(spark.range(5).toDF("x"), path)
+    assert store.current_version(spark, path) == v2 and store.read_table(spark, path).count() == 5
     store.full_refresh(spark.range(6).toDF("x"), path)
     removed = store.vacuum(spark, path, keep=2)
-    assert len(removed) == 2 and store.read_table(spark, path).count() == 6
+    assert "v-crashed" in removed and len(removed) == 2 and store.read_table(spark, path).count() == 6
+
+
+def test_concurrent_writers_on_one_base_conflict(spark):
+    import pytest as _pytest
+    path = tempfile.mkdtemp(prefix="strata-test-")
+    store.full_refresh(spark.range(3).toDF("x"), path)
+    base = store.current_seq(spark, path)
+    store.full_refresh(spark.range(4).toDF("x"), path, expected_seq=base)      # writer A commits first
+    with _pytest.raises(store.ConcurrentWriteError):
+        store.full_refresh(spark.range(9).toDF("x"), path, expected_seq=base)  # writer B, same base
+    assert store.read_table(spark, path).count() == 4                          # A's update is not lost
 
 
 def test_strict_build_raises_on_repeated_merge_keys(spark):
