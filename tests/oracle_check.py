@@ -46,7 +46,8 @@ def main(argv):
 
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in argv[1:] if not a.startswith("/")]
-    spark = build_session("local[8]", 8)
+    # this harness collects every result into Python: give the driver room for sf0.1-sized results
+    spark = build_session("local[8]", 8, extra={"spark.driver.memory": "12g", "spark.driver.maxResultSize": "4g"})
     qs, orc = E.queries(), E.oracle_sql()
     con = duckdb.connect()
     duck_views(con, sf_dir)
