@@ -71,3 +71,26 @@ def global_rows(df: DataFrame, order: list[str], row: str = "row") -> tuple[Data
            .withColumn(row, F.col("_off") + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1)))
            .drop("_pid", "_off", mid))
     return out, total
+
+
+def with_python_columns(df: DataFrame, fields: str, make) -> DataFrame:
+    """``df`` plus the columns ``fields`` (DDL), computed batch by batch inside the tasks.
+
+    ``make()`` runs once per task and returns a function from an Arrow record batch to the list of new
+    arrays or value lists; the rows never leave their task.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(fields)
+    schema = StructType(df.schema.fields + new.fields)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        f, kinds = make(), [to_arrow_type(x.dataType) for x in new.fields]
+        for b in batches:
+            more = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(f(b), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *new.names])
+
+    return df.mapInArrow(run, schema)
