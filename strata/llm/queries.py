@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, sharding, warc
+from . import ann, bpe, decontaminate, line_dedup, sharding, warc
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -80,3 +80,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_warc_chunks")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+@query("op2_cross_polytope")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
