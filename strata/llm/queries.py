@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, line_dedup, sharding, warc
+from . import ann, bpe, decontaminate, line_dedup, sharding, toxicity, warc
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -85,3 +85,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_cross_polytope")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
