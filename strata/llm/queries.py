@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, line_dedup, sharding, toxicity, warc
+from . import ann, bpe, decontaminate, jaccard_join, line_dedup, sharding, toxicity, warc
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -74,7 +74,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_tokens_native(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                                      public_tokenizers.PATTERN)
+                               public_tokenizers.PATTERN)
 
 
 @query("op7_warc_chunks")
@@ -90,3 +90,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({SQL_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, least(len(w), 4) AS k, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + k - 1], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (WITH RECURSIVE r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+      SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM r LEFT JOIN n USING (doc_id)"""
+
+
+@query("op5_prefix_tree_join", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.document_components(table(spark, sf_dir, "documents"), k=4, percent=85)

@@ -23,7 +23,9 @@ from .common import fresh, frozen, with_python_columns
 #: Bounds of what is learned from: labelled rows of each class, and terms of the lexicon.
 LABELLED_PER_CLASS = 5000
 LEXICON_TERMS = 4096
-STEMS = range(4, 9)
+STEMS = range(3, 9)
+#: Terms in fewer training documents cannot pass the test and are not counted as tests.
+TESTED_FROM = 4
 WINDOW = 8
 CACHE_WORDS = 300_000
 #: Marks and words that announce quoted speech, and words that address a reader.
@@ -196,7 +198,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[D
 
 def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> dict[str, float]:
     """Terms whose document counts differ between the classes beyond chance (log-likelihood ratio over
-    twice the log of the number of terms), and their log odds."""
+    twice the log of the number of tested terms), and their log odds."""
 
     def count(batches):
         from collections import Counter
@@ -216,7 +218,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> dict[str, float
     if not n1 or not n0:
         return {}
     counts = frozen(rows.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "terms")
-    limit = 2 * math.log(max(2, counts.count()))
+    limit = 2 * math.log(max(2, counts.filter(F.col("t") + F.col("c") >= TESTED_FROM).count()))
     t, c = F.col("t"), F.col("c")
     share = (t + c) / F.lit(float(n1 + n0))
 
