@@ -73,7 +73,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.document_tokens_native(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    return bpe.document_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                public_tokenizers.PATTERN)
 
 
