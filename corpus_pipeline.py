@@ -1,7 +1,67 @@
-"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, decontamination, byte-level BPE."""
-STAGES = []
+"""The corpus pipeline: documents in, token ids of a clean, deduplicated, decontaminated corpus out.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
+is written as Parquet in the shared folder and read again as the next stage's documents. All but the
+last keep the columns of documents. Documents without text pass every stage: they are not toxic,
+have no line to drop, are nobody's copy and hold no benchmark item.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
+from strata.llm.common import frozen, table
+
+MIN_DOCS, SHINGLE, PERCENT, WINDOW = 10, 5, 80, 10
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the labels of the corpus teach the model."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go; documents stay, and n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, MIN_DOCS)
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs, SHINGLE, PERCENT)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item (or a shorter item) go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), WINDOW)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text that they decode to."""
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("byte_bpe", tokenise),
+]
+
+#: The toxicity model and the token ids cannot be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = frozen(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
