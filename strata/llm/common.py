@@ -94,3 +94,12 @@ def with_python_columns(df: DataFrame, fields: str, make) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *new.names])
 
     return df.mapInArrow(run, schema)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``left`` joined with an aggregate ``right`` of unique keys; rows of one key go to ``salts`` tasks
+    by ``spread``, and each row of ``right`` is repeated for them. Result as of a plain join."""
+    salt = fresh(left, "salt")
+    a = left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*on, salt], how).drop(salt)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, jaccard_join, line_dedup, sharding, toxicity, warc
+from . import ann, bpe, decontaminate, html_text, jaccard_join, line_dedup, pii, sharding, toxicity, warc
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -107,3 +107,13 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM r LEFT JOIN n U
 @query("op5_prefix_tree_join", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.document_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query("op8_information_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.document_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op1_nearest_url_differencing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
