@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fold_case, fresh, shuffle_partitions
+from .common import SPACES, fold_case, fresh, salted_join, shuffle_partitions
 
 DROPS = "array<struct<word:int,bits:bigint>>"
 
@@ -61,7 +61,7 @@ def frequent_keys(occurrences: DataFrame, min_docs: int) -> DataFrame:
 def drop_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """(d, drops): per document with a dropped line, the words of its bitmap that are not zero."""
     occ = line_occurrences(docs)
-    hit = occ.join(frequent_keys(occ, min_docs), "h", "left_semi")
+    hit = salted_join(occ, frequent_keys(occ, min_docs), ["h"], F.col("d"), "left_semi")
     words = (hit.groupBy("d", F.expr("p div 64").cast("int").alias("word"))
              .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")))
     return words.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).cast(DROPS).alias("drops"))
