@@ -6,8 +6,9 @@ records), each with its own block digest and the running digest of the payload u
 reader continues a digest chunk by chunk and notices damage at the first bad one.
 
 Spark's text writer makes the files: each row is one whole record, the line separator is the blank
-line that ends a record, and a file rolls over after a fixed number of records. Everything goes
-through Spark's own file systems; nothing touches a machine's own disk.
+line that ends a record, and a file (gzip) rolls over after a fixed number of records. Everything goes
+through Spark's own file systems; nothing touches a machine's own disk. The reader inflates an archive
+piece by piece and checks each record as it passes.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import frozen, scratch_path
 
 CHUNK_BYTES = 64 << 10
 #: Records in an archive file: bounds a file to 64 MiB of payload besides headers.
 FILE_RECORDS = 1024
+#: Bytes of rows that a task hands over at once, and of an archive that it reads at once.
+BATCH_BYTES = 1 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 RECORDS = "record_id string, page_id long, url string, record_type string, refers_to long, payload binary"
@@ -73,6 +76,8 @@ def record_rows(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
         def b32(h):
             return base64.b32encode(h.digest()).decode()
 
+        names, kinds = ["record_id", "chunk", "record"], [pa.string(), pa.int32(), pa.binary()]
+        rows, held = [], 0
         for b in batches:
             for i in range(b.num_rows):
                 rid, page, url, kind, to, data = (b.column(k)[i] for k in range(6))
@@ -100,9 +105,13 @@ def record_rows(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
                         ("Content-Type", "text/html" if k == 0 else None),
                         ("Content-Length", len(chunk)),
                     ])
-                    yield pa.RecordBatch.from_arrays([pa.array([rid]), pa.array([k], pa.int32()),
-                                                      pa.array([head.encode() + bytes(chunk)], pa.binary())],
-                                                     ["record_id", "chunk", "record"])
+                    rows.append((rid, k, head.encode() + bytes(chunk)))
+                    held += len(rows[-1][2])
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     cols = [x.split()[0] for x in RECORDS.split(", ")]
     return records.select(*cols).mapInArrow(run, "record_id string, chunk int, record binary")
@@ -114,62 +123,114 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk_bytes:
     ``file_records`` records under ``path``."""
     rows = with_roles(pages, min_bytes).withColumn("record_id", F.expr("uuid()"))
     (record_rows(rows, chunk_bytes).select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path))
+     .write.option("lineSep", END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path))
+
+
+class Inflated:
+    """A gzip archive read piece by piece."""
+
+    def __init__(self, data: memoryview):
+        import zlib
+
+        self.data, self.at, self.unzip, self.held = data, 0, zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        if self.at >= len(self.data) and not self.unzip.unconsumed_tail:
+            return False
+        raw = self.unzip.unconsumed_tail or self.data[self.at:self.at + BATCH_BYTES]
+        self.at += 0 if self.unzip.unconsumed_tail else len(raw)
+        self.held += self.unzip.decompress(raw, BATCH_BYTES)
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Bytes up to a mark, which is skipped; None at the end of the archive."""
+        while (i := self.held.find(mark)) < 0:
+            if not self.more():
+                if self.held:
+                    raise ValueError("the archive ends inside a record")
+                return None
+        out, self.held = self.held[:i], self.held[i + len(mark):]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self.more():
+                raise ValueError("the archive ends inside a record")
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+
+CHUNKS = ("record_id string, chunk int, last boolean, page_id long, url string, record_type string, refers_to long, "
+          "payload_bytes long, payload_digest string, running_digest string, bytes binary")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of the archives under ``path``: a row per WARC record.
+    """The chunk table of the archives under ``path``: a row per WARC record (columns CHUNKS).
 
-    record_id, chunk, last (no further chunk), page_id, url, record_type, refers_to, payload_bytes,
-    payload_digest (as declared), running_digest (as declared), bytes.
+    Every block digest is checked where it is read; a record of one chunk is checked whole (length and
+    payload digest) and comes without its bytes, chunks of longer records keep theirs. Digest and length
+    are as declared, the running digest covers the payload up to the end of the chunk.
     """
 
     def run(batches):
+        import base64
+        import hashlib
+
         import pyarrow as pa
 
-        kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(),
-                 pa.string(), pa.string(), pa.binary()]
+        names = [x.split()[0] for x in CHUNKS.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(),
+                 pa.string(), pa.binary()]
+        rows, held = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
         for b in batches:
             for cell in b.column(0):
-                view = cell.as_buffer().to_pybytes()
-                at, rows = 0, []
-                while at < len(view):
-                    stop = view.index(b"\r\n\r\n", at)
-                    lines = view[at:stop].decode().split("\r\n")
-                    if lines[0] != "WARC/1.1":
-                        raise ValueError(f"no WARC record at byte {at}")
-                    f = dict(x.split(": ", 1) for x in lines[1:])
-                    size = int(f["Content-Length"])
-                    body = view[stop + 4:stop + 4 + size]
-                    at = stop + 8 + size
-                    if view[at - 4:at] != b"\r\n\r\n":
-                        raise ValueError(f"a record does not end at byte {at}")
-                    origin, k = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), int(f.get("WARC-Segment-Number", 1)) - 1
+                archive = Inflated(memoryview(cell.as_buffer()))
+                while (head := archive.until(END.encode())) is not None:
+                    first, *fields = head.decode().split("\r\n")
+                    if first != "WARC/1.1":
+                        raise ValueError("not a WARC record")
+                    f = dict(x.split(": ", 1) for x in fields)
+                    body = archive.take(int(f["Content-Length"]))
+                    if archive.take(len(END)) != END.encode():
+                        raise ValueError(f"record {f['WARC-Record-ID']} does not end where it says")
+                    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+                    if digest != f["WARC-Block-Digest"][5:]:
+                        raise ValueError(f"record {f['WARC-Record-ID']} is damaged")
+                    alone = "WARC-Segment-Number" not in f
+                    if alone and f["WARC-Type"] == "response" and (
+                            len(body) != int(f["X-Payload-Length"]) or digest != f["WARC-Payload-Digest"][5:]):
+                        raise ValueError(f"record {f['WARC-Record-ID']} is not what its header declares")
                     to, n = f.get("WARC-Refers-To"), f.get("X-Payload-Length")
-                    rows.append((origin, k, "WARC-Segment-Number" not in f or "WARC-Segment-Total-Length" in f,
-                                 int(f["X-Page-ID"]) if "X-Page-ID" in f else None, f.get("WARC-Target-URI"), f["WARC-Type"],
-                                 int(to.strip("<>").rsplit(":", 1)[1]) if to else None, int(n) if n else None,
-                                 f.get("WARC-Payload-Digest", "")[5:] or None, f["X-Running-Digest"][5:], body))
-                    if len(rows) == 256 or at >= len(view):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                        rows = []
+                    rows.append((f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), int(f.get("WARC-Segment-Number", 1)) - 1,
+                                 alone or "WARC-Segment-Total-Length" in f, int(f["X-Page-ID"]) if "X-Page-ID" in f else None,
+                                 f.get("WARC-Target-URI"), f["WARC-Type"], int(to.strip("<>").rsplit(":", 1)[1]) if to else None,
+                                 int(n) if n else None, f.get("WARC-Payload-Digest", "")[5:] or None, f["X-Running-Digest"][5:],
+                                 None if alone else body))
+                    held += 256 + (0 if alone else len(body))
+                    if held >= BATCH_BYTES:
+                        yield batch()
+                        rows, held = [], 0
+        if rows:
+            yield batch()
 
-    names = ["record_id", "chunk", "last", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest",
-             "running_digest", "bytes"]
-    ddl = ["string", "int", "boolean", "long", "string", "string", "long", "long", "string", "string", "binary"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, ddl)))
+    return files.select("content").mapInArrow(run, CHUNKS)
+
+
+PAGES = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
 def assembled(chunks: DataFrame) -> DataFrame:
-    """One row per record: page_id, url, record_type, refers_to, payload_bytes and payload_digest, as
-    computed from the chunks (a revisit's as declared).
+    """One row per record: page_id, url, record_type, refers_to, payload_bytes and payload_digest.
 
-    Records of one chunk are checked where they were read. Only chunks of longer records are
-    brought together: sorted by chunk number they pass one at a time through a running digest, so no
-    task holds a whole payload. A missing chunk or a digest that differs raises an error.
+    Only chunks of longer records are brought together: sorted by chunk number they pass one at a time
+    through a running digest, so no task holds a whole payload. A missing chunk, or a digest that
+    differs from the declared one, raises an error.
     """
-    out = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
     def run(batches):
         import base64
@@ -177,14 +238,13 @@ def assembled(chunks: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
-                            ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-        head, sha, size, rows = None, None, 0, []
+        names = [x.split()[0] for x in PAGES.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        head, sha, size, seen = None, None, 0, 0
         for b in batches:
+            rows = []
             for x in b.to_pylist():
-                if x["chunk"] == 0:
-                    if head:
-                        raise ValueError(f"record {head['record_id']} has no last chunk")
+                if x["chunk"] == 0 and not head:
                     head, sha, size, seen = x, hashlib.sha1(), 0, 0
                 elif not head or x["record_id"] != head["record_id"] or x["chunk"] != seen:
                     raise ValueError(f"chunk {x['chunk']} of record {x['record_id']} is out of place")
@@ -194,21 +254,18 @@ def assembled(chunks: DataFrame) -> DataFrame:
                 if digest != x["running_digest"]:
                     raise ValueError(f"chunk {x['chunk']} of record {x['record_id']} is damaged")
                 if x["last"]:
-                    if head["record_type"] == "revisit":
-                        size, digest = head["payload_bytes"], head["payload_digest"]
-                    elif (size, digest) != (head["payload_bytes"], head["payload_digest"]):
+                    if (size, digest) != (head["payload_bytes"], head["payload_digest"]):
                         raise ValueError(f"record {head['record_id']} is not what its header declares")
                     rows.append((head["page_id"], head["url"], head["record_type"], head["refers_to"], size, digest))
                     head = None
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
-                rows = []
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
         if head:
             raise ValueError(f"record {head['record_id']} has no last chunk")
 
-    whole = F.col("last") & (F.col("chunk") == 0)
-    short = chunks.filter(whole).mapInArrow(run, out)
-    long = chunks.filter(~whole).repartition("record_id").sortWithinPartitions("record_id", "chunk").mapInArrow(run, out)
+    short = chunks.filter("bytes IS NULL").select(*[x.split()[0] for x in PAGES.split(", ")])
+    long = (chunks.filter("bytes IS NOT NULL").repartition("record_id").sortWithinPartitions("record_id", "chunk")
+            .mapInArrow(run, PAGES))
     return short.unionByName(long)
 
 
@@ -221,4 +278,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, min_bytes)
-    return assembled(read_chunks(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return assembled(frozen(read_chunks(spark, path), "chunks")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
