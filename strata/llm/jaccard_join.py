@@ -70,8 +70,8 @@ def set_class(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap of about half a bit per element: each element flips one bit."""
-    bits = 64 << max(0, (len(s) // 128).bit_length())
+    """Parity bitmap of one to two bits per element (at least 256): each element flips one bit."""
+    bits = 256 << (len(s) // 256).bit_length()
     flips = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -272,7 +272,7 @@ def _groups(batches, keys: int):
 
 
 def _meetings(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows whose token two classes or more share, each once."""
+    """The prefix rows whose token two classes or more share, each once, with the number of those classes."""
 
     def run(batches):
         import pyarrow as pa
@@ -280,11 +280,11 @@ def _meetings(prefixes: DataFrame) -> DataFrame:
         for token, cls, n, pos in _groups(batches, 1):
             _, at = np.unique(cls, return_index=True)
             if len(at) > 1:
-                at = at[np.lexsort((cls[at], n[at]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (token, cls, n, pos)], ["token", "class", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (token, cls, n, pos)), pa.array(np.full(len(at), len(at)))],
+                                                 ["token", "class", "n", "pos", "size"])
 
     part = prefixes.repartition("token").sortWithinPartitions("token", "class")
-    return part.mapInArrow(_pack(run), "token long, class long, n int, pos int")
+    return part.mapInArrow(_pack(run), "token long, class long, n int, pos int, size long")
 
 
 def _pack(run, rows: int = 50_000):
@@ -324,48 +324,71 @@ def _pair_batch(cls, n, i, j):
 
 
 def _leader_pairs(meetings: DataFrame, percent: int) -> DataFrame:
-    """Each member of a meeting with its leader: by size, the first member that is large enough for it."""
+    """Each member of a meeting with its leader: the most central member of a size that can match.
+
+    Central is who meets most others: in a group of near copies that is the text they were made from,
+    whose rare n-grams they share, while their own changes are met by nobody.
+    """
+    weight = meetings.groupBy("class").agg(F.sum("size").alias("weight"))
+    part = (meetings.join(weight, "class").select("token", "class", "n", "pos", "weight")
+            .repartition("token").sortWithinPartitions("token", "class"))
 
     def run(batches):
-        for _, cls, n, pos in _groups(batches, 1):
-            order = np.lexsort((cls, n))
-            cls, n, pos = cls[order], n[order], pos[order]
-            lead, leaders = 0, np.zeros(len(n), np.int64)
-            for x in range(1, len(n)):
-                if 100 * int(n[lead]) < percent * int(n[x]):
-                    lead = x
-                leaders[x] = lead
-            j = np.flatnonzero(leaders != np.arange(len(n)))
-            j = j[_possible(n, pos, leaders[j], j, percent)]
-            if len(j):
-                yield _pair_batch(cls, n, leaders[j], j)
-
-    part = meetings.repartition("token").sortWithinPartitions("token", "class")
+        for _, cls, n, pos, weight in _groups(batches, 1):
+            left = np.lexsort((cls, -weight))
+            while len(left) > 1:
+                i, j = left[0], left[1:]
+                fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j])
+                mine = j[fits]
+                mine = mine[_possible(n, pos, i, mine, percent)]
+                if len(mine):
+                    yield _pair_batch(cls, n, np.full(len(mine), i), mine)
+                left = j[~fits]
+
     return part.mapInArrow(_pack(run), PAIRS).distinct()
 
 
-def _open_pairs(meetings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All possible pairs of meetings whose members lie in different components, block by block."""
+def _folded(maps: list[bytes]) -> dict[int, np.ndarray]:
+    """By each size that occurs, all bitmaps of that size or larger folded to it (zero rows for smaller ones)."""
+    sizes = np.array([len(m) for m in maps])
+    out = {}
+    for s in np.unique(sizes):
+        rows = np.zeros((len(maps), s), np.uint8)
+        for i, m in enumerate(maps):
+            if len(m) >= s:
+                rows[i] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, s), axis=0)
+        out[int(s)] = rows
+    return out
+
+
+def _open_pairs(meetings: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The possible pairs of meetings whose members lie in different components, block by block: those
+    that pass the bounds of size, place and bitmap. What fails them is never handed on."""
     named = (meetings.join(roots, meetings["class"] == roots["node"], "left")
              .select("token", "class", "n", "pos", F.coalesce("root", "class").alias("root")))
     sizes = (named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
              .filter("lo <> hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    open_ = named.join(sizes, "token")
+    open_ = named.join(sizes, "token").join(classes.select("class", "bitmap"), "class")
     mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     open_ = (open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "class", "n", "pos", "root", "mine"))
+             .select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "class", "n", "pos", "root", "mine", "bitmap"))
 
     def run(batches):
-        for _, x, y, cls, n, pos, root, mine in _groups(batches, 3):
+        for _, x, y, cls, n, pos, root, mine, maps in _groups(batches, 3):
             order = np.lexsort((cls, n))
             cls, n, pos, root, mine = cls[order], n[order], pos[order], root[order], mine[order]
+            folded, length = _folded([maps[i] for i in order]), [len(maps[i]) for i in order]
             for i in range(len(n) - 1):
-                stop = np.searchsorted(n, 100 * int(n[i]) // percent, "right")
-                j = np.arange(i + 1, stop)
+                j = np.arange(i + 1, np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
                 j = j[root[j] != root[i]]
                 if x[0] != y[0]:
                     j = j[mine[j] != mine[i]]
                 j = j[_possible(n, pos, i, j, percent)]
+                if len(j):
+                    rows = folded[length[i]]  # larger sets have bitmaps of this size or larger
+                    apart = np.bitwise_count(rows[j] ^ rows[i]).sum(1, dtype=np.int64)
+                    total = n[j].astype(np.int64) + n[i]
+                    j = j[apart <= total - 2 * -(-percent * total // (100 + percent))]
                 if len(j):
                     yield _pair_batch(cls, n, np.full(len(j), i), j)
 
@@ -393,7 +416,7 @@ def _near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
     """The linked pairs (a, b): each a walks the trie of its partners, in blocks of bounded size."""
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = classes.join(ends, "class", "left_semi").select("class", "th")
+    wanted = classes.join(ends, "class", "left_semi").select(F.col("rep.doc_id").alias("doc"), F.col("rep.th").alias("th"))
 
     def make_sets(batches):
         import pyarrow as pa
@@ -404,9 +427,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                                              ["class", "set"])
 
-    texts = docs.select(F.xxhash64("text").alias("th"), F.encode("text", "UTF-8").alias("text"))
-    one = texts.join(wanted.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"]).select("text")
-    sets = one.mapInArrow(make_sets, "class long, set binary").dropDuplicates(["class"])
+    # one document of each class: by its id too, so that copies of one text do not meet in a task
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.encode("text", "UTF-8").alias("text"))
+    one = texts.alias("t").join(wanted.alias("w"), (F.col("t.th") == F.col("w.th")) & F.col("t.doc").eqNullSafe(F.col("w.doc")), "left_semi")
+    sets = one.select("text").mapInArrow(make_sets, "class long, set binary").dropDuplicates(["class"])
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
     sets = frozen(sets, "sets")
     left = (many.join(sets, many["a"] == sets["class"])
@@ -446,12 +470,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     meetings = frozen(_meetings(_prefix_rows(docs, k, percent, level)), "meetings")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = frozen(_near_enough(pairs, classes, percent), "pairs")
-        return frozen(_verified(near, docs, classes, k, percent, level), "links")
+        return frozen(_verified(frozen(pairs, "pairs"), docs, classes, k, percent, level), "links")
 
-    links = linked(_leader_pairs(meetings, percent))
+    links = linked(_near_enough(_leader_pairs(meetings, percent), classes, percent))
     roots = components(links)
-    links = links.unionByName(linked(_open_pairs(meetings, roots, percent)))
+    links = links.unionByName(linked(_open_pairs(meetings, roots, classes, percent).select("a", "b")))
     roots = components(links)
 
     named = (classes.select("class", "rep").join(roots, F.col("class") == F.col("node"), "left")
