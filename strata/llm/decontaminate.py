@@ -73,7 +73,7 @@ def searchers(items: list[tuple[str, bytes]], window: int) -> list[WuManber]:
 def merged(spans) -> list[list[int]]:
     """Sorted disjoint union of half-open spans."""
     out: list[list[int]] = []
-    for lo, hi in sorted(spans):
+    for lo, hi in sorted(map(tuple, spans)):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
