@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ STEMS = range(3, 9)
 TESTED_FROM = 4
 WINDOW = 8
 CACHE_WORDS = 300_000
+#: Words that are matched up to one edit: at least so long, and at least so much likelier in toxic documents.
+FUZZY_LETTERS, FUZZY_ODDS = 5, 4.0
 #: Marks and words that announce quoted speech, and words that address a reader.
 OPENING, CLOSING = "\"“”«»„‟‹›", "\"“”«»‹›"
 REPORTING = frozenset("said says say quote quoted quotes called calls word words term wrote writes slur insult sagte schrieb zitat "
@@ -76,42 +79,63 @@ class LevenshteinAutomaton:
         return state[-1] <= self.most
 
 
-def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1
+def trie(words) -> dict:
+    """Nested dictionaries by letter; the empty key holds the word that ends at a node."""
+    root: dict = {}
+    for key, word in words:
+        node = root
+        for c in key:
+            node = node.setdefault(c, {})
+        node.setdefault("", []).append(word)
+    return root
+
+
+def within_one_edit(root: dict, word: str) -> list[tuple[int, str]]:
+    """(edits, word) of a trie's words within one edit of ``word``: automaton and trie walk together."""
+    auto, found = LevenshteinAutomaton(word, 1), []
+    todo = [(root, auto.start())]
+    while todo:
+        node, state = todo.pop()
+        for c, child in node.items():
+            if c == "":
+                if auto.accepts(state):
+                    found.extend((state[-1], w) for w in child)
+            elif auto.alive(after := auto.step(state, c)):
+                todo.append((child, after))
+    return found
 
 
 class Lexicon:
-    """Terms with weights: whole words in a trie, matched up to one edit, and stems, matched exactly."""
+    """Terms with weights: whole words, matched up to one edit, and stems, matched exactly.
+
+    One edit leaves the first or the second half of a term as it was. So a word is looked up by exact
+    halves, and only the other half walks a trie: of the terms' rests behind that first half, or, read
+    backwards, of their beginnings before that second half.
+    """
 
     def __init__(self, weights: dict[str, float]):
         self.words = {t[:-1]: w for t, w in weights.items() if t.endswith("$")}
         self.stems = {t: w for t, w in weights.items() if not t.endswith("$")}
-        self.trie: dict = {}
-        for word in self.words:
-            node = self.trie
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
-        # one edit leaves the first or the second half of a term as it was
-        halves = [(w[:len(w) // 2], w[len(w) // 2:]) for w in self.words if edits_allowed(w)]
-        self.heads, self.tails = {h for h, _ in halves}, {t for _, t in halves}
-        self.head_sizes, self.tail_sizes = {len(h) for h in self.heads}, {len(t) for t in self.tails}
+        heads, tails = defaultdict(list), defaultdict(list)
+        for w, odds in self.words.items():
+            if len(w) >= FUZZY_LETTERS and odds >= FUZZY_ODDS:
+                h = len(w) // 2
+                heads[w[:h]].append((w[h:], w))
+                tails[w[h:]].append((w[:h][::-1], w))
+        self.heads, self.tails = ({k: (trie(v), {len(x) + d for x, _ in v for d in (-1, 0, 1)}) for k, v in part.items()}
+                                  for part in (heads, tails))
+        self.head_sizes, self.tail_sizes = sorted({len(h) for h in heads}), sorted({len(t) for t in tails})
 
     def fuzzy(self, word: str) -> str | None:
-        """The nearest term within its allowed edits (ties: larger weight, then the smaller term)."""
-        if not (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
-            return None
-        auto, found = LevenshteinAutomaton(word, 1), []
-        todo = [(self.trie, auto.start())]
-        while todo:
-            node, state = todo.pop()
-            for c, child in node.items():
-                if c == "":
-                    if auto.accepts(state) and state[-1] <= edits_allowed(child):
-                        found.append((state[-1], -self.words[child], child))
-                elif auto.alive(after := auto.step(state, c)):
-                    todo.append((child, after))
-        return min(found)[2] if found else None
+        """The nearest term within one edit (ties: larger weight, then the smaller term)."""
+        found = []
+        for n in self.head_sizes:
+            if (sub := self.heads.get(word[:n])) and len(word) - n in sub[1]:
+                found += within_one_edit(sub[0], word[n:])
+        for n in self.tail_sizes:
+            if len(word) >= n and (sub := self.tails.get(word[len(word) - n:])) and len(word) - n in sub[1]:
+                found += within_one_edit(sub[0], word[:len(word) - n][::-1])
+        return min((d, -self.words[w], w) for d, w in found)[2] if found else None
 
     def match(self, word: str) -> tuple[float, bool] | None:
         """(weight, exact) of the term that a normal word stands for."""
@@ -120,7 +144,7 @@ class Lexicon:
         for n in STEMS:
             if n < len(word) and (w := self.stems.get(word[:n])) is not None:
                 return w, True
-        if len(word) >= 4 and (term := self.fuzzy(word)):
+        if len(word) >= FUZZY_LETTERS - 1 and (term := self.fuzzy(word)):
             return self.words[term], False
         return None
 
@@ -192,7 +216,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[D
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     taken = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     ids = taken[0].unionByName(taken[1])  # at most 2 * per_class rows: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").dropDuplicates()  # copies teach once
     return rows, {c: n / min(n, per_class) for c, n in totals.items()}
 
 
