@@ -28,23 +28,15 @@ def valid_at(df: DataFrame, as_of, type_col: str | None = None, type_value: str
     return df.filter(cond)
 
 
-# Above this many values an IN-list is turned into a semi join instead of a literal predicate.
-INLIST_MAX = 1000
-
-
 def filter_in(df: DataFrame, col: str, values) -> DataFrame:
-    """IN-list. A short literal list stays a pushed-down ``In`` predicate; a long Python list
-    becomes a broadcast ``left_semi`` join (its size is known: it is already in driver memory); a
-    DataFrame of values becomes a ``left_semi`` join that AQE broadcasts when its measured size is small."""
+    """IN-list. A Python list of any length becomes one pushed-down ``In`` predicate whose values are
+    cast to the column's type; a DataFrame of values becomes a ``left_semi`` join whose strategy is
+    Catalyst's and AQE's."""
     if isinstance(values, DataFrame):
         vcol = values.columns[0]
         return df.join(values.select(F.col(vcol).alias(col)).distinct(), col, "left_semi")
-    vals = list(dict.fromkeys(values))
-    if len(vals) <= INLIST_MAX:
-        return df.filter(F.col(col).isin(vals))
-    dtype = df.schema[col].dataType
-    lookup = df.sparkSession.createDataFrame([(v,) for v in vals], f"{col} {dtype.simpleString()}")
-    return df.join(F.broadcast(lookup), col, "left_semi")
+    kind = df.schema[col].dataType
+    return df.filter(F.col(col).isin([F.lit(v).cast(kind) for v in dict.fromkeys(values)]))
 
 
 def require_grain(df: DataFrame, cols: Iterable[str]) -> DataFrame:

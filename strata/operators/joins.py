@@ -1,8 +1,7 @@
 """Joins (J1-J8). Physical strategy is Catalyst's and AQE's: a side is broadcast only when it is
 bounded by construction (a literal list, a spine, one row per nation) or when its *measured* size
 after a shuffle stage is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise the join
-stays a shuffle (sort-merge) join and AQE splits skewed partitions. ``bounded_broadcast`` is the
-explicit, checked form for callers that want a hint.
+stays a shuffle (sort-merge) join and AQE splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -15,35 +14,19 @@ from pyspark.sql import functions as F
 from .windows import dedup_latest
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int, known_bound: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    ``known_bound`` states a bound that holds by construction (no job runs). Otherwise a
-    ``limit(max_rows + 1).count()`` job proves or refutes the bound; above it the plain DataFrame
-    is returned and the join stays a shuffle join.
-    """
-    if known_bound is not None and known_bound <= max_rows:
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def join_dim(fact: DataFrame, dim: DataFrame, key, broadcast_dim: bool = False) -> DataFrame:
-    """Fact ⋈ dimension on the surrogate key (inner). ``broadcast_dim`` only for bounded dims."""
-    d = F.broadcast(dim) if broadcast_dim else dim
-    return fact.join(d, _keys(key), "inner")
+def join_dim(fact: DataFrame, dim: DataFrame, key) -> DataFrame:
+    """Fact ⋈ dimension on the surrogate key (inner)."""
+    return fact.join(dim, _keys(key), "inner")
 
 
-def enrich(fact: DataFrame, dim: DataFrame, key, cols: list[str], broadcast_dim: bool = False) -> DataFrame:
+def enrich(fact: DataFrame, dim: DataFrame, key, cols: list[str]) -> DataFrame:
     """Left lookup of ``cols`` from a dimension that is unique on ``key``."""
     k = _keys(key)
-    d = dim.select(*k, *[c for c in cols if c not in k])
-    d = F.broadcast(d) if broadcast_dim else d
-    return fact.join(d, k, "left")
+    return fact.join(dim.select(*k, *[c for c in cols if c not in k]), k, "left")
 
 
 def join_facts_raw(a: DataFrame, b: DataFrame, keys) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DML_UPDATE
@@ -29,11 +29,12 @@ def _cond(keys: list[str], null_safe: bool) -> Column:
 
 def merge_upsert(target: DataFrame | None, source: DataFrame, keys, update_cols: list[str],
                  run_ts: dt.datetime | None = None, stamp_col: str | None = "CDL_LOAD_DATE",
-                 null_safe: bool = False, matched_col: str | None = None) -> DataFrame:
+                 null_safe: bool = False, matched_col: str | None = None, unique_source: bool = False) -> DataFrame:
     """M1/M2: WHEN MATCHED update ``update_cols`` (+ stamp); WHEN NOT MATCHED insert the source row.
 
-    Output columns follow the target schema. ``source`` must carry every target column except the
-    stamp. Non-updatable columns of a matched row keep the target's value (T7). With ``null_safe``
+    Output columns follow the target schema; a source column that the target does not have is an error.
+    A key that several source rows carry fails the job, as MERGE does, when its rows are read
+    (``unique_source`` says that the source is deduplicated and skips the check). Non-updatable columns of a matched row keep the target's value (T7). With ``null_safe``
     False a NULL key never matches, as with ``=`` in SQL (T21). ``matched_col`` names an optional
     boolean output column that is true for rows present on both sides.
     """
@@ -43,8 +44,16 @@ def merge_upsert(target: DataFrame | None, source: DataFrame, keys, update_cols:
     ts = F.lit(run_ts).cast("timestamp") if run_ts is not None else F.current_timestamp()
     if target is None:
         return source.select(*[(ts.alias(c) if c == stamp_col else F.col(c)) for c in cols])
+    if new := [c for c in source.columns if c not in cols]:
+        raise ValueError(f"the target has no columns {new}")
     t = target.withColumn("_tp", F.lit(True)).alias("_t")
-    s = source.withColumn("_sp", F.lit(True)).alias("_s")
+    one = F.lit(True)
+    if not unique_source:
+        # counted over the merge keys: the window shares the join's shuffle and sort
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        twice = (n > 1) if null_safe else (n > 1) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        one = F.when(twice, F.raise_error(F.lit("a merge key has several source rows")).cast("boolean")).otherwise(one)
+    s = source.withColumn("_sp", one).alias("_s")
     j = t.join(s, _cond(keys, null_safe), "full_outer")
     has_s, has_t = F.col("_s._sp").isNotNull(), F.col("_t._tp").isNotNull()
     out = []
@@ -97,7 +106,7 @@ MART_KEY = "ADMIN_COMPOSITEKEY_HASH"
 _MART_UPDATED_ADMIN = ("ADMIN_ROW_HASH", "ADMIN_ISERROR", "ADMIN_SOURCE_SYSTEM")
 
 
-def merge_mart(target: DataFrame | None, source: DataFrame, run_ts: dt.datetime) -> DataFrame:
+def merge_mart(target: DataFrame | None, source: DataFrame, run_ts: dt.datetime, unique_source: bool = False) -> DataFrame:
     """M5: MERGE on the composite-key hash. Update sets every data column, the modified time and
     DML flag 'UPDATE'; insert takes the source row as built by ``add_admin`` ('INSERT', 'ACTIVE')."""
     if target is None:
@@ -105,7 +114,8 @@ def merge_mart(target: DataFrame | None, source: DataFrame, run_ts: dt.datetime)
     data = [c for c in source.columns if not c.startswith("ADMIN_")]
     upd = data + list(_MART_UPDATED_ADMIN) + ["ADMIN_LAST_MODIFIED_DATE"]
     src = source.withColumn("ADMIN_LAST_MODIFIED_DATE", F.lit(run_ts).cast("timestamp"))
-    merged = merge_upsert(target, src, [MART_KEY], upd, run_ts, stamp_col=None, matched_col="_matched")
+    merged = merge_upsert(target, src, [MART_KEY], upd, run_ts, stamp_col=None, matched_col="_matched",
+                          unique_source=unique_source)
     flag = F.when(F.col("_matched"), F.lit(DML_UPDATE)).otherwise(F.col("ADMIN_DML_OPERATION_FLAG"))
     return merged.withColumn("ADMIN_DML_OPERATION_FLAG", flag).drop("_matched")
 

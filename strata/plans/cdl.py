@@ -71,7 +71,7 @@ def _upsert(raw: DataFrame, keys: dict[str, Column], schema: T.StructType, merge
         return x.select(*[(ts.alias(f.name) if f.name == "CDL_LOAD_DATE" else col(f)) for f in schema.fields])
     src = x.select(*[col(f) for f in schema.fields if f.name != "CDL_LOAD_DATE"])
     out = merge_upsert(target, src, merge_keys, update_cols + ["RAW_LOAD_DATE"], run_ts, "CDL_LOAD_DATE",
-                       null_safe=null_safe)
+                       null_safe=null_safe, unique_source=dedup or strict)
     return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
@@ -186,15 +186,30 @@ CDL_ORDER = ("cdl_dim_company", "cdl_dim_customer", "cdl_dim_product", "cdl_dim_
              "cdl_fact_returns", "cdl_fact_demand_forecast", "cdl_fact_sales_forecast")
 
 
+def calendar_bounds(raw: dict[str, DataFrame]) -> tuple[Column, Column]:
+    """First order date and last order or return date: one aggregate per table, read as one scalar."""
+    ends = raw["raw_order_line"].agg(F.min("TRANSACTION_DATE").alias("lo"), F.max("TRANSACTION_DATE").alias("hi")).unionByName(
+        raw["raw_return"].agg(F.lit(None).cast("date").alias("lo"), F.max("RETURN_DATE").alias("hi")))
+    both = ends.agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("r")).scalar()
+    return both["lo"], both["hi"]
+
+
+# Large facts: the builder, the RAW table, its date and the merge keys. They are kept by month.
+MONTHLY_FACTS = {
+    "cdl_fact_sales": (build_fact_sales, "raw_order_line", "TRANSACTION_DATE", ["ORDER_ID", "ORDER_LINE_NO"]),
+    "cdl_fact_returns": (build_fact_returns, "raw_return", "RETURN_DATE", ["RETURN_ID", "ORDER_LINE_NO"]),
+    "cdl_fact_demand_forecast": (build_fact_demand_forecast, "raw_demand_forecast", "FORECAST_DATE", ["FORECAST_ID"]),
+    "cdl_fact_sales_forecast": (build_fact_sales_forecast, "raw_sales_forecast", "FORECAST_DATE", ["FORECAST_ID"]),
+}
+
+
 def cdl_builders(spark: SparkSession, raw: dict[str, DataFrame], targets: dict[str, DataFrame] | None = None,
                  run_ts=DEFAULT_RUN_TS) -> dict:
     """Zero-argument builders of the eleven CDL plans from RAW DataFrames (and optional targets)."""
     t = targets or {}
 
     def calendar():
-        ol, rt = raw["raw_order_line"], raw["raw_return"]
-        start = ol.select(F.min("TRANSACTION_DATE")).scalar()
-        end = F.greatest(ol.select(F.max("TRANSACTION_DATE")).scalar(), rt.select(F.max("RETURN_DATE")).scalar())
+        start, end = calendar_bounds(raw)
         return build_dim_calendar(spark, start, end, t.get("cdl_dim_calendar"), run_ts)
 
     return {
@@ -229,10 +244,6 @@ class LazyTables(dict):
         self[key] = df
         return df
 
-    def keys_available(self):
-        return list(self._builders)
-
-
 def cdl_plans(spark: SparkSession, raw: dict[str, DataFrame], targets: dict[str, DataFrame] | None = None,
               run_ts=DEFAULT_RUN_TS) -> LazyTables:
     """Lazy plans of all eleven CDL tables; each is built when first used."""

@@ -19,6 +19,8 @@ TYPE_NAMES = {
     "FLOAT64": T.DoubleType(), "FLOAT": T.DoubleType(), "BOOL": T.BooleanType(), "BOOLEAN": T.BooleanType(),
     "DATE": T.DateType(), "TIMESTAMP": T.TimestampType(), "DATETIME": T.TimestampNTZType(),
     "BYTES": T.BinaryType(), "BIGNUMERIC": T.DecimalType(38, 18),
+    # kept as text: Spark tables have no such column types
+    "TIME": T.StringType(), "JSON": T.StringType(), "GEOGRAPHY": T.StringType(),
 }
 
 

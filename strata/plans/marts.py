@@ -59,13 +59,13 @@ def fact_product_profitability(sales: DataFrame, returns: DataFrame, price: Data
         F.sum("ORDER_QTY").alias("TOTAL_SALES_QTY"),
         F.sum(F.col("ORDER_VALUE").cast("decimal(18,2)")).alias("TOTAL_SALES_VALUE"),
         F.sum(F.col("ORDER_LIST_VALUE").cast("decimal(18,2)")).alias("TOTAL_LIST_VALUE"))
-    r = returns.groupBy(*pc).agg(F.sum("RETURN_QTY").alias("TOTAL_RETURN_QTY"),
-                                 F.sum(F.col("RETURN_VALUE").cast("decimal(18,2)")).alias("TOTAL_RETURN_VALUE"))
+    r = returns.groupBy(*pc, "CURRENCY_CODE").agg(F.sum("RETURN_QTY").alias("TOTAL_RETURN_QTY"),
+                                                  F.sum(F.col("RETURN_VALUE").cast("decimal(18,2)")).alias("TOTAL_RETURN_VALUE"))
     lp = current_price(price, as_of, "PRICE_TYPE", price_type).select(
         "KEY_PRODUCT", F.col("PRICE").alias("CURRENT_LIST_PRICE"))
     uc = current_price(cost, as_of, "COST_TYPE", cost_type).select(
         "KEY_PRODUCT", F.col("COST").alias("CURRENT_UNIT_COST"))
-    j = grain_left_join(s, [r], pc)
+    j = grain_left_join(s, [r], [*pc, "CURRENCY_CODE"])
     j = j.join(lp, "KEY_PRODUCT", "left").join(uc, "KEY_PRODUCT", "left")
     j = enrich(j, product, "KEY_PRODUCT", ["PRODUCT_NAME", "CATEGORY", "BRAND"])
     j = fill_defaults(j, overrides={})
@@ -80,7 +80,7 @@ def fact_product_profitability(sales: DataFrame, returns: DataFrame, price: Data
     j = j.withColumn("GROSS_MARGIN", (F.col("NET_SALES_VALUE")
                                       - F.col("NET_SALES_QTY").cast("decimal(20,0)") * cost_c).cast(S.NUMERIC))
     j = j.withColumns({
-        "GROSS_MARGIN_PCT": safe_divide(F.col("GROSS_MARGIN").cast("decimal(18,2)"),
+        "GROSS_MARGIN_PCT": safe_divide(F.col("GROSS_MARGIN"),
                                         F.col("NET_SALES_VALUE")) * F.lit(100.0),
         "RETURN_RATE_PCT": safe_divide(F.coalesce(F.col("TOTAL_RETURN_QTY"), F.lit(0)),
                                        F.col("TOTAL_SALES_QTY")) * F.lit(100.0)})
@@ -103,11 +103,12 @@ def fact_demand_vs_sales(demand: DataFrame, sales_fc: DataFrame, sales: DataFram
         (sales_fc, [F.sum("SALES_FORECAST_QTY").alias("SALES_FORECAST_QTY"),
                     F.sum("SALES_FORECAST_STAGED_QTY").alias("SALES_FORECAST_STAGED_QTY")]),
     ], FORECAST_GRAIN)
-    act = sales.groupBy("KEY_PRODUCT", "KEY_COMPANY", "KEY_SELLING_METHOD",
+    act_keys = ["KEY_PRODUCT", "KEY_COMPANY", "KEY_SELLING_METHOD", "CURRENCY_CODE"]
+    act = sales.groupBy(*act_keys,
                         F.trunc("TRANSACTION_DATE", "MM").alias("TX_MONTH")).agg(
         F.sum("ORDER_QTY").alias("ACTUAL_SALES_QTY"),
         F.sum(F.col("ORDER_VALUE").cast("decimal(18,2)")).alias("ACTUAL_SALES_VALUE"))
-    j = month_join(fc, act, ["KEY_PRODUCT", "KEY_COMPANY", "KEY_SELLING_METHOD"], "FORECAST_DATE", "TX_MONTH")
+    j = month_join(fc, act, act_keys, "FORECAST_DATE", "TX_MONTH")
     j = require_grain(j, ["KEY_PRODUCT", "KEY_COMPANY", "KEY_SELLING_METHOD", "AS_OF_DATE", "FORECAST_DATE"])
     j = enrich(j, product, "KEY_PRODUCT", ["PRODUCT_NAME", "CATEGORY", "BRAND"])
     j = enrich(j, company, "KEY_COMPANY", ["COMPANY_NAME"])
@@ -137,7 +138,7 @@ def build_mart(df: DataFrame, keys: list[str], required: list[str], run_ts: dt.d
     x = add_admin(x, keys, required, run_ts, source_system)
     ties = [F.col(c).asc_nulls_first() for c in data_cols]
     x = dedup_latest(x, ["ADMIN_COMPOSITEKEY_HASH"], list(order or []) + ties, tie_break=False)
-    return merge_mart(target, x, run_ts)
+    return merge_mart(target, x, run_ts, unique_source=True)
 
 
 # Margin bands of the company/category report (percent thresholds).

@@ -16,7 +16,7 @@ from ..plans import runs as R
 from ..plans.cdl import DEFAULT_RUN_TS, build_fact_sales
 from .. import oracle_sql as O
 from ..registry import register
-from . import relational as _rel  # noqa: F401  (registers the runs/lessons CTEs)
+from . import marts as _marts, relational as _rel, upserts as _ups  # noqa: F401  (register the CTEs used below)
 from ..session import scratch_root
 from ..sources import schemas as S
 from ..sources import store
@@ -55,20 +55,24 @@ def s4(ctx):
 
 @register("s5_ensure_table_append_log", O.sql(f"SELECT {O.render(S.PIPELINE_RUNS)} FROM runs", "runs"))
 def s5(ctx):
-    """S5 + S6: create the run-log table only if missing (typed, empty), then append records twice
-    (the second ensure is a no-op)."""
+    """S5 + S6: create the run-log table only if missing (typed, empty), then append the runs;
+    the second ensure is a no-op and the table reads back what was appended."""
     path = _scratch(ctx, "ops")
     store.ensure_table(ctx.spark, path, S.PIPELINE_RUNS)
-    runs = pipeline_runs(ctx.spark, ctx.sf_dir)
-    store.append_log(runs, os.path.join(path, "appended"))
+    store.append_log(pipeline_runs(ctx.spark, ctx.sf_dir), path)
     store.ensure_table(ctx.spark, path, S.PIPELINE_RUNS)
-    return ctx.spark.read.schema(S.PIPELINE_RUNS).parquet(os.path.join(path, "appended"))
+    return store.read_table(ctx.spark, path)
+
 
+_S7_OUT = ["KEY_CALENDAR", "KEY_PRODUCT", "KEY_COMPANY", "KEY_CUSTOMER", "KEY_SELLING_METHOD", "TOTAL_ORDER_QTY"]
 
-@register("s7_write_mart")
+
+@register("s7_write_mart", O.sql(f"""
+SELECT {', '.join(_S7_OUT[:-1])}, cast(TOTAL_ORDER_QTY as bigint) TOTAL_ORDER_QTY,
+       cast(cast(date_trunc('month', TRANSACTION_DATE) as date) as varchar) LOAD_MONTH FROM b1_mart""", "b1_mart"))
 def s7(ctx):
-    """The sales summary mart with its ADMIN block, month-partitioned and clustered by ≤4 keys;
-    read back with a partition filter (pruned at planning time)."""
+    """The sales summary mart with its ADMIN block, month-partitioned and clustered by two keys,
+    committed as a version and read back."""
     from ..functions.scalars import add_admin
     from .marts import b1
     mart = add_admin(b1(ctx), ["KEY_CALENDAR", "KEY_PRODUCT", "KEY_COMPANY", "KEY_CUSTOMER", "KEY_SELLING_METHOD"],
@@ -76,17 +80,17 @@ def s7(ctx):
     mart = mart.withColumn("ADMIN_LOAD_DATE", F.col("TRANSACTION_DATE").cast("timestamp"))
     path = _scratch(ctx, "mart")
     store.write_mart(mart, path, "ADMIN_LOAD_DATE", ["KEY_COMPANY", "KEY_PRODUCT"])
-    return ctx.spark.read.parquet(path)
+    return store.read_table(ctx.spark, path).select(*_S7_OUT, F.col("LOAD_MONTH").cast("string"))
 
 
-@register("s10_schema_from_sample")
+@register("s10_schema_from_sample", O.sql(" UNION ALL ".join(
+    f"SELECT '{f.name}' column_name, 'string' data_type, count({f.name}) = 0 null_only FROM raw_company"
+    for f in S.RAW_COMPANY.fields) + " UNION ALL SELECT 'SPARE', 'string', true", "raw_company"))
 def s10(ctx):
-    """A sample JSON array file (ten companies, one column always NULL) described as
-    (column, type, null_only). The sample is bounded (ten rows) by definition."""
-    comp = ctx.raw["raw_company"].orderBy("COMPANY_CODE").limit(10).withColumn("SPARE", F.lit(None).cast("string"))
-    text = comp.agg(F.to_json(F.collect_list(F.struct(*comp.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    """The company table and one column that is always NULL, written as JSON lines and described
+    as (column, type, null_only) from the files alone."""
     path = _scratch(ctx, "sample")
-    text.coalesce(1).write.mode("overwrite").text(path)
+    ctx.raw["raw_company"].withColumn("SPARE", F.lit(None).cast("string")).write.option("ignoreNullFields", False).json(path)
     return store.schema_from_sample(ctx.spark, path)
 
 
@@ -99,7 +103,17 @@ def m7(ctx):
     return store.read_table(ctx.spark, path)
 
 
-@register("r1_refresh_cdl")
+def _counts(tables, run="", step="cdl"):
+    """Run-log rows (without times) of a run whose every table succeeds."""
+    return " UNION ALL ".join(f"SELECT '{run}' run_id, '{step}' step, '{t}' table_name, 'success' status, count(*) rows_affected FROM {t}"
+                              for t in tables)
+
+
+def _log(df):
+    return df.select("run_id", "step", "table_name", "status", F.col("rows_affected").cast("bigint").alias("rows_affected"))
+
+
+@register("r1_refresh_cdl", O.sql(_counts(R.CDL_ORDER, "first") + " UNION ALL " + _counts(R.CDL_ORDER, "second"), *R.CDL_ORDER))
 def r1(ctx):
     """R1 + R3: the eleven CDL MERGEs in order into a fresh warehouse, then a second run (every
     table now has a target); both run logs, rows counted while writing."""
@@ -107,58 +121,83 @@ def r1(ctx):
     log = R.refresh_cdl(ctx.spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="first")
     log += R.refresh_cdl(ctx.spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="second")
     R.append_run_log(ctx.spark, log, root)
-    return ctx.spark.read.parquet(os.path.join(root, "ops", "pipeline_runs"))
+    return _log(store.read_table(ctx.spark, os.path.join(root, "ops", "pipeline_runs")))
 
 
-@register("r2_refresh_bl")
+SUMMARY_KEYS = ["KEY_CALENDAR", "KEY_PRODUCT", "KEY_COMPANY", "KEY_CUSTOMER", "KEY_SELLING_METHOD", "CURRENCY_CODE"]
+PROFIT_KEYS = ["KEY_PRODUCT", "KEY_COMPANY", "CURRENCY_CODE"]
+DEMAND_KEYS = ["KEY_PRODUCT", "KEY_COMPANY", "KEY_SELLING_METHOD", "AS_OF_DATE", "FORECAST_DATE", "CURRENCY_CODE"]
+
+
+def standard_marts(c, as_of):
+    """The three marts over conformed tables ``c``."""
+    from ..plans import marts as M
+    return {
+        "fact_sales_summary": R.Mart(lambda: M.fact_sales_summary(c["cdl_fact_sales"], c["cdl_dim_product"], c["cdl_dim_company"]),
+                                     SUMMARY_KEYS, ["COMPANY_CODE"], ["KEY_COMPANY", "KEY_PRODUCT"]),
+        "fact_product_profitability": R.Mart(lambda: M.fact_product_profitability(
+            c["cdl_fact_sales"], c["cdl_fact_returns"], c["cdl_fact_product_price"], c["cdl_fact_product_cost"],
+            c["cdl_dim_product"], as_of), PROFIT_KEYS, ["COMPANY_CODE"]),
+        "fact_demand_vs_sales": R.Mart(lambda: M.fact_demand_vs_sales(
+            c["cdl_fact_demand_forecast"], c["cdl_fact_sales_forecast"], c["cdl_fact_sales"], c["cdl_dim_product"],
+            c["cdl_dim_company"]), DEMAND_KEYS, ["COMPANY_CODE"]),
+    }
+
+
+def _mart_counts(run):
+    return " UNION ALL ".join(
+        f"SELECT '{run}' run_id, 'bl' step, '{name}' table_name, 'success' status, count(*) rows_affected FROM "
+        f"(SELECT DISTINCT {', '.join(keys)} FROM {cte})"
+        for name, cte, keys in (("fact_sales_summary", "b1_mart", SUMMARY_KEYS), ("fact_product_profitability", "b2_mart", PROFIT_KEYS),
+                                ("fact_demand_vs_sales", "b3_mart", DEMAND_KEYS)))
+
+
+@register("r2_refresh_bl", O.sql(_mart_counts("bl") + " UNION ALL SELECT 'bl', 'bl', 'broken_mart', 'failed', 0 "
+                                 "UNION ALL " + _mart_counts("bl2"), "b1_mart", "b2_mart", "b3_mart"))
 def r2(ctx):
     """R2 + R3: the CDL layer is refreshed and written first (R1); every mart is then built from the
-    *written* conformed tables (lineage cut at the layer boundary) and written; a failing mart is
-    logged and the others still run."""
-    from ..plans import marts as M
+    *written* conformed tables, given its ADMIN block and merged into its table; a failing mart is
+    logged and the others still run. A second refresh merges into the written marts."""
     from .marts import as_of_latest_order
     root = _scratch(ctx, "warehouse")
-    log = R.refresh_cdl(ctx.spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="bl")
-    c = R.written_cdl(ctx.spark, root)
+    R.refresh_cdl(ctx.spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="bl")
+    marts = standard_marts(R.written_cdl(ctx.spark, root), as_of_latest_order(ctx))
 
     def broken():
         raise RuntimeError("mart definition refers to a missing column")
 
-    marts = {
-        "fact_sales_summary": lambda: M.fact_sales_summary(c["cdl_fact_sales"], c["cdl_dim_product"],
-                                                           c["cdl_dim_company"]),
-        "fact_product_profitability": lambda: M.fact_product_profitability(
-            c["cdl_fact_sales"], c["cdl_fact_returns"], c["cdl_fact_product_price"], c["cdl_fact_product_cost"],
-            c["cdl_dim_product"], as_of_latest_order(ctx)),
-        "broken_mart": broken,
-        "fact_demand_vs_sales": lambda: M.fact_demand_vs_sales(
-            c["cdl_fact_demand_forecast"], c["cdl_fact_sales_forecast"], c["cdl_fact_sales"], c["cdl_dim_product"],
-            c["cdl_dim_company"]),
-    }
-    log += R.refresh_bl(ctx.spark, marts, root, DEFAULT_RUN_TS, run_id="bl")
-    return R.log_frame(ctx.spark, log)
+    log = R.refresh_bl(ctx.spark, {**marts, "broken_mart": R.Mart(broken, ["x"])}, root, DEFAULT_RUN_TS, run_id="bl")
+    log += R.refresh_bl(ctx.spark, marts, root, DEFAULT_RUN_TS, run_id="bl2")
+    return _log(R.log_frame(ctx.spark, log))
 
 
-@register("r6_stream_upsert", O.sql(f"SELECT {O.render(S.CDL_FACT_SALES)} FROM cdl_fact_sales", "cdl_fact_sales"))
+@register("r6_stream_upsert", O.sql(f"SELECT {O.render(S.CDL_FACT_SALES)} FROM m1_merged", "m1_merged"))
 def r6(ctx):
-    """RAW order-line files arriving in two drops are streamed (availableNow) into staging and
-    merged into the sales fact; equals the batch build (c8)."""
+    """RAW order-line files arrive in two overlapping drops; after each the stream (availableNow)
+    stages what is new and merges it into the written sales fact: the second updates and inserts. Equals
+    the batch merge of the two loads (m1)."""
+    from .upserts import CUT, RUN2
     base = _scratch(ctx, "stream")
-    src = os.path.join(base, "incoming")
+    src, table = os.path.join(base, "incoming"), os.path.join(base, "cdl_fact_sales")
     ol = ctx.raw["raw_order_line"]
-    cut = F.lit("1997-01-01").cast("date")
-    store.write_jsonl(ol.filter(F.col("TRANSACTION_DATE") < cut), os.path.join(src, "drop1"))
-    store.write_jsonl(ol.filter(F.col("TRANSACTION_DATE") >= cut), os.path.join(src, "drop2"))
-    return stream_upsert(ctx.spark, os.path.join(src, "*"), S.RAW_ORDER_LINE, os.path.join(base, "staging"),
-                         lambda staged: build_fact_sales(staged), checkpoint=os.path.join(base, "_checkpoint"))
-
-
-@register("r7_daily_refresh")
+    day = F.col("TRANSACTION_DATE")
+    drops = ((ol.filter(day < F.lit(CUT).cast("date")), DEFAULT_RUN_TS), (ol.filter(day >= F.lit("1996-07-01").cast("date")), RUN2))
+    for i, (rows, run_ts) in enumerate(drops):
+        store.write_jsonl(rows, os.path.join(src, f"drop{i}"))
+        out = stream_upsert(ctx.spark, os.path.join(src, "*"), S.RAW_ORDER_LINE, os.path.join(base, "staging"), table,
+                            ["ORDER_ID", "ORDER_LINE_NO"], lambda new, old, ts=run_ts: build_fact_sales(new, old, ts),
+                            checkpoint=os.path.join(base, "_checkpoint"))
+    return out
+
+
+@register("r7_daily_refresh", O.sql(
+    _counts(R.CDL_ORDER, "daily") + " UNION ALL " + _mart_counts("daily") + " UNION ALL " + " UNION ALL ".join(
+        f"SELECT 'daily', 'dq', '{m}', 'success', 0" for m in ("fact_sales_summary", "fact_product_profitability", "fact_demand_vs_sales")),
+    *R.CDL_ORDER, "b1_mart", "b2_mart", "b3_mart"))
 def r7(ctx):
     """§3.3 daily refresh end to end: the RAW tables land as NDJSON files, are loaded with their
-    declared schemas, conformed (R1), the three marts rebuilt from the written conformed layer (R2),
-    each mart checked by its DQ suite, everything logged. Returns the run log."""
-    from ..plans import marts as M
+    declared schemas, conformed (R1), the three marts merged from the written conformed layer (R2),
+    each mart checked by its DQ suite, everything logged. Returns the run log without times."""
     from .marts import as_of_latest_order
     base = _scratch(ctx, "daily")
     landing = os.path.join(base, "landing")
@@ -166,18 +205,5 @@ def r7(ctx):
         store.write_jsonl(df, os.path.join(landing, name))
     raw = R.read_landing(ctx.spark, landing)
     as_of = as_of_latest_order(ctx)
-    marts = {
-        "fact_sales_summary": lambda c: M.fact_sales_summary(c["cdl_fact_sales"], c["cdl_dim_product"],
-                                                             c["cdl_dim_company"]),
-        "fact_product_profitability": lambda c: M.fact_product_profitability(
-            c["cdl_fact_sales"], c["cdl_fact_returns"], c["cdl_fact_product_price"], c["cdl_fact_product_cost"],
-            c["cdl_dim_product"], as_of),
-        "fact_demand_vs_sales": lambda c: M.fact_demand_vs_sales(
-            c["cdl_fact_demand_forecast"], c["cdl_fact_sales_forecast"], c["cdl_fact_sales"], c["cdl_dim_product"],
-            c["cdl_dim_company"]),
-    }
-    keys = {"fact_sales_summary": ["KEY_CALENDAR", "KEY_PRODUCT", "KEY_COMPANY", "KEY_CUSTOMER", "KEY_SELLING_METHOD"],
-            "fact_product_profitability": ["KEY_PRODUCT", "KEY_COMPANY"],
-            "fact_demand_vs_sales": ["KEY_PRODUCT", "KEY_COMPANY", "KEY_SELLING_METHOD", "AS_OF_DATE",
-                                     "FORECAST_DATE"]}
-    return R.daily_refresh(ctx.spark, raw, os.path.join(base, "warehouse"), marts, DEFAULT_RUN_TS, "daily", keys)
+    log = R.daily_refresh(ctx.spark, raw, os.path.join(base, "warehouse"), lambda c: standard_marts(c, as_of), DEFAULT_RUN_TS, "daily")
+    return _log(log)

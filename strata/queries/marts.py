@@ -58,7 +58,7 @@ SELECT s.KEY_PRODUCT, s.KEY_COMPANY, s.TOY_NO, s.DASH_CODE, coalesce(p.PRODUCT_N
             - (s.TOTAL_SALES_QTY - coalesce(r.TOTAL_RETURN_QTY, 0)) * coalesce(uc.COST, 0) as decimal(38,9)) GROSS_MARGIN,
        coalesce(case when cast(s.TOTAL_SALES_VALUE - coalesce(r.TOTAL_RETURN_VALUE, 0) as double) = 0 then NULL
             else cast(cast((s.TOTAL_SALES_VALUE - coalesce(r.TOTAL_RETURN_VALUE, 0))
-                 - (s.TOTAL_SALES_QTY - coalesce(r.TOTAL_RETURN_QTY, 0)) * coalesce(uc.COST, 0) as decimal(18,2)) as double)
+                 - (s.TOTAL_SALES_QTY - coalesce(r.TOTAL_RETURN_QTY, 0)) * coalesce(uc.COST, 0) as decimal(38,9)) as double)
                  / cast(s.TOTAL_SALES_VALUE - coalesce(r.TOTAL_RETURN_VALUE, 0) as double) * 100.0 end, 0) GROSS_MARGIN_PCT,
        coalesce(case when s.TOTAL_SALES_QTY = 0 then NULL
             else cast(coalesce(r.TOTAL_RETURN_QTY, 0) as double) / cast(s.TOTAL_SALES_QTY as double) * 100.0 end, 0)
@@ -67,9 +67,10 @@ FROM (SELECT KEY_PRODUCT, KEY_COMPANY, TOY_NO, DASH_CODE, COMPANY_CODE, CURRENCY
              sum(cast(ORDER_VALUE as decimal(18,2))) TOTAL_SALES_VALUE,
              sum(cast(ORDER_LIST_VALUE as decimal(18,2))) TOTAL_LIST_VALUE
       FROM cdl_fact_sales GROUP BY ALL) s
-LEFT JOIN (SELECT KEY_PRODUCT, KEY_COMPANY, sum(RETURN_QTY) TOTAL_RETURN_QTY,
+LEFT JOIN (SELECT KEY_PRODUCT, KEY_COMPANY, CURRENCY_CODE, sum(RETURN_QTY) TOTAL_RETURN_QTY,
                   sum(cast(RETURN_VALUE as decimal(18,2))) TOTAL_RETURN_VALUE
            FROM cdl_fact_returns GROUP BY ALL) r ON s.KEY_PRODUCT = r.KEY_PRODUCT AND s.KEY_COMPANY = r.KEY_COMPANY
+  AND s.CURRENCY_CODE = r.CURRENCY_CODE
 LEFT JOIN (SELECT KEY_PRODUCT, PRICE FROM (
              SELECT *, row_number() OVER (PARTITION BY KEY_PRODUCT ORDER BY EFFECTIVE_DATE DESC) rn
              FROM cdl_fact_product_price WHERE PRICE_TYPE = 'LIST'
@@ -117,12 +118,12 @@ FROM (SELECT fc.KEY_PRODUCT, fc.KEY_COMPANY, fc.KEY_SELLING_METHOD, fc.AS_OF_DAT
                               sum(SALES_FORECAST_STAGED_QTY) SALES_FORECAST_STAGED_QTY
                        FROM cdl_fact_sales_forecast GROUP BY ALL) f USING ({_G})
       ) fc
-      LEFT JOIN (SELECT KEY_PRODUCT, KEY_COMPANY, KEY_SELLING_METHOD,
+      LEFT JOIN (SELECT KEY_PRODUCT, KEY_COMPANY, KEY_SELLING_METHOD, CURRENCY_CODE,
                         cast(date_trunc('month', TRANSACTION_DATE) as date) TX_MONTH, sum(ORDER_QTY) ACTUAL_SALES_QTY,
                         sum(cast(ORDER_VALUE as decimal(18,2))) ACTUAL_SALES_VALUE
                  FROM cdl_fact_sales GROUP BY ALL) a
         ON fc.KEY_PRODUCT = a.KEY_PRODUCT AND fc.KEY_COMPANY = a.KEY_COMPANY
-       AND fc.KEY_SELLING_METHOD = a.KEY_SELLING_METHOD AND cast(date_trunc('month', fc.FORECAST_DATE) as date) = a.TX_MONTH
+       AND fc.KEY_SELLING_METHOD = a.KEY_SELLING_METHOD AND fc.CURRENCY_CODE = a.CURRENCY_CODE AND cast(date_trunc('month', fc.FORECAST_DATE) as date) = a.TX_MONTH
       WHERE fc.KEY_PRODUCT IS NOT NULL AND fc.KEY_COMPANY IS NOT NULL AND fc.KEY_SELLING_METHOD IS NOT NULL
         AND fc.AS_OF_DATE IS NOT NULL AND fc.FORECAST_DATE IS NOT NULL) j
 LEFT JOIN cdl_dim_product p ON j.KEY_PRODUCT = p.KEY_PRODUCT

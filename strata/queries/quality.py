@@ -17,7 +17,8 @@ _OL_BOUNDS = ("(SELECT min(TRANSACTION_DATE) FROM raw_order_line)", "(SELECT max
 
 def _bounds(ctx):
     ol = ctx.raw["raw_order_line"]
-    return ol.select(F.min("TRANSACTION_DATE")).scalar(), ol.select(F.max("TRANSACTION_DATE")).scalar()
+    both = ol.agg(F.struct(F.min("TRANSACTION_DATE").alias("lo"), F.max("TRANSACTION_DATE").alias("hi")).alias("r")).scalar()
+    return both["lo"], both["hi"]
 
 
 @register("d1_date_spine", O.sql(f"""
@@ -86,11 +87,20 @@ def d6(ctx):
 
 
 # ---------------------------------------------------------------- data quality
-@register("dq1_schema_check", None)
+@register("dq1_schema_check", O.sql("""
+SELECT 'KEY_CALENDAR' column_name, 'missing' issue, 'bigint' expected_type, NULL actual_type, count(*) table_rows FROM cdl_fact_sales
+UNION ALL SELECT 'ORDER_QTY', 'type_drift', 'bigint', 'int', count(*) FROM cdl_fact_sales""", "cdl_fact_sales"))
 def dq1(ctx):
-    """DQ1: expected columns missing from a table, and type drift (metadata only)."""
-    df = ctx.cdl["cdl_fact_sales"].drop("KEY_CALENDAR").withColumn("ORDER_QTY", F.col("ORDER_QTY").cast("int"))
-    return Q.schema_check(df, S.CDL_FACT_SALES)
+    """DQ1: expected columns missing from a written table, and type drift, with the rows they concern."""
+    import os
+    import uuid
+
+    from ..session import scratch_root
+    path = os.path.join(scratch_root(ctx.spark), f"dq1-{uuid.uuid4().hex}")
+    store.full_refresh(ctx.cdl["cdl_fact_sales"].drop("KEY_CALENDAR").withColumn("ORDER_QTY", F.col("ORDER_QTY").cast("int")), path)
+    df = store.read_table(ctx.spark, path)
+    rows = df.agg(F.count(F.lit(1)).alias("table_rows")).scalar()
+    return Q.schema_check(df, S.CDL_FACT_SALES).withColumn("table_rows", rows)
 
 
 @register("dq2_row_count_check", O.sql("SELECT count(*) cnt FROM cdl_fact_sales", "cdl_fact_sales"))

@@ -12,6 +12,7 @@ from ..functions import keys as K
 from ..functions import scalars as P
 from ..plans.mapping import FieldMapping, TableMapping, apply_mapping
 from ..registry import register
+from ..sources import schemas as S
 from ..sources.testdata import pipeline_artifacts, pipeline_lessons
 
 fp = O.fp
@@ -58,11 +59,16 @@ def p4(ctx):
                     K.delimited_hash(["ORDER_ID", "ORDER_LINE_NO"]).alias("DELIMITED_HASH"))
 
 
-@register("p4b_row_hash", None)
+_P4B = [f.name for f in S.RAW_CUSTOMER.fields if f.name != "LOAD_DATE"]
+
+
+@register("p4b_row_hash", O.sql(f"""
+SELECT CUSTOMER_CODE, {O.fp("to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in _P4B) + "))")} ADMIN_ROW_HASH
+FROM raw_customer""", "raw_customer"))
 def p4b(ctx):
-    """Row hash over every non-ADMIN column (JSON rendering is engine specific: rows-only check)."""
+    """Row hash over every non-ADMIN column but the load stamp."""
     r = ctx.raw["raw_customer"]
-    return r.select("CUSTOMER_CODE", K.row_hash(r).alias("ADMIN_ROW_HASH"))
+    return r.select("CUSTOMER_CODE", K.row_hash(r, ["LOAD_DATE"]).alias("ADMIN_ROW_HASH"))
 
 
 @register("p5_rename", O.sql(f"""

@@ -31,24 +31,26 @@ SCALE_CONF = {
 }
 
 
-ADVISORY_PARTITION_BYTES = 128 * 1024 * 1024
+SHUFFLE_PARTITION_BYTES = SCAN_SPLIT_BYTES = 512 * 1024 * 1024
+#: Share of the input that the largest shuffle is expected to move: columns are pruned and rows
+#: pre-aggregated before it.
+SHUFFLE_SHARE = 0.25
 
 
-def sized_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+def sized_conf(input_bytes: int, total_cores: int, shuffle_bytes: int | None = None) -> dict[str, str]:
     """Shuffle sizing for a job reading ``input_bytes`` on ``total_cores`` task slots.
 
-    AQE coalesces small shuffle partitions but never splits a large one (skew aside), so the initial
-    partition count must be sized for the largest shuffle: about one advisory-size (128 MiB) partition
-    per 128 MiB of input, and at least two tasks per core. 100 TB on 1000 executors × 8 cores gives
-    ~800k initial partitions, which AQE then coalesces stage by stage to what each shuffle really holds.
-    Scan splits stay at 128 MiB, so a scan task's input fits comfortably in executor memory.
+    One partition per 512 MiB of the largest shuffle (``shuffle_bytes``, by default a quarter of the
+    input) and at least two tasks per core; scan splits of 512 MiB. 100 TB on 1000 executors x 8 cores
+    gives about 52,000 partitions for about 210,000 map tasks; AQE coalesces smaller shuffles.
     """
-    parts = max(2 * total_cores, -(-input_bytes // ADVISORY_PARTITION_BYTES))
+    moved = int(input_bytes * SHUFFLE_SHARE) if shuffle_bytes is None else shuffle_bytes
+    parts = max(2 * total_cores, -(-moved // SHUFFLE_PARTITION_BYTES))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(ADVISORY_PARTITION_BYTES),
-        "spark.sql.files.maxPartitionBytes": str(ADVISORY_PARTITION_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(SCAN_SPLIT_BYTES),
     }
 
 
@@ -82,18 +84,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
-        # Only reached in local tests: a cluster names its shared folder in spark.checkpoint.dir.
-        configured = tempfile.mkdtemp(prefix="strata-ckpt-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="strata-ckpt-")  # one machine, as in tests
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A shared folder for written intermediate tables: next to the checkpoint folder."""
+    """A shared folder for written intermediate tables: inside the checkpoint folder."""
     base = spark.conf.get("spark.strata.scratch.dir", None)
     if base:
         return base
-    ckpt = ensure_checkpoint_dir(spark)
-    if ckpt.startswith("file:"):
-        ckpt = ckpt[len("file:"):]
-    return os.path.join(os.path.dirname(ckpt.rstrip("/")), "strata-tables")
+    return os.path.join(ensure_checkpoint_dir(spark).rstrip("/"), "strata-tables")

@@ -1,18 +1,18 @@
 """Sources, sinks and table management.
 
 Tables live as Parquet directories under one root per layer (``raw/ cdl/ bl/ br/ ops/``) in a
-shared folder. A full refresh writes a new version folder and then commits it by creating the marker
-``_commits/<seq>`` with create-if-absent: a reader never sees a half-written table, a failed write
+shared folder. A write makes a new version folder and then commits it by renaming a marker to
+``_commits/<seq>`` without overwriting: a reader never sees a half-written table, a failed write
 leaves the previous version current, and two writers that start from the same version cannot both
-commit (optimistic concurrency). Nothing here collects data rows to the driver.
+commit. A marker names the folders of its version: one, or one per partition or appended batch. Nothing here collects data rows to the driver.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +22,21 @@ LAYERS = ("raw", "cdl", "bl", "br", "ops")
 
 
 # ---------------------------------------------------------------- S1-S3 readers and writers
-def read_raw_jsonl(spark: SparkSession, path: str, schema: T.StructType, check_fields: bool = True,
-                   sampling_ratio: float = 1.0) -> DataFrame:
-    """Newline-delimited JSON into a declared schema; a malformed record fails the read.
-
-    FAILFAST rejects values that do not parse, but silently drops fields the schema does not name;
-    ``check_fields`` therefore compares the field names found in the files first (a schema-inference
-    pass, distributed like any read). The full pass is exact; on very large loads ``sampling_ratio``
-    (e.g. 0.01) bounds its cost, at the price of possibly missing a rare undeclared field.
+def read_raw_jsonl(spark: SparkSession, path: str, schema: T.StructType, check_fields: bool = True) -> DataFrame:
+    """Newline-delimited JSON into a declared schema; a malformed record or a field that the schema
+    does not name fails the read.
+
+    FAILFAST rejects values that do not parse but drops undeclared fields, so each line's field names
+    are compared with the schema while it is parsed: one pass over the files, nothing sampled.
     """
-    if check_fields:
-        found = set(spark.read.option("primitivesAsString", True).option("samplingRatio", sampling_ratio)
-                    .json(path).columns)
-        extra = sorted(found - set(schema.fieldNames()) - {"_corrupt_record"})
-        if extra:
-            raise ValueError(f"undeclared fields in {path}: {extra}")
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if not check_fields:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    line = F.col("value")
+    extra = F.array_except(F.json_object_keys(line), F.array(*[F.lit(n) for n in schema.fieldNames()]))
+    parsed = F.from_json(line, schema, {"mode": "FAILFAST"})
+    checked = F.when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("undeclared fields: "), F.array_join(extra, ", ")))
+                     ).otherwise(parsed)
+    return spark.read.text(path).filter(F.trim(line) != "").select(checked.alias("r")).select("r.*")
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -104,31 +103,58 @@ def current_seq(spark: SparkSession, path: str) -> int:
     return seqs[-1] if seqs else 0
 
 
+def _folders(spark: SparkSession, path: str, seq: int | None = None) -> list[tuple[str | None, str]]:
+    """(partition value, folder) of a committed version: one pair without value for a plain table."""
+    seq = current_seq(spark, path) if seq is None else seq
+    if seq == 0:
+        return []
+    lines = _read_text(spark, os.path.join(path, "_commits", f"{seq:010d}")).split("\n")
+    return [tuple(json.loads(x)) if x.startswith("[") else (None, x) for x in lines]
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
-    """The folder of the newest committed version (None when the table does not exist).
+    """The folder that the newest commit wrote (None when the table does not exist).
 
-    A version exists only once its commit marker ``_commits/<seq>`` was created, which happens after
+    A version exists only once its commit marker ``_commits/<seq>`` appears, which happens after
     Spark's job commit finished writing the data: a write that died half-way is never read."""
-    seq = current_seq(spark, path)
-    if seq == 0:
-        return None
-    return os.path.join(path, _read_text(spark, os.path.join(path, "_commits", f"{seq:010d}")))
+    found = _folders(spark, path)
+    return os.path.join(path, found[-1][1].split("/")[0]) if found else None
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    v = current_version(spark, path)
-    return spark.read.parquet(v) if v else None
+    found = _folders(spark, path)
+    return spark.read.parquet(*[os.path.join(path, f) for _, f in found]) if found else None
+
+
+def _commit(spark: SparkSession, path: str, base: int, lines: list[str]) -> None:
+    """The marker of version ``base + 1``: written under a name of its own, then renamed without
+    overwriting, so it is never seen half-written and one of two writers on a base fails."""
+    fs, _ = _fs(spark, path)
+    part = _jpath(spark, path, "_commits", f"{base + 1:010d}-{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    try:
+        out.write(bytearray("\n".join(lines).encode("utf-8")))
+    finally:
+        out.close()
+    jvm = spark._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    none = spark.sparkContext._gateway.new_array(rename, 0)
+    marker = _jpath(spark, path, "_commits", f"{base + 1:010d}")
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(
+            fs.makeQualified(part), fs.makeQualified(marker), none)
+    except Exception as e:  # noqa: BLE001 - py4j wraps the FileAlreadyExistsException
+        raise ConcurrentWriteError(f"{path}: version {base + 1} was committed by another writer") from e
 
 
 def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None,
                  expected_seq: int | None = None) -> str:
     """DELETE + INSERT as a new version with an optimistic-concurrency commit.
 
-    The data is written to a fresh ``v-<uuid>`` folder; then the commit marker ``_commits/<base+1>``
-    is created with create-if-absent (atomic on HDFS and local file systems; needs conditional puts
-    on object stores). ``expected_seq`` is the version the caller's plan was built from (a MERGE reads
-    its target first); when another writer committed on that base in the meantime, the marker already
-    exists and ``ConcurrentWriteError`` is raised instead of silently losing that writer's update.
+    The data is written to a fresh ``v-<uuid>`` folder and then committed. ``expected_seq`` is the
+    version the caller's plan was built from (a MERGE reads its target first); when another writer
+    committed on that base in the meantime, ``ConcurrentWriteError`` is raised instead of silently
+    losing that writer's update.
     """
     spark = df.sparkSession
     base = current_seq(spark, path) if expected_seq is None else expected_seq
@@ -137,15 +163,7 @@ def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(os.path.join(path, name))
-    fs, marker = _fs(spark, os.path.join(path, "_commits", f"{base + 1:010d}"))
-    try:
-        out = fs.create(marker, False)            # overwrite=False: fails when the marker exists
-    except Exception as e:  # noqa: BLE001 - py4j wraps the FileAlreadyExistsException
-        raise ConcurrentWriteError(f"{path}: version {base + 1} was committed by another writer") from e
-    try:
-        out.write(bytearray(name.encode("utf-8")))
-    finally:
-        out.close()
+    _commit(spark, path, base, [name])
     return os.path.join(path, name)
 
 
@@ -156,7 +174,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     if len(seqs) <= keep:
         return []
     fs, p = _fs(spark, path)
-    kept = {_read_text(spark, os.path.join(path, "_commits", f"{q:010d}")) for q in seqs[-keep:]}
+    kept = {f.split("/")[0] for q in seqs[-keep:] for _, f in _folders(spark, path, q)}
     oldest_kept = fs.getFileStatus(_jpath(spark, path, "_commits", f"{seqs[-keep]:010d}")).getModificationTime()
     removed = []
     for st in fs.listStatus(p):
@@ -185,24 +203,34 @@ def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Append operational records (append-only Parquet; every batch its own files)."""
-    df.write.mode("append").parquet(path)
+    """Append records to a table: a new version that lists the folders it had and the new one."""
+    spark = df.sparkSession
+    base = current_seq(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(os.path.join(path, name))
+    _commit(spark, path, base, [json.dumps([v, f]) if v is not None else f for v, f in _folders(spark, path, base)] + [name])
+
+
+#: Cluster columns a mart may have.
+CLUSTER_MAX = 4
 
 
 def write_mart(df: DataFrame, path: str, month_col: str = "ADMIN_LOAD_DATE",
-               cluster_cols: list[str] | None = None, partition_col: str = "LOAD_MONTH") -> None:
-    """Month-partitioned mart, sorted within partitions by up to four cluster columns.
+               cluster_cols: list[str] | None = None, partition_col: str = "LOAD_MONTH",
+               expected_seq: int | None = None) -> str:
+    """A month-partitioned mart, sorted by at most four cluster columns, committed as a new version.
 
-    Dynamic partition overwrite replaces only the months present in ``df``; the sort gives Parquet
-    min/max statistics that let later key filters skip row groups.
+    AQE deals months out to tasks by size, so a task writes one or a few months and a large month
+    spreads over several files; within a file rows are in cluster order, which gives Parquet statistics
+    that let key filters skip row groups.
     """
-    cluster_cols = list(cluster_cols or [])[:4]
+    cluster_cols = list(cluster_cols or [])
+    if len(cluster_cols) > CLUSTER_MAX:
+        raise ValueError(f"a mart is clustered by at most {CLUSTER_MAX} columns, not {len(cluster_cols)}")
+    order = [partition_col, *cluster_cols]
     out = df.withColumn(partition_col, F.date_trunc("MONTH", F.col(month_col)).cast("date"))
-    out = out.repartition(partition_col, *cluster_cols)
-    if cluster_cols:
-        out = out.sortWithinPartitions(*cluster_cols)
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
+    out = out.hint("rebalance", partition_col).sortWithinPartitions(*order)
+    return full_refresh(out, path, [partition_col], expected_seq)
 
 
 # ---------------------------------------------------------------- S8-S11 inspection
@@ -211,13 +239,13 @@ def preview(df: DataFrame, n: int = 10, order_by: list[Column] | None = None) ->
     return df.orderBy(*(order_by or [F.col(c) for c in df.columns])).limit(n)
 
 
-def schema_from_sample(spark: SparkSession, path: str) -> DataFrame:
-    """A sample JSON file (an array, multi-line) described as (column, type, null_only).
+def schema_from_sample(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """JSON files (lines, or one array with ``multi_line``) described as (column, type, null_only).
 
     Types come from Spark's JSON inference; ``null_only`` from one aggregate counting the non-NULL
     values of every column (inference alone reports an always-NULL field as a string).
     """
-    df = spark.read.option("multiLine", True).json(path)
+    df = spark.read.option("multiLine", multi_line).json(path)
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
     parts = [F.struct(F.lit(f.name).alias("column_name"),
                       F.lit("string" if isinstance(f.dataType, T.NullType) else f.dataType.simpleString())
@@ -233,14 +261,14 @@ INFER_ORDER = (("INT64", "bigint"), ("NUMERIC", "decimal(38,9)"), ("DATE", "date
 
 def infer_column_types(df: DataFrame, cols: list[str] | None = None, with_timestamp: bool = True) -> DataFrame:
     """Per text column, the narrowest type every non-NULL value converts to (whole column,
-    one aggregate pass), unpivoted to (column_name, inferred_type)."""
+    one aggregate pass), unpivoted to (column_name, inferred_type); without a value, STRING."""
     cols = cols or df.columns
     order = [t for t in INFER_ORDER if with_timestamp or t[0] != "TIMESTAMP"]
     aggs = []
     for c in cols:
         for name, spark_type in order:
             ok = F.col(c).isNull() | F.col(c).try_cast(spark_type).isNotNull()
-            aggs.append(F.bool_and(ok).alias(f"{c}__{name}"))
+            aggs.append((F.bool_and(ok) & (F.count(F.col(c)) > 0)).alias(f"{c}__{name}"))
     flags = df.agg(*aggs)
     exprs = []
     for c in cols:
@@ -252,33 +280,38 @@ def infer_column_types(df: DataFrame, cols: list[str] | None = None, with_timest
     return flags.select(F.explode(F.array(*exprs)).alias("r")).select("r.*")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+_NO_VALUE = "__null__"
 
 
-def merge_partitions(spark: SparkSession, path: str, source: DataFrame, partition_col: str,
+def merge_partitions(spark: SparkSession, path: str, source: DataFrame, partition_col: str, keys: list[str],
                      merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-    """MERGE into a large partitioned table, rewriting only the partitions the source touches.
-
-    ``partition_col`` must be a function of the merge key that never changes for a key (e.g. the
-    month of a non-updatable order date), so a key's target row and its source row share a partition.
-    Steps: (1) the touched partition values (a distinct over the source; bounded by the number of
-    partitions, e.g. months); (2) the target restricted to them — a partition-pruned scan; (3) the
-    merge; (4) the merged partitions written to a staging folder; (5) the staging folder copied over
-    the table with dynamic partition overwrite, replacing exactly the touched partitions.
-    Re-running after a failure at any step is safe: the merge is idempotent for a given source and
-    run stamp, and untouched partitions are never written.
+    """MERGE into a large partitioned table, rewriting only the partitions the source affects.
+
+    Affected are the partitions of the source's rows and those that hold a target row with a source
+    key (a semi join over the key columns only), so the result equals the merge of the whole table
+    even where a key's partition changes or is NULL. The merged partitions are written to a new folder
+    and committed with a marker that keeps the folders of all others: readers see the whole merge or
+    none of it, and a repeated run after a failure is safe. The partition column stays in the data with
+    its own type; only its text names a folder.
     """
-    exists = path_exists(spark, path)
-    touched = [r[0] for r in source.select(partition_col).distinct().collect()]  # one value per partition
-    if exists:
-        target = spark.read.parquet(path)
-        part_t = target.schema[partition_col].dataType
-        target = target.filter(F.col(partition_col).isin([F.lit(v).cast(part_t) for v in touched]))
-    else:
-        target = None
+    base = current_seq(spark, path)
+    old = _folders(spark, path, base)
+    name = F.coalesce(F.col(partition_col).cast("string"), F.lit(_NO_VALUE))
+    hit = {r[0] for r in source.select(name).distinct().collect()}  # one value per partition
+    if old:
+        known = read_table(spark, path).select(*keys, name.alias("_p"))
+        hit |= {r[0] for r in known.join(source.select(*keys).distinct(), keys, "left_semi").select("_p").distinct().collect()}
+    touched = [os.path.join(path, f) for v, f in old if v in hit]
+    schema = read_table(spark, path).schema if old else None
+    target = spark.read.schema(schema).parquet(*touched) if touched else (spark.createDataFrame([], schema) if old else None)
     merged = merge(target, source)
-    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
-    merged.write.mode("overwrite").partitionBy(partition_col).parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
+    version = f"v-{uuid.uuid4().hex}"
+    # AQE deals partitions out to tasks by size: few files a partition, and a large one spreads
+    named = merged.withColumn("_p", F.concat(F.lit("p"), F.md5(name))).hint("rebalance", "_p")
+    named.write.partitionBy("_p").parquet(os.path.join(path, version))
+    written = [] if not path_exists(spark, os.path.join(path, version)) else spark.read.schema(named.schema).parquet(os.path.join(path, version)).select(name.alias("v"), "_p").distinct().collect()
+    lines = [(v, f) for v, f in old if v not in hit] + [(r["v"], f"{version}/_p={r['_p']}") for r in written]
+    if lines:
+        _commit(spark, path, base, [json.dumps(x) for x in lines])
+    else:
+        full_refresh(merged, path, expected_seq=base)  # an empty table keeps its schema

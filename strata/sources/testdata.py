@@ -36,25 +36,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def _session_cache(spark: SparkSession) -> dict:
-    """Plan objects memoized on the session (they die with it). Only DataFrame *definitions* are kept:
-    no data is cached, every action still reads and computes everything."""
-    cache = getattr(spark, "_strata_plans", None)
-    if cache is None:
-        cache = {}
-        spark._strata_plans = cache
-    return cache
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table. The read is defined once per session: ``spark.read.parquet`` lists the files
-    and reads Parquet footers each time it is called, which is pure driver overhead when repeated
-    (the test tables are read-only)."""
-    key = ("read", sf_dir.rstrip("/"), name)
-    cache = _session_cache(spark)
-    if key not in cache:
-        cache[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return cache[key]
+    """One driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _case(col: Column, pairs, default) -> Column:
@@ -296,14 +280,9 @@ RAW_BUILDERS = {
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The nine RAW tables, each defined on first access and shared by every query of the session
-    (the same definition object, so Spark also sees identical sub-plans it can reuse)."""
+    """The nine RAW tables, each defined on first access."""
     from ..plans.cdl import LazyTables
-    key = ("raw", sf_dir.rstrip("/"))
-    cache = _session_cache(spark)
-    if key not in cache:
-        cache[key] = LazyTables({name: (lambda fn=fn: fn(spark, sf_dir)) for name, fn in RAW_BUILDERS.items()})
-    return cache[key]
+    return LazyTables({name: (lambda fn=fn: fn(spark, sf_dir)) for name, fn in RAW_BUILDERS.items()})
 
 
 # ---------------------------------------------------------------- operational logs from events/documents

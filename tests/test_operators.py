@@ -173,23 +173,13 @@ def test_top_lessons_limit_then_first_per_category(spark):
     assert out == [("a", "m1", 3), ("b", "m3", 1)]
 
 
-def test_bounded_broadcast(spark):
-    small = spark.range(5)
-    big = spark.range(1000)
-    assert J.bounded_broadcast(small, 10) is not small      # hinted copy
-    assert J.bounded_broadcast(big, 10) is big              # bound refuted: left to the optimizer
-    assert J.bounded_broadcast(big, 10, known_bound=4) is not big
-
-
-def test_filter_in_long_list_becomes_semi_join(spark):
-    from strata.operators.filters import INLIST_MAX, filter_in
-    df = spark.range(5000).withColumnRenamed("id", "k")
-    vals = list(range(0, 5000, 2)) + [1, 1]
-    assert len(vals) > INLIST_MAX
-    out = filter_in(df, "k", vals)
-    assert out.count() == 2501
-    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
-    assert filter_in(df, "k", [3, 4]).count() == 2
+def test_filter_in_is_one_predicate_at_any_length(spark):
+    from strata.operators.filters import filter_in
+    df = spark.sql("SELECT date_add(date'2020-01-01', cast(id as int)) AS d FROM range(5000)")
+    days = [str(dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(0, 3000, 2)]
+    for n in (1, 1000, 1001, 1500):
+        assert filter_in(df, "d", days[:n] + days[:1]).count() == n
+    assert filter_in(df, "d", spark.createDataFrame([(days[0],)], "x string").selectExpr("cast(x as date) x")).count() == 1
 
 
 def test_approx_count_distinct_close(spark):

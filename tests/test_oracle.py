@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from strata.registry import ORACLE, QUERIES, load_all
 from tests.oracle_check import duck_views, rows_of
 
 SF = "/root/testdata/sf0.001"
+load_all()  # the registry's own queries; the training-data operators have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -31,11 +33,11 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert len(o) >= 90
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    cur = duck.execute(E.oracle_sql()[name])
+    cur = duck.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
     assert rows_of(df.columns, srows) == rows_of(dcols, cur.fetchall())
@@ -45,12 +47,12 @@ _FAMILY = {"bigint": "int", "BIGINT": "int", "double": "float", "DOUBLE": "float
            "VARCHAR": "str", "boolean": "bool", "BOOLEAN": "bool"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_output_types_agree(spark, duck, name):
     """Both engines return only bigint / double / string / boolean, column by column (no HUGEINT,
     INTEGER or DECIMAL on either side), so any value hash sees identical representations."""
-    df = E.queries()[name](spark, SF)
-    rel = duck.sql(E.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    rel = duck.sql(ORACLE[name])
     dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
     for f in df.schema.fields:
         t = f.dataType.simpleString()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from strata.plans import runs as R
-from strata.plans.cdl import build_fact_sales
+from strata.plans.cdl import DEFAULT_RUN_TS, build_fact_sales
 from strata.plans.mapping import FieldMapping, TableMapping, apply_mapping
 from strata.registry import Ctx
 from strata.sources import schemas as S
@@ -45,17 +45,17 @@ def test_ensure_table_is_idempotent(spark):
 def test_stream_upsert_equals_batch(spark):
     q = E.queries()
     streamed = q["r6_stream_upsert"](spark, SF)
-    batch = q["c8_cdl_fact_sales"](spark, SF)
+    batch = q["m1_merge_upsert"](spark, SF)
     assert _rows(streamed.select(*batch.columns)) == _rows(batch)
 
 
 def test_refresh_cdl_second_run_changes_nothing(spark):
     ctx = Ctx(spark, SF)
     root = tempfile.mkdtemp(prefix="strata-wh-")
-    log1 = R.refresh_cdl(spark, ctx.raw, root, run_id="a")
+    log1 = R.refresh_cdl(spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="a")
     sales1 = store.read_table(spark, store.table_path(root, "cdl", "cdl_fact_sales"))
     before = _rows(sales1)
-    log2 = R.refresh_cdl(spark, ctx.raw, root, run_id="b")
+    log2 = R.refresh_cdl(spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="b")
     after = _rows(store.read_table(spark, store.table_path(root, "cdl", "cdl_fact_sales")))
     assert [r[4] for r in log1] == ["success"] * 11 and [r[4] for r in log2] == ["success"] * 11
     assert before == after                      # same source, same run stamp: a repeat run is a no-op
@@ -67,7 +67,8 @@ def test_refresh_bl_continues_after_failure(spark):
     def bad():
         raise ValueError("x" * 5000)
 
-    log = R.refresh_bl(spark, {"a": lambda: spark.range(2), "bad": bad, "c": lambda: spark.range(3)}, root)
+    marts = {"a": R.Mart(lambda: spark.range(2), ["id"]), "bad": R.Mart(bad, ["id"]), "c": R.Mart(lambda: spark.range(3), ["id"])}
+    log = R.refresh_bl(spark, marts, root, DEFAULT_RUN_TS)
     assert [(r[3], r[4], r[5]) for r in log] == [("a", "success", 2), ("bad", "failed", 0), ("c", "success", 3)]
     assert len(log[1][7]) == 1000               # error text cut to 1000 characters
 
@@ -121,26 +122,87 @@ def test_merge_partitions_rewrites_only_touched(spark):
     from strata.operators.merge import merge_upsert
     path = os.path.join(tempfile.mkdtemp(prefix="strata-part-"), "t")
     first = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k bigint, v string, m int")
-    store.merge_partitions(spark, path, first, "m", lambda t, s: merge_upsert(t, s, ["k"], ["v"], stamp_col=None))
-    untouched = sorted(os.listdir(os.path.join(path, "m=1")))
+    merge = lambda t, s: merge_upsert(t, s, ["k"], ["v", "m"], stamp_col=None)
+    store.merge_partitions(spark, path, first, "m", ["k"], merge)
+    before = dict(store._folders(spark, path))
     second = spark.createDataFrame([(2, "B", 2), (3, "c", 2)], "k bigint, v string, m int")
-    store.merge_partitions(spark, path, second, "m", lambda t, s: merge_upsert(t, s, ["k"], ["v"], stamp_col=None))
-    assert sorted(os.listdir(os.path.join(path, "m=1"))) == untouched          # partition 1 never rewritten
-    got = sorted((r.k, r.v, r.m) for r in spark.read.parquet(path).collect())
+    store.merge_partitions(spark, path, second, "m", ["k"], merge)
+    after = dict(store._folders(spark, path))
+    assert after["1"] == before["1"] and after["2"] != before["2"]             # partition 1 never rewritten
+    got = sorted((r.k, r.v, r.m) for r in store.read_table(spark, path).collect())
     assert got == [(1, "a", 1), (2, "B", 2), (3, "c", 2)]
 
 
+def test_merge_partitions_equals_the_whole_merge(spark):
+    """NULL partitions, string partitions that look like numbers, keys that change their partition."""
+    from strata.operators.merge import merge_upsert
+    path = os.path.join(tempfile.mkdtemp(prefix="strata-part-"), "t")
+    merge = lambda t, s: merge_upsert(t, s, ["k"], ["v", "p"], stamp_col=None)
+    loads = [[(1, "a", None), (2, "b", "01")], [(3, "c", None), (4, "d", "02")], [(1, "z", "02"), (2, "y", None), (5, "e", "1")]]
+    whole = None
+    for rows in loads:
+        load = spark.createDataFrame(rows, "k bigint, v string, p string")
+        store.merge_partitions(spark, path, load, "p", ["k"], merge)
+        whole = spark.createDataFrame(merge(whole, load).collect(), "k bigint, v string, p string")
+        got = store.read_table(spark, path)
+        assert _rows(got) == _rows(whole) and dict(got.dtypes)["p"] == "string"
+    assert _rows(got) == _rows(spark.createDataFrame([(1, "z", "02"), (2, "y", None), (3, "c", None), (4, "d", "02"), (5, "e", "1")], got.schema))
+
+
+def test_merge_rejects_repeated_keys_and_unknown_columns(spark):
+    import pytest as _pytest
+    from strata.operators.merge import merge_upsert
+    t = spark.createDataFrame([(1, "a")], "k bigint, v string")
+    twice = spark.createDataFrame([(2, "x"), (2, "y")], "k bigint, v string")
+    with _pytest.raises(Exception, match="several source rows"):
+        merge_upsert(t, twice, ["k"], ["v"], stamp_col=None).collect()
+    with _pytest.raises(ValueError, match="no columns"):
+        merge_upsert(t, t.withColumn("w", F.lit(1)), ["k"], ["v"], stamp_col=None)
+    nulls = spark.createDataFrame([(None, "x"), (None, "y")], "k bigint, v string")
+    assert merge_upsert(t, nulls, ["k"], ["v"], stamp_col=None).count() == 3    # NULL never matches
+
+
+def test_marts_keep_cluster_order_and_reject_a_fifth_column(spark):
+    import pytest as _pytest
+    path = tempfile.mkdtemp(prefix="strata-mart-")
+    df = spark.range(3000).selectExpr("date_add(date'2024-01-01', cast(id * 7 % 90 as int)) d", "id * 37 % 101 a", "id * 11 % 13 b")
+    store.write_mart(df, path, "d", ["a", "b"])
+    files = store.read_table(spark, path).select(F.input_file_name().alias("f"), "a", "b").collect()
+    by = {}
+    for r in files:
+        by.setdefault(r.f, []).append((r.a, r.b))
+    assert len(by) >= 3 and all(v == sorted(v) for v in by.values())
+    with _pytest.raises(ValueError):
+        store.write_mart(df, path, "d", ["a", "b", "d", "a", "b"])
+
+
+def test_profit_and_demand_keep_currencies_apart(spark):
+    from strata.plans import marts as M
+    ctx = Ctx(spark, SF)
+    c = ctx.cdl
+    two = F.when(F.col("ORDER_LINE_NO") % 2 == 0, "AAA").otherwise("BBB")
+    sales = c["cdl_fact_sales"].withColumn("CURRENCY_CODE", two)
+    returns = c["cdl_fact_returns"].withColumn("CURRENCY_CODE", two)
+    out = M.fact_product_profitability(sales, returns, c["cdl_fact_product_price"], c["cdl_fact_product_cost"], c["cdl_dim_product"],
+                                       F.lit("1998-08-02").cast("date"))
+    got = {r.CURRENCY_CODE: r.n for r in out.groupBy("CURRENCY_CODE").agg(F.sum("TOTAL_RETURN_QTY").alias("n")).collect()}
+    pairs = sales.select("KEY_PRODUCT", "KEY_COMPANY", "CURRENCY_CODE").distinct()
+    want = {r.CURRENCY_CODE: r.n for r in returns.join(pairs, ["KEY_PRODUCT", "KEY_COMPANY", "CURRENCY_CODE"], "left_semi")
+            .groupBy("CURRENCY_CODE").agg(F.sum("RETURN_QTY").alias("n")).collect()}
+    assert set(got) == {"AAA", "BBB"} and got == want
+
+
 def test_marts_from_written_cdl_match_lazy_plans(spark):
     log = E.queries()["r2_refresh_bl"](spark, SF).collect()
     counts = {r.table_name: r.rows_affected for r in log}
-    assert counts["fact_sales_summary"] == E.queries()["b1_fact_sales_summary"](spark, SF).count()
+    assert len(log) == 7 and counts["fact_sales_summary"] == E.queries()["b1_fact_sales_summary"](spark, SF).count()
     assert counts["fact_demand_vs_sales"] == E.queries()["b3_fact_demand_vs_sales"](spark, SF).count()
     assert {r.status for r in log if r.table_name == "broken_mart"} == {"failed"}
 
 
 def test_sized_conf():
     from strata.session import sized_conf
-    assert sized_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"] == str(100 * 2**40 // 2**27)
+    assert sized_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"] == str(100 * 2**40 // 4 // 2**29)
     assert sized_conf(10, 8)["spark.sql.shuffle.partitions"] == "16"
 
 
