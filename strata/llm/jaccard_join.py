@@ -28,7 +28,7 @@ from .components import components
 CELLS_BITS = 22
 SKETCH_BLOCK = 1 << 12
 #: Members of one meeting, or partners of one document, that a task takes at once.
-BLOCK = 256
+BLOCK = 1024
 CACHE_WORDS = 300_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
