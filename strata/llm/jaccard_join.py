@@ -161,15 +161,11 @@ class PrefixTree:
                 rest = min(node.longest, len(x))
             if overlap + rest < needed(len(x), node.smallest, percent):
                 continue
-            if node.names:  # all sets that end here have the same elements
-                size = node.smallest if not node.below else self._size_of(node)
-                if overlap >= needed(len(x), size, percent):
-                    yield from node.names
+            # the sets that end here are equal, and the smallest of the subtree
+            if node.names and overlap >= needed(len(x), node.smallest, percent):
+                yield from node.names
             todo.extend((c, overlap) for c in node.below.values())
 
-    def _size_of(self, node: Node) -> int:
-        return node.smallest  # a set that ends at an inner node is the smallest of its subtree
-
 
 # --- the join -----------------------------------------------------------------------------------------
 
