@@ -6,6 +6,8 @@ log2(N n(e,t) / (n(e) n(t))), against the information that e itself holds, log2(
 is met almost only beside e gives e away although e is masked. Terms beside an entity whose share
 reaches ``REMOVE`` are removed, from ``GENERALISE`` on they are generalised.
 
+All counts are distinct texts, so copies of a document change nothing.
+
 Everything is a DataFrame expression. Positions are code points: a text split by a pattern and the
 pattern's matches interleave, so running lengths give every start.
 """
@@ -28,7 +30,7 @@ KINDS = {
 }
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}"
-#: Code points of context on each side of an entity (up to the next entity of its kind), and the contexts (of distinct text) that an entity
+#: Code points of context on each side of an entity (up to the next entity of its kind), and the distinct texts that an entity
 #: and a term must share before their co-occurrence is evidence.
 CONTEXT, SUPPORT = 80, 3
 REMOVE, GENERALISE = 0.9, 0.6
@@ -108,16 +110,22 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + ":"), fold_case(value) if kind in ("email", "ip") else F.regexp_replace(value, "[^0-9]", ""))
 
 
+def text_key() -> Column:
+    """128 bits that name a text; null is the empty text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """Per document: key d, doc_id, the base arrays, and ``near``: each entity with its contexts."""
-    base = with_base_spans(docs.select("doc_id", "text")).withColumn("d", document_key(docs))
+    """Per document: key d, key of its text h, doc_id, the base arrays, and ``near``: each entity with its contexts."""
+    base = with_base_spans(docs.select("doc_id", "text")).withColumn("d", document_key(docs)).withColumn("h", text_key())
 
     def context(kind: str):
         return lambda m: F.struct(_entity(kind, m["value"]).alias("entity"), m["start"].alias("start"), m["end"].alias("end"),
                                   *[m[c].alias(c) for c in ("left", "left_cut", "right", "right_cut")])
 
     near = [F.transform(F.col(kind), context(kind)) for kind in KINDS]
-    return base.select("d", "doc_id", *[F.transform(k, lambda m: F.struct(m["start"], m["end"])).alias(k) for k in KINDS],
+    return base.select("d", "h", "doc_id", *[F.transform(k, lambda m: F.struct(m["start"], m["end"])).alias(k) for k in KINDS],
                        F.concat(*near).alias("near"))
 
 
@@ -127,25 +135,39 @@ def _whole_words(words: str, at: Column, text: str, cut_left: Column, cut_right:
     return F.transform(whole, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
 
 
+def text_counts(docs: DataFrame) -> DataFrame:
+    """term, nt: the number of distinct texts that hold it."""
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    words = F.array_distinct(F.transform(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+")), F.lower))
+    return texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+
+
+def shares(pairs: DataFrame, total: int) -> DataFrame:
+    """``pairs`` (ne, net, nt) with the share of the entity's information that the term discloses."""
+    n = F.lit(float(total))
+    share = F.log2(n * F.col("net") / (F.col("ne") * F.col("nt"))) / F.log2(n / F.col("ne"))
+    return pairs.filter(F.col("ne") < total).withColumn("share", share)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(d, kind, start, end) of the terms beside an entity that disclose it."""
-    total = found.count()
-    near = found.select("d", F.explode("near").alias("x")).select("d", "x.*").withColumn("c", F.xxhash64("left", "right"))
-    entities = (near.select("entity", "c").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
-                .filter(F.col("ne") >= SUPPORT))
-    known = salted_join(near, entities, ["entity"], F.col("c"))
-    known = known.withColumns({f"{x}_words": matched(F.col(x), WORD) for x in ("left", "right")})
-    known = known.withColumns({f"{x}_words": placed(F.col(f"{x}_words")) for x in ("left", "right")})
+    total = found.select("h").distinct().count()
+    near = found.select("d", "h", F.explode("near").alias("x")).select("d", "h", "x.*")
+    entities = near.select("entity", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
+    near = near.withColumns({f"{x}_words": matched(F.col(x), WORD) for x in ("left", "right")})
+    near = near.withColumns({f"{x}_words": placed(F.col(f"{x}_words")) for x in ("left", "right")})
     terms = F.concat(_whole_words("left_words", F.col("start") - F.length("left"), "left", F.col("left_cut"), F.lit(False)),
                      _whole_words("right_words", F.col("end"), "right", F.lit(False), F.col("right_cut")))
-    beside = frozen(known.select("d", "entity", "ne", "c", F.explode(terms).alias("t")).select("d", "entity", "ne", "c", "t.*"), "beside")
-    pairs = (beside.select("entity", "term", "ne", "c").distinct().groupBy("entity", "term").agg(
-        F.first("ne").alias("ne"), F.count(F.lit(1)).alias("net")).filter(F.col("net") >= SUPPORT))
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    pairs = pairs.join(counts, "term")
-    share = F.log2(F.lit(float(total)) * F.col("net") / (F.col("ne") * F.col("nt"))) / F.log2(F.lit(float(total)) / F.col("ne"))
-    flagged = (pairs.filter(F.col("ne") < total).withColumn("share", share).filter(F.col("share") >= GENERALISE)
+    beside = frozen(near.select("d", "h", "entity", F.explode(terms).alias("t")).select("d", "h", "entity", "t.*"), "beside")
+    pairs = beside.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("net")).filter(F.col("net") >= SUPPORT)
+    pairs = salted_join(pairs, entities, ["entity"], F.col("term"))
+    # only the counts of terms beside entities are repeated for the salts
+    counts = text_counts(docs).join(beside.select("term").distinct(), "term", "left_semi")
+    pairs = salted_join(pairs, counts, ["term"], F.col("entity"), "left")
+    # a word that touches an entity is part of a longer one to the split: it is in the texts where it was met at least
+    pairs = pairs.withColumn("nt", F.greatest("nt", "net"))
+    flagged = (shares(pairs, total).filter(F.col("share") >= GENERALISE)
                .select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")))
     return salted_join(beside, flagged, ["entity", "term"], F.col("d")).select("d", "kind", "start", "end")
 
@@ -154,15 +176,15 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """d, doc_id, one sorted array of (start, end) per base kind, and ``extra``: sorted (start, end,
     kind) of disclosing terms outside the base spans; ``remove`` wins over ``generalise``.
 
-    A null text is empty. Rows equal in doc_id and text are one document to the co-occurrence counts'
-    spans and get the same result; copies of a context count once as evidence. Patterns match in whole
+    A null text is empty. Rows equal in doc_id and text are one document to the spans and
+    get the same result; documents of equal text count once as evidence. Patterns match in whole
     texts; a kind's spans do not overlap each other, spans of different kinds may. Other columns are
     ignored, whatever their names.
     """
     found = frozen(profiles(docs), "pii")
     spans = disclosing_terms(docs.select("text"), found).distinct()
     extra = spans.groupBy("d").agg(F.collect_list(F.struct("start", "end", "kind")).alias("extra"))
-    out = found.drop("near").join(extra, "d", "left")
+    out = found.drop("near", "h").join(extra, "d", "left")
     out = out.withColumn("all", F.concat(*KINDS))
     free = F.filter(F.coalesce("extra", F.array().cast("array<struct<start:int,end:int,kind:string>>")),
                     lambda x: ~F.exists(F.col("all"), lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))

@@ -451,6 +451,22 @@ def test_disclosing_terms_are_found_and_masked(spark):
     assert clean[5] == text[5]
 
 
+def disclosed(docs, doc_id):
+    got = {r["doc_id"]: r for r in pii.document_spans(docs).collect()}[doc_id]
+    spans = [x.split(":") for x in got["spans"].split(",")]
+    return {(kind, int(lo), int(hi)) for kind, lo, hi in spans if kind in ("remove", "generalise")}
+
+
+def test_copies_of_a_document_change_no_spans(spark):
+    rng = random.Random(13)
+    rows = [(i, f"{rng_text(rng, 30, 30)} only{i}") for i in range(60)]
+    rows += [(100 + i, f"{rng_text(rng, 8, 30)} w{i} Zanzibari mail joe@example.com w{i + 3} {rng_text(rng, 8, 30)}") for i in range(4)]
+    once = disclosed(frame(spark, rows), 101)
+    again = disclosed(frame(spark, rows + [(1000 + i, rows[60][1]) for i in range(300)]), 101)
+    at = rows[61][1].index("Zanzibari")
+    assert any((lo, hi) == (at, at + 9) for _, lo, hi in once) and again == once
+
+
 def test_pii_of_an_empty_table(spark):
     assert pii.document_spans(frame(spark, []).limit(0)).count() == 0
 
