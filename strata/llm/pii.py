@@ -2,11 +2,12 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each is a protected entity. How
 much a term t discloses about an entity e is their pointwise mutual information over the corpus,
-log2(N n(e,t) / (n(e) n(t))), against the information that e itself holds, log2(N / n(e)): a term that
+log2(N p(e|t) / n(e)), against the information that e itself holds, log2(N / n(e)): a term that
 is met almost only beside e gives e away although e is masked. Terms beside an entity whose share
 reaches ``REMOVE`` are removed, from ``GENERALISE`` on they are generalised.
 
-All counts are distinct texts, so copies of a document change nothing.
+All counts are distinct texts, so copies of a document change nothing. Every entity counts, however
+rare: p(e|t) = (n(e,t) + PRIOR n(e)/N) / (n(t) + PRIOR) draws low counts towards the chance rate n(e)/N.
 
 Everything is a DataFrame expression. Positions are code points: a text split by a pattern and the
 pattern's matches interleave, so running lengths give every start.
@@ -30,9 +31,9 @@ KINDS = {
 }
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}"
-#: Code points of context on each side of an entity (up to the next entity of its kind), and the distinct texts that an entity
-#: and a term must share before their co-occurrence is evidence.
-CONTEXT, SUPPORT = 80, 3
+#: Code points of context on each side of an entity (up to the next entity of its kind), and the texts at the chance rate that are
+#: added to those in which a term is met.
+CONTEXT, PRIOR = 80, 1
 REMOVE, GENERALISE = 0.9, 0.6
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "remove": "", "generalise": "<TERM>"}
 
@@ -144,9 +145,9 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 def shares(pairs: DataFrame, total: int) -> DataFrame:
     """``pairs`` (ne, net, nt) with the share of the entity's information that the term discloses."""
-    n = F.lit(float(total))
-    share = F.log2(n * F.col("net") / (F.col("ne") * F.col("nt"))) / F.log2(n / F.col("ne"))
-    return pairs.filter(F.col("ne") < total).withColumn("share", share)
+    n, chance = F.lit(float(total)), F.col("ne") / F.lit(float(total))
+    given = (F.col("net") + PRIOR * chance) / (F.col("nt") + PRIOR)
+    return pairs.filter(F.col("ne") < total).withColumn("share", F.log2(given / chance) / F.log2(n / F.col("ne")))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -159,8 +160,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     terms = F.concat(_whole_words("left_words", F.col("start") - F.length("left"), "left", F.col("left_cut"), F.lit(False)),
                      _whole_words("right_words", F.col("end"), "right", F.lit(False), F.col("right_cut")))
     beside = frozen(near.select("d", "h", "entity", F.explode(terms).alias("t")).select("d", "h", "entity", "t.*"), "beside")
-    pairs = beside.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("net")).filter(F.col("net") >= SUPPORT)
+    pairs = beside.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("net"))
     pairs = salted_join(pairs, entities, ["entity"], F.col("term"))
     # only the counts of terms beside entities are repeated for the salts
     counts = text_counts(docs).join(beside.select("term").distinct(), "term", "left_semi")

@@ -457,6 +457,16 @@ def disclosed(docs, doc_id):
     return {(kind, int(lo), int(hi)) for kind, lo, hi in spans if kind in ("remove", "generalise")}
 
 
+def test_a_name_beside_an_address_met_once_is_disclosed(spark):
+    rng = random.Random(12)
+    rows = [(i, f"{rng_text(rng, 30, 30)} plainword") for i in range(100)]
+    text = f"{rng_text(rng, 8, 30)} plainword Zanzibari mail <joe@example.com> plainword {rng_text(rng, 8, 30)}"
+    got = disclosed(frame(spark, [*rows, (200, text), (201, "a second Rarename +1 555 010 9999 plainword")]), 200)
+    at = text.index("Zanzibari")
+    assert {(lo, hi) for _, lo, hi in got} >= {(at, at + 9)}
+    assert not any(text[lo:hi] == "plainword" for _, lo, hi in got)
+
+
 def test_copies_of_a_document_change_no_spans(spark):
     rng = random.Random(13)
     rows = [(i, f"{rng_text(rng, 30, 30)} only{i}") for i in range(60)]
