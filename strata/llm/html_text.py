@@ -1,11 +1,14 @@
 """Main text of web pages by differencing each page with its nearest neighbour by URL.
 
-A page is cut into lines (the text of its blocks) with their place in the markup. Within a host pages
-are ordered by URL path; a page is paired with the neighbour that shares the longer path prefix, and
-the two lists of lines are aligned by longest common subsequence. Shared lines are the site's, not the
-page's, and are deleted, with two limits that copies of articles call for: sentences inside an article
-element stay, and a neighbour that shares nearly everything is a copy and proves nothing. What markup
-itself declares as menus, adverts, forms, comments and the like is deleted whether shared or not.
+A page is cut into lines (the text of its blocks) with their place in the markup. What markup itself
+declares as menus, adverts, forms, comments and the like is deleted whether shared or not; the other
+lines (of the article, if there is one) are differenced. Pages of a host with equal lines are one page. Within a host these are ordered by
+URL path, and the lines of a page are aligned by longest common subsequence with those of its two
+nearest pages, the one that shares the longer path prefix first. Shared lines are the site's, not the
+page's, and are deleted, with the limits that copies call for: a neighbour proves something only if
+either page has text of its own beside the shared lines. One such neighbour is enough for lines outside
+articles and for article lines that are no sentences, unless it shares nearly everything; then it
+takes both. Sentences in articles stay.
 
 Pairing works on line hashes only. Pages travel only to join the lines to delete, and only if that list
 is too large to broadcast.
@@ -16,13 +19,13 @@ from __future__ import annotations
 import html as html_lib
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, frozen, global_rows, with_python_columns
+from .common import fresh, frozen, global_rows, salted_join, with_python_columns
 
 #: Elements whose text is never part of a page's main text, and those whose content is not markup.
 DROPPED = frozenset("nav header footer aside form menu dialog button select noscript template iframe svg math object audio video canvas "
@@ -41,9 +44,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SENTENCE_END = tuple(".!?…。！？;:\"”»)")
 SENTENCE_WORDS = 5
-#: A neighbour that shares this much of a page's deletable text is a copy of it.
+#: A neighbour that shares this much of a page's text does not prove alone that it is the site's.
 COPY_SHARE = 0.9
 BLOCK_ROWS = 64
+#: Flags of a line.
+IN_ARTICLE, SENTENCE = 1, 2
 
 
 @dataclass
@@ -168,7 +173,7 @@ def _prefix(a: str, b: str) -> int:
 
 
 def _line_table(pages: DataFrame, key: str) -> DataFrame:
-    """key, host, path, the hashes of a page's candidate lines, their lengths and whether a shared one may go."""
+    """key, host, path, the hashes of a page's candidate lines, their lengths and flags, and ``page``: the hash of host and lines."""
 
     def make():
         import xxhash
@@ -180,61 +185,91 @@ def _line_table(pages: DataFrame, key: str) -> DataFrame:
                 lines = lines_of(h.as_py())
                 mine = [lines[i] for i in candidates(lines)]
                 row = (*split_url(u), [xxhash.xxh64_intdigest(x.text) - (1 << 63) for x in mine], [len(x.text) for x in mine],
-                       [not (x.main and x.sentence) for x in mine])
+                       [IN_ARTICLE * x.main + SENTENCE * x.sentence for x in mine])
                 for c, v in zip(cols, row):
                     c.append(v)
             return cols
         return run
 
-    return with_python_columns(pages, "_host string, _path string, _lines array<long>, _sizes array<int>, _may array<boolean>", make).select(
-        F.col(key).alias("key"), "_host", "_path", "_lines", "_sizes", "_may")
+    return with_python_columns(pages, "_host string, _path string, _lines array<long>, _sizes array<int>, _flags array<int>", make).select(
+        F.col(key).alias("key"), F.xxhash64("_host", "_lines", "_flags").alias("page"), "_host", "_path", "_lines", "_sizes", "_flags")
+
+
+def _has_own(page: dict, shared: list[int]) -> bool:
+    """Whether a page has a sentence or an article line beside those whose hashes are ``shared``."""
+    left = Counter(shared)
+    for line, flags in zip(page["_lines"], page["_flags"]):
+        if left[line]:
+            left[line] -= 1
+        elif flags:
+            return True
+    return False
+
+
+def shared_lines(page: dict, near: list[dict]) -> list[int]:
+    """Numbers of the lines of ``page`` that its neighbours, nearest first, show to be the site's."""
+    sizes, flags = page["_sizes"], page["_flags"]
+    found = []
+    for n in near:
+        same = common_lines(page["_lines"], n["_lines"])
+        hashes = [page["_lines"][j] for j in same]
+        if _has_own(page, hashes) and _has_own(n, hashes):  # else a copy, or a page of nothing but shared lines
+            found.append(same)
+    guarded = {j for j, f in enumerate(flags) if f == IN_ARTICLE | SENTENCE}
+    gone = set()
+    for same in found:
+        if sum(sizes[j] for j in same) < COPY_SHARE * sum(sizes):
+            gone.update(set(same) - guarded)
+            break
+    if len(found) > 1:
+        gone.update(set.intersection(*map(set, found)) - guarded)
+    return sorted(gone)
 
 
 def _deletions(numbered: DataFrame) -> DataFrame:
-    """(key, gone): the numbers of the candidate lines that the nearest page shares, where there are any."""
+    """(page, gone): the numbers of the candidate lines that go, where there are any."""
     block = F.expr(f"row div {BLOCK_ROWS}")
     spot = F.col("row") % BLOCK_ROWS
-    # a block also sees the row before its first and the row after its last
+    # a block also sees the two rows before its first and the two after its last
     seen = numbered.withColumn("block", F.explode(F.array_compact(F.array(
-        block, F.when(spot == 0, block - 1), F.when(spot == BLOCK_ROWS - 1, block + 1)))))
+        block, F.when(spot < 2, block - 1), F.when(spot >= BLOCK_ROWS - 2, block + 1)))))
 
     def pair(table):
         import pyarrow as pa
 
         rows = sorted(table.to_pylist(), key=lambda r: r["row"])
-        keys, gone = [], []
+        pages, gone = [], []
         for i, r in enumerate(rows):
             if r["row"] // BLOCK_ROWS != r["block"]:
                 continue
-            near = [rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows) and rows[j]["_host"] == r["_host"]]
-            near.sort(key=lambda n: (-_prefix(r["_path"], n["_path"]), n["row"]))
-            total = sum(r["_sizes"])
-            for n in near:
-                same = common_lines(r["_lines"], n["_lines"])
-                if sum(r["_sizes"][j] for j in same) >= COPY_SHARE * total:
-                    continue  # a copy, or a page of nothing but shared lines: ask the other neighbour
-                if drop := [j for j in same if r["_may"][j]]:
-                    keys.append(r["key"])
-                    gone.append(drop)
-                break
-        return pa.table({"key": pa.array(keys, pa.int64()), "gone": pa.array(gone, pa.list_(pa.int32()))})
-
-    return seen.groupBy("block").applyInArrow(pair, "key long, gone array<int>")
+            # the row on either side, and at the end of a host the second one
+            near = [rows[j] for j in (i - 1, i + 1, i - 2, i + 2) if 0 <= j < len(rows) and rows[j]["_host"] == r["_host"]][:2]
+            near.sort(key=lambda n: (-_prefix(r["_path"], n["_path"]), abs(n["row"] - r["row"]), n["row"]))
+            if drop := shared_lines(r, near):
+                pages.append(r["page"])
+                gone.append(drop)
+        return pa.table({"page": pa.array(pages, pa.int64()), "gone": pa.array(gone, pa.list_(pa.int32()))})
+
+    return seen.groupBy("block").applyInArrow(pair, "page long, gone array<int>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (url, html and any other columns) with ``text``, the main text; a column of that name is replaced.
 
-    A null or empty html gives the empty text. A null URL belongs to the host of no name. Rows equal in
-    url and html are one page to the pairing and all get its result; ties in the URL order fall to a
-    hash of the page. Clashing column names are avoided, other columns pass through.
+    A null or empty html gives the empty text. A null URL belongs to the host of no name. Pages of a host
+    with equal lines are one page to the pairing, placed at the first of their paths, and all get its
+    result; pages without lines are no neighbours. Clashing column names are avoided, other columns pass
+    through.
     """
     key, gone = fresh(pages, "key"), fresh(pages, "gone")
     keyed = pages.drop("text").withColumn(key, F.xxhash64("url", "html"))
-    thin = _line_table(keyed.select(key, "url", "html"), key)
-    once = thin.dropDuplicates(["key"])
-    numbered, _ = global_rows(once, ["_host", "_path", "key"])
-    delete = frozen(_deletions(numbered).withColumnsRenamed({"key": key, "gone": gone}), "shared-lines")
+    thin = frozen(_line_table(keyed.select(key, "url", "html"), key), "lines")
+    once = (thin.filter(F.size("_lines") > 0).groupBy("page").agg(F.min(F.struct("_path", "_host", "_lines", "_sizes", "_flags")).alias("x"))
+            .select("page", "x.*"))
+    numbered, _ = global_rows(once, ["_host", "_path", "page"])
+    # copies of one page are spread over tasks
+    delete = salted_join(thin.select("key", "page").distinct(), _deletions(numbered), ["page"], F.col("key"))
+    delete = frozen(delete.select(F.col("key").alias(key), F.col("gone").alias(gone)), "shared-lines")
     joined = keyed.join(delete, key, "left")  # broadcast only if the written table is below Spark's bound
 
     def make():

@@ -528,6 +528,27 @@ def test_shared_lines_go_and_copies_stay(spark):
     assert html_text.page_texts(pages.limit(0)).count() == 0
 
 
+def texts_of(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+
+
+def test_copies_are_one_page_and_short_pages_of_a_template_lose_it(spark):
+    site = "<p>Site name</p><p>{}</p><p>All rights are reserved by us.</p>"
+    rows = [(i, f"http://copies/a{i}", site.format("The text that five URLs have.")) for i in range(5)]
+    rows += [(5, "http://copies/b", site.format("The text of another page."))]
+    long = "<p>" + "Boilerplate of the site, many words of it. " * 20 + "</p>"
+    rows += [(10 + i, f"http://template/{i}", f"{long}<p>Own text {i} of it.</p>{long}") for i in range(4)]
+    # two near copies beside other pages keep their body
+    body = "<p>Site name</p>" + "".join(f"<p>Sentence {j} of a body that two pages have.</p>" for j in range(20))
+    rows += [(20 + i, f"http://near/{i}", body + f"<p>Copied by editor {i} this week.</p>") for i in range(2)]
+    rows += [(22 + i, f"http://near/{2 + i}", f"<p>Site name</p><p>Quite another text, number {i}.</p>") for i in range(2)]
+    got = texts_of(spark, rows)
+    assert {got[i] for i in range(5)} == {"The text that five URLs have."} and got[5] == "The text of another page."
+    assert all(got[10 + i] == f"Own text {i} of it." for i in range(4))
+    assert all(got[i].count("of a body that two pages have.") == 20 for i in (20, 21)) and got[22] == "Quite another text, number 0."
+
+
 def test_pages_of_the_given_table_keep_their_articles(spark):
     import html
 
