@@ -1,14 +1,15 @@
 """Main text of web pages by differencing each page with its nearest neighbour by URL.
 
 A page is cut into lines (the text of its blocks) with their place in the markup. What markup itself
-declares as menus, adverts, forms, comments and the like is deleted whether shared or not; the other
-lines (of the article, if there is one) are differenced. Pages of a host with equal lines are one page. Within a host these are ordered by
+declares as menus, adverts, forms, comments and the like is deleted whether shared or not; all other
+lines are differenced. Pages of a host with equal lines are one page. Within a host these are ordered by
 URL path, and the lines of a page are aligned by longest common subsequence with those of its two
 nearest pages, the one that shares the longer path prefix first. Shared lines are the site's, not the
 page's, and are deleted, with the limits that copies call for: a neighbour proves something only if
 either page has text of its own beside the shared lines. One such neighbour is enough for lines outside
-articles and for article lines that are no sentences, unless it shares nearly everything; then it
-takes both. Sentences in articles stay.
+articles and for article lines that are no sentences, unless it shares nearly everything; then, and for
+sentences in articles, it takes both. Neighbours that share half of an article are copies of it and leave
+its sentences.
 
 Pairing works on line hashes only. Pages travel only to join the lines to delete, and only if that list
 is too large to broadcast.
@@ -44,8 +45,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SENTENCE_END = tuple(".!?…。！？;:\"”»)")
 SENTENCE_WORDS = 5
-#: A neighbour that shares this much of a page's text does not prove alone that it is the site's.
-COPY_SHARE = 0.9
+#: A neighbour that shares this much of a page's text does not prove alone that it is the site's; nor do neighbours
+#: that share this much of its article's text prove it of the article's sentences.
+COPY_SHARE, ARTICLE_SHARE = 0.9, 0.5
 BLOCK_ROWS = 64
 #: Flags of a line.
 IN_ARTICLE, SENTENCE = 1, 2
@@ -125,9 +127,8 @@ def lines_of(page: str | None) -> list[Line]:
 
 
 def candidates(lines: list[Line]) -> list[int]:
-    """Numbers of the lines that may be main text: in the page's article, if it has one, and not declared to be anything else."""
-    free = [i for i, x in enumerate(lines) if not x.declared]
-    return [i for i in free if lines[i].main] or free
+    """Numbers of the lines that may be main text: those not declared to be anything else."""
+    return [i for i, x in enumerate(lines) if not x.declared]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -209,6 +210,7 @@ def _has_own(page: dict, shared: list[int]) -> bool:
 def shared_lines(page: dict, near: list[dict]) -> list[int]:
     """Numbers of the lines of ``page`` that its neighbours, nearest first, show to be the site's."""
     sizes, flags = page["_sizes"], page["_flags"]
+    article = sum(x for x, f in zip(sizes, flags) if f & IN_ARTICLE)
     found = []
     for n in near:
         same = common_lines(page["_lines"], n["_lines"])
@@ -222,7 +224,8 @@ def shared_lines(page: dict, near: list[dict]) -> list[int]:
             gone.update(set(same) - guarded)
             break
     if len(found) > 1:
-        gone.update(set.intersection(*map(set, found)) - guarded)
+        copied = any(sum(sizes[j] for j in same if flags[j] & IN_ARTICLE) >= ARTICLE_SHARE * article for same in found)
+        gone.update(set.intersection(*map(set, found)) - (guarded if copied else set()))
     return sorted(gone)
 
 

@@ -533,6 +533,16 @@ def texts_of(spark, rows):
     return {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
 
 
+def test_a_teaser_in_an_article_is_not_the_page_and_article_boilerplate_goes(spark):
+    body = "<p>Site name</p><div><p>The long body of page {0} in plain paragraphs.</p></div><article>Teaser {0}</article>"
+    story = "<p>Site name</p><article><p>A story {0}, told at length and never twice: {0} {0}.</p><p>Please support our newsroom today.</p></article>"
+    rows = [(i, f"http://plain/{i}", body.format(f"w{i}")) for i in range(4)]
+    rows += [(10 + i, f"http://story/{i}", story.format(f"w{i}")) for i in range(4)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"The long body of page w{i} in plain paragraphs. Teaser w{i}" for i in range(4))
+    assert all(got[10 + i] == f"A story w{i}, told at length and never twice: w{i} w{i}." for i in range(4))
+
+
 def test_copies_are_one_page_and_short_pages_of_a_template_lose_it(spark):
     site = "<p>Site name</p><p>{}</p><p>All rights are reserved by us.</p>"
     rows = [(i, f"http://copies/a{i}", site.format("The text that five URLs have.")) for i in range(5)]
