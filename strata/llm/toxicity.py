@@ -106,7 +106,8 @@ def within_one_edit(root: dict, word: str) -> list[tuple[int, str]]:
 
 
 class Lexicon:
-    """Terms with weights: whole words, matched up to one edit, and stems, matched exactly.
+    """Terms with weights: whole words, matched up to one edit, and stems, matched exactly. A word behind
+    a stem has the stem's weight as it is, and its own where it is misspelt.
 
     One edit leaves the first or the second half of a term as it was. So a word is looked up by exact
     halves, and only the other half walks a trie: of the terms' rests behind that first half, or, read
@@ -139,11 +140,11 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[float, bool] | None:
         """(weight, exact) of the term that a normal word stands for."""
-        if (w := self.words.get(word)) is not None:
-            return w, True
         for n in STEMS:
             if n < len(word) and (w := self.stems.get(word[:n])) is not None:
                 return w, True
+        if (w := self.words.get(word)) is not None:
+            return w, True
         if len(word) >= FUZZY_LETTERS - 1 and (term := self.fuzzy(word)):
             return self.words[term], False
         return None
@@ -222,7 +223,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[D
 
 def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> dict[str, float]:
     """Terms whose document counts differ between the classes beyond chance (log-likelihood ratio over
-    twice the log of the number of tested terms), and their log odds."""
+    twice the log of the number of tested terms), and their log odds: at most ``most`` after stems have
+    taken in what begins with them, and the whole words behind those stems, which are met misspelt too."""
 
     def count(batches):
         from collections import Counter
@@ -254,17 +256,20 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> dict[str, float
     ratio = 2 * (part(t, n1) + part(c, n0))
     best = (counts.filter(t + c < n1 + n0).select("term", "t", odds.alias("odds"), ratio.alias("g"))
             .filter((F.col("odds") > 2.0) & (F.col("g") > limit))
-            .orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(most).collect())
+            .orderBy(F.desc("g"), F.desc(F.length("term")), "term").collect())  # bounded by the rows learned from
     chosen: dict[str, float] = {}
+    behind: dict[str, float] = {}  # whole words that a chosen stem takes in
     covered: set[str] = set()  # stems of chosen terms
     for r in best:
         term = r["term"]
         bare = term.rstrip("$")
-        if term in covered or any(bare[:n] in chosen for n in STEMS if n < len(bare)) or bare in chosen:
-            continue
-        chosen[term] = round(r["odds"], 6)
-        covered.update(bare[:n] for n in STEMS)
-    return chosen
+        if any(bare[:n] in chosen for n in STEMS if n < len(bare)) or bare in chosen:
+            if term != bare:
+                behind[term] = round(r["odds"], 6)
+        elif term not in covered and len(chosen) < most:
+            chosen[term] = round(r["odds"], 6)
+            covered.update(bare[:n] for n in STEMS)
+    return chosen | behind
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, steps: int = 50) -> list[float]:

@@ -396,6 +396,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.count() == sum(r["predicted"] == 0 for r in got) - 4
 
 
+def test_words_behind_stems_are_met_misspelt_and_stems_share_no_bound(spark):
+    rng = random.Random(14)
+    families = [["grumbald", "grumbalds", "grumbalder"], ["vorqueno", "vorquenos", "vorquenoso"]]
+    rows = [(f"{rng_text(rng, 20, 100)} {rng.choice(families[i % 2])}", 1) for i in range(400)]
+    rows += [(rng_text(rng, 20, 100), 0) for _ in range(400)]
+    weights = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), most=2)
+    lex = toxicity.Lexicon(weights)
+    assert len(lex.stems) == 2
+    for w in sum(families, []):
+        stem = next(s for s in lex.stems if w.startswith(s))
+        assert lex.match(w) == (lex.stems[stem], True)
+        assert lex.match(w[:2] + "x" + w[3:]) == (weights[w + "$"], False)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(r["predicted"] == 0 for r in toxicity.document_toxicity(frame(spark, ODD), none).collect())
