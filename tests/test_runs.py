@@ -61,6 +61,26 @@ def test_refresh_cdl_second_run_changes_nothing(spark):
     assert before == after                      # same source, same run stamp: a repeat run is a no-op
 
 
+def test_late_unstamped_and_same_day_rows_are_merged(spark):
+    ol = Ctx(spark, SF).raw["raw_order_line"]
+    table, keys = "cdl_fact_sales", ["ORDER_ID", "ORDER_LINE_NO"]
+    ids = F.xxhash64("ORDER_ID") % 5
+    stamp = F.when(ids == 0, F.lit("2025-01-05")).when(ids == 1, F.lit("2025-01-01")).when(ids == 2, F.lit(None)).otherwise(F.lit("2025-01-03"))
+    whole = ol.withColumn("LOAD_DATE", stamp.cast(ol.schema["LOAD_DATE"].dataType))
+    # a later row of the first landing's keys with an equal stamp, and an older one that must not win
+    tied = whole.filter(ids == 3).withColumn("ORDER_QTY", F.col("ORDER_QTY") - 1)
+    old = whole.filter(ids == 4).withColumn("ORDER_QTY", F.col("ORDER_QTY") + 7).withColumn("LOAD_DATE", F.lit(None).cast(ol.schema["LOAD_DATE"].dataType))
+    half = F.xxhash64(*keys) % 2 == 0
+    first, rest = whole.filter(half | (F.abs(ids) >= 3)), whole.unionByName(tied).unionByName(old)
+    got, want = tempfile.mkdtemp(prefix="strata-wh-"), tempfile.mkdtemp(prefix="strata-wh-")
+    for raw in (first, rest):
+        R._merge_months(spark, {"raw_order_line": raw}, got, table, DEFAULT_RUN_TS)
+    R._merge_months(spark, {"raw_order_line": rest}, want, table, DEFAULT_RUN_TS)
+    tables = [store.read_table(spark, store.table_path(x, "cdl", table)) for x in (got, want)]
+    assert first.select(*keys).distinct().count() < tables[0].count()
+    assert _rows(tables[0].select(*tables[1].columns)) == _rows(tables[1])
+
+
 def test_refresh_bl_continues_after_failure(spark):
     root = tempfile.mkdtemp(prefix="strata-wh-")
 
