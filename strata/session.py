@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold for every workload of the library, on one laptop or a thousand executors.
 SCALE_CONF = {
@@ -97,3 +98,17 @@ def scratch_root(spark: SparkSession) -> str:
     if base:
         return base
     return os.path.join(ensure_checkpoint_dir(spark).rstrip("/"), "strata-tables")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for one intermediate table, inside the shared folder that the cluster names."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def frozen(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` written to the shared folder and read again: a lost executor re-reads files instead of
+    recomputing, and values that depend on the physical layout (partition ids) stay as written."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
