@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import frozen, scratch_path  # noqa: F401 - shared with the warehouse
 
 #: The white space that the line and word rules name: space, and tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -23,20 +21,6 @@ def fold_case(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for one intermediate table, inside the shared folder that the cluster names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-
-
-def frozen(df: DataFrame, name: str, **options) -> DataFrame:
-    """``df`` written to the shared folder and read again: a lost executor re-reads files instead of
-    recomputing, and values that depend on the physical layout (partition ids) stay as written."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -103,3 +87,22 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column
     a = left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*on, salt], how).drop(salt)
+
+
+#: A key is hot when it has at least one row in HOT_SHARE: at most HOT_SHARE keys are.
+HOT_SHARE = 1000
+
+
+def split_join(left: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """``left`` joined with ``groups``, its aggregate by ``key`` with the rows per key as ``count``.
+
+    Hot keys, those with a thousandth of all rows or more, are broadcast (there are at most a thousand, so
+    their rows stay where they are); the others are joined by shuffle, where none fills a partition.
+    """
+    groups = frozen(groups, "groups")
+    total = groups.agg(F.sum(count).alias("n")).collect()[0]["n"] or 0  # one number
+    is_hot = F.col(count) * HOT_SHARE >= total
+    hot, cold = groups.filter(is_hot), groups.filter(~is_hot)
+    near = left.join(F.broadcast(hot), key)
+    far = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return near.unionByName(far)

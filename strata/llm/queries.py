@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_text, jaccard_join, line_dedup, pii, sharding, toxicity, warc
+from . import ann, bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, pii, sharding, toxicity, warc
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -129,3 +129,14 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM p JOIN l USING (h)"""
 ORACLE["op7_warc_chunks"] = OP7_SQL
+
+
+OP13_SQL = f"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {SQL_FOLD.format("coalesce(text, '')")} AS t FROM documents)
+WINDOW g AS (PARTITION BY t)"""
+
+
+@query("op13_progressive_refinement", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep=["doc_id"], digests=True)
