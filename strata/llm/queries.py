@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, pii, sharding, toxicity, warc
+from . import ann, bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, pii, resampling, sharding, toxicity, warc
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -140,3 +140,29 @@ WINDOW g AS (PARTITION BY t)"""
 @query("op13_progressive_refinement", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep=["doc_id"], digests=True)
+
+
+OP11_SQL = f"""
+WITH tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+             FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, unnest({SQL_WORDS}) AS w FROM documents),
+b AS (SELECT unnest({SQL_WORDS}) AS w FROM benchmark),
+v AS (SELECT w, hex(w) AS h FROM (SELECT w FROM d UNION SELECT w FROM b)),
+k AS (SELECT w, xor(list_reduce([CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS BIGINT) FOR i IN range(len(h) // 2)],
+        lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k FROM v, tab),
+s AS (SELECT k, count(*) AS s FROM d JOIN k USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM b JOIN k USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) AS DOUBLE)
+        / CAST((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000) AS DOUBLE))) AS g FROM s LEFT JOIN t USING (k)),
+f AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM d JOIN k USING (w) JOIN g USING (k) GROUP BY doc_id),
+z AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM documents LEFT JOIN f USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM r"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.document_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                     n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
