@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, pii, resampling, sharding, toxicity, warc
+from . import alignment, ann, bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, pii, resampling, sharding, toxicity, warc
 from .common import table
 
 QUERIES, ORACLE = {}, {}
@@ -166,3 +166,9 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.document_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                      n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.document_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                        public_tokenizers.path("piece_bpe_32k.model"))
