@@ -221,9 +221,8 @@ _cdl("cdl_fact_product_cost", "raw_cost", S.CDL_FACT_PRODUCT_COST, {"KEY_PRODUCT
 SALES_KEYS = {"KEY_PRODUCT": pkey(), "KEY_COMPANY": fp("COMPANY_CODE"), "KEY_CUSTOMER": fp("CUSTOMER_CODE"),
               "KEY_SELLING_METHOD": fp("SELLING_METHOD_CODE"), "KEY_CALENDAR": ckey("TRANSACTION_DATE")}
 _cdl("cdl_fact_sales", "raw_order_line", S.CDL_FACT_SALES, SALES_KEYS, ["ORDER_ID", "ORDER_LINE_NO"])
-_cdl("cdl_fact_returns", "raw_return", S.CDL_FACT_RETURNS,
-     {"KEY_PRODUCT": pkey(), "KEY_COMPANY": fp("COMPANY_CODE"), "KEY_CALENDAR": ckey("RETURN_DATE")},
-     ["RETURN_ID", "ORDER_LINE_NO"])
+RETURN_KEYS = {"KEY_PRODUCT": pkey(), "KEY_COMPANY": fp("COMPANY_CODE"), "KEY_CALENDAR": ckey("RETURN_DATE")}
+_cdl("cdl_fact_returns", "raw_return", S.CDL_FACT_RETURNS, RETURN_KEYS, ["RETURN_ID", "ORDER_LINE_NO"])
 FC_KEYS = {"KEY_PRODUCT": pkey(), "KEY_COMPANY": fp("COMPANY_CODE"), "KEY_SELLING_METHOD": fp("SELLING_METHOD_CODE")}
 _cdl("cdl_fact_demand_forecast", "raw_demand_forecast", S.CDL_FACT_DEMAND_FORECAST, FC_KEYS, ["FORECAST_ID"])
 _cdl("cdl_fact_sales_forecast", "raw_sales_forecast", S.CDL_FACT_SALES_FORECAST, FC_KEYS, ["FORECAST_ID"])

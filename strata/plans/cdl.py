@@ -8,6 +8,8 @@ target (M1-M3). With no target the merge is an insert of the deduplicated source
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import calendar_key, fingerprint64, product_key
 from ..functions.scalars import SELLING_METHODS
-from ..operators.merge import assert_unique_source, merge_insert_only, merge_upsert
+from ..operators.merge import INSERTED, assert_unique_source, merge_insert_only, merge_upsert
 from ..operators.spines import calendar_dim
 from ..operators.windows import dedup_latest
 from ..sources import schemas as S
@@ -48,10 +50,11 @@ def _latest(src: DataFrame, merge_keys: list[str], schema: T.StructType | None =
 
 def _upsert(raw: DataFrame, keys: dict[str, Column], schema: T.StructType, merge_keys: list[str],
             update_cols: list[str], target: DataFrame | None, run_ts: dt.datetime, dedup: bool = True,
-            null_safe: bool = False, strict: bool = False) -> DataFrame:
+            null_safe: bool = False, strict: bool = False, carry: tuple[str, ...] = (), change_col: str | None = None) -> DataFrame:
     """Dedup first, hash later: only the keys the merge needs are computed before the W1 shuffle;
     the remaining surrogate keys are computed once per surviving row. Written as two projections
-    around the window (plus the MERGE join when there is a target)."""
+    around the window (plus the MERGE join when there is a target). ``carry`` names further columns of
+    ``raw`` that are kept beside the schema and updated with the row; ``change_col`` as in ``merge_upsert``."""
     early = {k: e for k, e in keys.items() if k in merge_keys}
     x = raw.select(*[F.col(c) for c in raw.columns if c != "LOAD_DATE"],
                    F.col("LOAD_DATE").alias("RAW_LOAD_DATE"), *[e.alias(k) for k, e in early.items()])
@@ -68,31 +71,32 @@ def _upsert(raw: DataFrame, keys: dict[str, Column], schema: T.StructType, merge
         return e.cast(f.dataType).alias(f.name)
 
     if target is None:
-        return x.select(*[(ts.alias(f.name) if f.name == "CDL_LOAD_DATE" else col(f)) for f in schema.fields])
-    src = x.select(*[col(f) for f in schema.fields if f.name != "CDL_LOAD_DATE"])
-    out = merge_upsert(target, src, merge_keys, update_cols + ["RAW_LOAD_DATE"], run_ts, "CDL_LOAD_DATE",
-                       null_safe=null_safe, unique_source=dedup or strict)
-    return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        change = [F.lit(INSERTED).alias(change_col)] if change_col else []
+        return x.select(*[(ts.alias(f.name) if f.name == "CDL_LOAD_DATE" else col(f)) for f in schema.fields], *carry, *change)
+    src = x.select(*[col(f) for f in schema.fields if f.name != "CDL_LOAD_DATE"], *carry)
+    out = merge_upsert(target, src, merge_keys, [*update_cols, "RAW_LOAD_DATE", *carry], run_ts, "CDL_LOAD_DATE",
+                       null_safe=null_safe, unique_source=dedup or strict, change_col=change_col)
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *carry, *([change_col] if change_col else []))
 
 
-def build_dim_company(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
+def build_dim_company(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False, **more) -> DataFrame:
     """C1."""
     upd = ["COMPANY_NAME", "REGION", "CURRENCY_CODE", "GEOGRAPHIC_SECURITY_CODE", "COUNTRY", "STATUS"]
     return _upsert(raw, {"KEY_COMPANY": fingerprint64("COMPANY_CODE")}, S.CDL_DIM_COMPANY, ["KEY_COMPANY"],
-                   upd, target, run_ts, strict=strict)
+                   upd, target, run_ts, strict=strict, **more)
 
 
-def build_dim_customer(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
+def build_dim_customer(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False, **more) -> DataFrame:
     """C2."""
     upd = ["CUSTOMER_NAME", "CUSTOMER_TYPE", "STATUS", "CREDIT_LIMIT", "PAYMENT_TERMS"]
     return _upsert(raw, {"KEY_CUSTOMER": fingerprint64("CUSTOMER_CODE")}, S.CDL_DIM_CUSTOMER, ["KEY_CUSTOMER"],
-                   upd, target, run_ts, strict=strict)
+                   upd, target, run_ts, strict=strict, **more)
 
 
-def build_dim_product(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
+def build_dim_product(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False, **more) -> DataFrame:
     """C3."""
     upd = ["PRODUCT_NAME", "CATEGORY", "BRAND", "STATUS", "LAUNCH_DATE", "WEIGHT_KG"]
-    return _upsert(raw, {"KEY_PRODUCT": product_key()}, S.CDL_DIM_PRODUCT, ["KEY_PRODUCT"], upd, target, run_ts, strict=strict)
+    return _upsert(raw, {"KEY_PRODUCT": product_key()}, S.CDL_DIM_PRODUCT, ["KEY_PRODUCT"], upd, target, run_ts, strict=strict, **more)
 
 
 def selling_method_source(spark: SparkSession, observed: DataFrame | None = None) -> DataFrame:
@@ -106,38 +110,39 @@ def selling_method_source(spark: SparkSession, observed: DataFrame | None = None
 
 
 def build_dim_selling_method(spark: SparkSession, observed: DataFrame | None = None,
-                             target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS) -> DataFrame:
+                             target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, change_col: str | None = None) -> DataFrame:
     """C4: insert-only."""
     src = selling_method_source(spark, observed).select(
         fingerprint64("SELLING_METHOD_CODE").alias("KEY_SELLING_METHOD"), "SELLING_METHOD_CODE",
         "SELLING_METHOD_NAME")
-    out = merge_insert_only(target, src, ["KEY_SELLING_METHOD"], run_ts)
-    return out.select(*[F.col(f.name).cast(f.dataType) for f in S.CDL_DIM_SELLING_METHOD.fields])
+    out = merge_insert_only(target, src, ["KEY_SELLING_METHOD"], run_ts, change_col=change_col)
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in S.CDL_DIM_SELLING_METHOD.fields], *([change_col] if change_col else []))
 
 
 def build_dim_calendar(spark: SparkSession, start, end, target: DataFrame | None = None,
-                       run_ts=DEFAULT_RUN_TS) -> DataFrame:
+                       run_ts=DEFAULT_RUN_TS, change_col: str | None = None) -> DataFrame:
     """Insert-only daily calendar between two dates (Columns or literals)."""
-    out = merge_insert_only(target, calendar_dim(spark, start, end), ["KEY_CALENDAR"], run_ts)
-    return out.select(*[F.col(f.name).cast(f.dataType) for f in S.CDL_DIM_CALENDAR.fields])
+    out = merge_insert_only(target, calendar_dim(spark, start, end), ["KEY_CALENDAR"], run_ts, change_col=change_col)
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in S.CDL_DIM_CALENDAR.fields], *([change_col] if change_col else []))
 
 
 def build_fact_product_price(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS,
-                             null_safe: bool = False, strict: bool = False) -> DataFrame:
+                             null_safe: bool = False, strict: bool = False, **more) -> DataFrame:
     """C6."""
     return _upsert(raw, {"KEY_PRODUCT": product_key()}, S.CDL_FACT_PRODUCT_PRICE,
                    ["KEY_PRODUCT", "PRICE_TYPE", "EFFECTIVE_DATE"], ["PRICE", "CURRENCY_CODE", "EXPIRY_DATE"],
-                   target, run_ts, null_safe=null_safe, strict=strict)
+                   target, run_ts, null_safe=null_safe, strict=strict, **more)
 
 
 def build_fact_product_cost(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS,
-                            null_safe: bool = False, strict: bool = False) -> DataFrame:
+                            null_safe: bool = False, strict: bool = False, **more) -> DataFrame:
     """C7."""
     return _upsert(raw, {"KEY_PRODUCT": product_key()}, S.CDL_FACT_PRODUCT_COST,
                    ["KEY_PRODUCT", "COST_TYPE", "EFFECTIVE_DATE"], ["COST", "CURRENCY_CODE", "EXPIRY_DATE"],
-                   target, run_ts, null_safe=null_safe, strict=strict)
+                   target, run_ts, null_safe=null_safe, strict=strict, **more)
 
 
+RETURNS_UPDATE = ["RETURN_QTY", "RETURN_VALUE", "RETURN_REASON"]
 SALES_UPDATE = ["ORDER_STATUS", "ORDER_QTY", "SELLING_PRICE", "ORDER_VALUE", "ORDER_LIST_VALUE"]
 
 
@@ -148,19 +153,19 @@ def sales_keys() -> dict[str, Column]:
             "KEY_CALENDAR": calendar_key("TRANSACTION_DATE")}
 
 
-def build_fact_sales(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
+def build_fact_sales(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False, **more) -> DataFrame:
     """Merge on ORDER_ID + ORDER_LINE_NO; only status, quantity, price and values update."""
     return _upsert(raw, sales_keys(), S.CDL_FACT_SALES, ["ORDER_ID", "ORDER_LINE_NO"], SALES_UPDATE,
-                   target, run_ts, strict=strict)
+                   target, run_ts, strict=strict, **more)
 
 
 def build_fact_returns(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS,
-                       null_safe: bool = False, strict: bool = False) -> DataFrame:
+                       null_safe: bool = False, strict: bool = False, **more) -> DataFrame:
     """Merge on RETURN_ID + ORDER_LINE_NO (RETURN_ID repeats per order, T6)."""
     keys = {"KEY_PRODUCT": product_key(), "KEY_COMPANY": fingerprint64("COMPANY_CODE"),
             "KEY_CALENDAR": calendar_key("RETURN_DATE")}
     return _upsert(raw, keys, S.CDL_FACT_RETURNS, ["RETURN_ID", "ORDER_LINE_NO"],
-                   ["RETURN_QTY", "RETURN_VALUE", "RETURN_REASON"], target, run_ts, null_safe=null_safe, strict=strict)
+                   RETURNS_UPDATE, target, run_ts, null_safe=null_safe, strict=strict, **more)
 
 
 def _forecast_keys() -> dict[str, Column]:
@@ -168,16 +173,16 @@ def _forecast_keys() -> dict[str, Column]:
             "KEY_SELLING_METHOD": fingerprint64("SELLING_METHOD_CODE")}
 
 
-def build_fact_demand_forecast(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
+def build_fact_demand_forecast(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False, **more) -> DataFrame:
     """C10."""
     return _upsert(raw, _forecast_keys(), S.CDL_FACT_DEMAND_FORECAST, ["FORECAST_ID"],
-                   ["DEMAND_PLAN_QTY", "DEMAND_PLAN_DRAFT_QTY"], target, run_ts, strict=strict)
+                   ["DEMAND_PLAN_QTY", "DEMAND_PLAN_DRAFT_QTY"], target, run_ts, strict=strict, **more)
 
 
-def build_fact_sales_forecast(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False) -> DataFrame:
+def build_fact_sales_forecast(raw: DataFrame, target: DataFrame | None = None, run_ts=DEFAULT_RUN_TS, strict: bool = False, **more) -> DataFrame:
     """C11."""
     return _upsert(raw, _forecast_keys(), S.CDL_FACT_SALES_FORECAST, ["FORECAST_ID"],
-                   ["SALES_FORECAST_QTY", "SALES_FORECAST_STAGED_QTY"], target, run_ts, strict=strict)
+                   ["SALES_FORECAST_QTY", "SALES_FORECAST_STAGED_QTY"], target, run_ts, strict=strict, **more)
 
 
 # The fixed refresh order of the eleven MERGEs.
@@ -186,49 +191,71 @@ CDL_ORDER = ("cdl_dim_company", "cdl_dim_customer", "cdl_dim_product", "cdl_dim_
              "cdl_fact_returns", "cdl_fact_demand_forecast", "cdl_fact_sales_forecast")
 
 
-def calendar_bounds(raw: dict[str, DataFrame]) -> tuple[Column, Column]:
-    """First order date and last order or return date: one aggregate per table, read as one scalar."""
+def calendar_range(raw: dict[str, DataFrame]) -> DataFrame:
+    """One row (lo, hi): first order date and last order or return date, one aggregate per table."""
     ends = raw["raw_order_line"].agg(F.min("TRANSACTION_DATE").alias("lo"), F.max("TRANSACTION_DATE").alias("hi")).unionByName(
         raw["raw_return"].agg(F.lit(None).cast("date").alias("lo"), F.max("RETURN_DATE").alias("hi")))
-    both = ends.agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("r")).scalar()
+    return ends.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def calendar_bounds(raw: dict[str, DataFrame]) -> tuple[Column, Column]:
+    """The calendar's ends, read as one scalar."""
+    both = calendar_range(raw).select(F.struct("lo", "hi").alias("r")).scalar()
     return both["lo"], both["hi"]
 
 
-# Large facts: the builder, the RAW table, its date and the merge keys. They are kept by month.
+def cdl_input(table: str, raw: dict[str, DataFrame]) -> DataFrame:
+    """What a dimension, price or cost table is made from; the same input gives the same table."""
+    if table == "cdl_dim_calendar":
+        return calendar_range(raw)
+    if table == "cdl_dim_selling_method":
+        return raw["raw_order_line"].select("SELLING_METHOD_CODE").distinct()
+    return raw[{"cdl_fact_product_price": "raw_price", "cdl_fact_product_cost": "raw_cost"}.get(table, table.replace("cdl_dim", "raw"))]
+
+
+@dataclass(frozen=True)
+class MonthlyFact:
+    """A large fact, kept by month of a date of its RAW table."""
+    build: Callable[..., DataFrame]
+    raw: str
+    date: str
+    keys: list[str]
+    schema: T.StructType
+
+
 MONTHLY_FACTS = {
-    "cdl_fact_sales": (build_fact_sales, "raw_order_line", "TRANSACTION_DATE", ["ORDER_ID", "ORDER_LINE_NO"]),
-    "cdl_fact_returns": (build_fact_returns, "raw_return", "RETURN_DATE", ["RETURN_ID", "ORDER_LINE_NO"]),
-    "cdl_fact_demand_forecast": (build_fact_demand_forecast, "raw_demand_forecast", "FORECAST_DATE", ["FORECAST_ID"]),
-    "cdl_fact_sales_forecast": (build_fact_sales_forecast, "raw_sales_forecast", "FORECAST_DATE", ["FORECAST_ID"]),
+    "cdl_fact_sales": MonthlyFact(build_fact_sales, "raw_order_line", "TRANSACTION_DATE", ["ORDER_ID", "ORDER_LINE_NO"], S.CDL_FACT_SALES),
+    "cdl_fact_returns": MonthlyFact(build_fact_returns, "raw_return", "RETURN_DATE", ["RETURN_ID", "ORDER_LINE_NO"], S.CDL_FACT_RETURNS),
+    "cdl_fact_demand_forecast": MonthlyFact(build_fact_demand_forecast, "raw_demand_forecast", "FORECAST_DATE", ["FORECAST_ID"],
+                                            S.CDL_FACT_DEMAND_FORECAST),
+    "cdl_fact_sales_forecast": MonthlyFact(build_fact_sales_forecast, "raw_sales_forecast", "FORECAST_DATE", ["FORECAST_ID"],
+                                           S.CDL_FACT_SALES_FORECAST),
 }
 
 
 def cdl_builders(spark: SparkSession, raw: dict[str, DataFrame], targets: dict[str, DataFrame] | None = None,
-                 run_ts=DEFAULT_RUN_TS) -> dict:
+                 run_ts=DEFAULT_RUN_TS, change_col: str | None = None) -> dict:
     """Zero-argument builders of the eleven CDL plans from RAW DataFrames (and optional targets)."""
     t = targets or {}
+    more = {"change_col": change_col}
 
     def calendar():
         start, end = calendar_bounds(raw)
-        return build_dim_calendar(spark, start, end, t.get("cdl_dim_calendar"), run_ts)
+        return build_dim_calendar(spark, start, end, t.get("cdl_dim_calendar"), run_ts, **more)
+
+    def of(table: str, build, source: str):
+        return lambda: build(raw[source], t.get(table), run_ts, **more)
 
     return {
-        "cdl_dim_company": lambda: build_dim_company(raw["raw_company"], t.get("cdl_dim_company"), run_ts),
-        "cdl_dim_customer": lambda: build_dim_customer(raw["raw_customer"], t.get("cdl_dim_customer"), run_ts),
-        "cdl_dim_product": lambda: build_dim_product(raw["raw_product"], t.get("cdl_dim_product"), run_ts),
+        "cdl_dim_company": of("cdl_dim_company", build_dim_company, "raw_company"),
+        "cdl_dim_customer": of("cdl_dim_customer", build_dim_customer, "raw_customer"),
+        "cdl_dim_product": of("cdl_dim_product", build_dim_product, "raw_product"),
         "cdl_dim_selling_method": lambda: build_dim_selling_method(spark, raw["raw_order_line"],
-                                                                   t.get("cdl_dim_selling_method"), run_ts),
+                                                                   t.get("cdl_dim_selling_method"), run_ts, **more),
         "cdl_dim_calendar": calendar,
-        "cdl_fact_product_price": lambda: build_fact_product_price(raw["raw_price"],
-                                                                   t.get("cdl_fact_product_price"), run_ts),
-        "cdl_fact_product_cost": lambda: build_fact_product_cost(raw["raw_cost"],
-                                                                 t.get("cdl_fact_product_cost"), run_ts),
-        "cdl_fact_sales": lambda: build_fact_sales(raw["raw_order_line"], t.get("cdl_fact_sales"), run_ts),
-        "cdl_fact_returns": lambda: build_fact_returns(raw["raw_return"], t.get("cdl_fact_returns"), run_ts),
-        "cdl_fact_demand_forecast": lambda: build_fact_demand_forecast(
-            raw["raw_demand_forecast"], t.get("cdl_fact_demand_forecast"), run_ts),
-        "cdl_fact_sales_forecast": lambda: build_fact_sales_forecast(
-            raw["raw_sales_forecast"], t.get("cdl_fact_sales_forecast"), run_ts),
+        "cdl_fact_product_price": of("cdl_fact_product_price", build_fact_product_price, "raw_price"),
+        "cdl_fact_product_cost": of("cdl_fact_product_cost", build_fact_product_cost, "raw_cost"),
+        **{name: of(name, fact.build, fact.raw) for name, fact in MONTHLY_FACTS.items()},
     }
 
 

@@ -9,6 +9,8 @@ the declared schema. ``build_mart`` adds the ADMIN block and merges into a targe
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,6 +143,35 @@ def build_mart(df: DataFrame, keys: list[str], required: list[str], run_ts: dt.d
     return merge_mart(target, x, run_ts, unique_source=True)
 
 
+@dataclass
+class Lookup:
+    """A frame made from one conformed table (and the parameters), looked up by the touch key columns ``on``."""
+    table: str
+    on: list[str]
+    frame: Callable[[DataFrame, dict], DataFrame]
+
+
+@dataclass
+class Incremental:
+    """How a mart follows its conformed tables.
+
+    ``rows`` makes mart rows from the tables given by name. ``facts`` names, per fact, the touch key: expressions
+    (by name) over the fact's columns, the same names for every fact. All rows of a mart group share one touch
+    key, so the groups of a touched key can be recomputed from the facts' rows with that key alone.
+    ``lookups`` are the frames whose rows the mart looks up; ``month`` is the touch key, if any, that is also the month the facts are kept by. ``params``
+    is handed to the lookups: a changed parameter touches what it looks up differently.
+    """
+    rows: Callable[[dict[str, DataFrame], dict], DataFrame]
+    facts: dict[str, dict[str, str]]
+    lookups: dict[str, Lookup] = field(default_factory=dict)
+    month: str | None = None
+    params: dict[str, str] = field(default_factory=dict)
+
+    def tables(self) -> set[str]:
+        """The conformed tables whose changes the mart follows."""
+        return {*self.facts, *(look.table for look in self.lookups.values())}
+
+
 # Margin bands of the company/category report (percent thresholds).
 MARGIN_BANDS = ((40.0, "HIGH"), (20.0, "MEDIUM"))
 
@@ -161,3 +192,42 @@ def company_category_report(summary: DataFrame, profitability: DataFrame) -> Dat
     for threshold, name in MARGIN_BANDS:
         band = band.when(pct >= threshold, F.lit(name))
     return j.withColumns({"GROSS_MARGIN_PCT": pct, "MARGIN_BAND": band.otherwise(F.lit("LOW"))})
+
+
+def incremental_marts(as_of: str) -> dict[str, Incremental]:
+    """How the three marts follow the conformed tables.
+
+    A sales summary group lies in one product, company and month, a demand group in one product, company, method,
+    currency and month, so both read the touched months alone. A profitability group sums all months
+    of a product, company and currency, so it reads their rows in every month. A new price, cost or name touches the
+    groups of its product or company; a new ``as_of`` those whose valid price or cost is another one.
+    """
+    def names(table: str, key: str, cols: list[str]):
+        return Lookup(table, [key], lambda t, _: t.select(key, *cols))
+
+    def valid(table: str, type_col: str, wanted: str, value: str):
+        return Lookup(table, ["KEY_PRODUCT"], lambda t, p: current_price(t, F.lit(p["as_of"]).cast("date"), type_col, wanted).select("KEY_PRODUCT", value))
+
+    product = names("cdl_dim_product", "KEY_PRODUCT", ["PRODUCT_NAME", "CATEGORY", "BRAND"])
+    company = names("cdl_dim_company", "KEY_COMPANY", ["COMPANY_NAME"])
+    pair = {c: c for c in ("KEY_PRODUCT", "KEY_COMPANY")}
+    line = pair | {"KEY_SELLING_METHOD": "KEY_SELLING_METHOD", "CURRENCY_CODE": "CURRENCY_CODE"}
+    month = "trunc({}, 'MM')"
+    return {
+        "fact_sales_summary": Incremental(
+            lambda t, _: fact_sales_summary(t["cdl_fact_sales"], t["cdl_dim_product"], t["cdl_dim_company"]),
+            {"cdl_fact_sales": pair | {"MONTH": month.format("TRANSACTION_DATE")}}, {"product": product, "company": company}, "MONTH"),
+        "fact_product_profitability": Incremental(
+            lambda t, p: fact_product_profitability(t["cdl_fact_sales"], t["cdl_fact_returns"], t["cdl_fact_product_price"],
+                                                    t["cdl_fact_product_cost"], t["cdl_dim_product"], F.lit(p["as_of"]).cast("date")),
+            {t: pair | {"CURRENCY_CODE": "CURRENCY_CODE"} for t in ("cdl_fact_sales", "cdl_fact_returns")},
+            {"product": product, "price": valid("cdl_fact_product_price", "PRICE_TYPE", "LIST", "PRICE"),
+             "cost": valid("cdl_fact_product_cost", "COST_TYPE", "EX-FACTORY", "COST")}, params={"as_of": as_of}),
+        "fact_demand_vs_sales": Incremental(
+            lambda t, _: fact_demand_vs_sales(t["cdl_fact_demand_forecast"], t["cdl_fact_sales_forecast"], t["cdl_fact_sales"],
+                                              t["cdl_dim_product"], t["cdl_dim_company"]),
+            {"cdl_fact_sales": line | {"MONTH": month.format("TRANSACTION_DATE")},
+             "cdl_fact_demand_forecast": line | {"MONTH": month.format("FORECAST_DATE")},
+             "cdl_fact_sales_forecast": line | {"MONTH": month.format("FORECAST_DATE")}},
+            {"product": product, "company": company}, "MONTH"),
+    }

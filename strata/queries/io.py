@@ -8,10 +8,12 @@ real read/write path. They have no SQL oracle: their output is files.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..plans import cdl as C
 from ..plans import runs as R
 from ..plans.cdl import DEFAULT_RUN_TS, build_fact_sales
 from .. import oracle_sql as O
@@ -103,23 +105,93 @@ def m7(ctx):
     return store.read_table(ctx.spark, path)
 
 
-def _counts(tables, run="", step="cdl"):
-    """Run-log rows (without times) of a run whose every table succeeds."""
-    return " UNION ALL ".join(f"SELECT '{run}' run_id, '{step}' step, '{t}' table_name, 'success' status, count(*) rows_affected FROM {t}"
-                              for t in tables)
+# The landings of the refresh queries: order lines and returns stamped before the day, then all rows.
+DAY2 = "1997-01-01 00:00:00"
+_EARLY = f"LOAD_DATE < TIMESTAMP '{DAY2}'"
+
+
+def landings(ctx) -> tuple[dict, dict]:
+    """RAW tables, written once, as they lie on two days: the second day adds order lines and returns, some for orders
+    of the first."""
+    path = _scratch(ctx, "raw")
+    for name in S.RAW:
+        ctx.raw[name].write.parquet(os.path.join(path, name))
+    raw = {n: ctx.spark.read.schema(ctx.raw[n].schema).parquet(os.path.join(path, n)) for n in S.RAW}
+    early = F.col("LOAD_DATE") < F.lit(DAY2).cast("timestamp")
+    return {n: df.filter(early) if n in ("raw_order_line", "raw_return") else df for n, df in raw.items()}, raw
+
+
+def _two_days(table: str, raw: str, schema, keys: dict, merge_keys: list[str], update: list[str]) -> None:
+    """CTEs <table>_day1 and <table>_day2: the fact after the first landing, and after the second merged into it."""
+    O._cdl(f"{table}_day1", raw, schema, keys, merge_keys, where=f"WHERE {_EARLY}")
+    O._cdl(f"{table}_late", raw, schema, keys, merge_keys, where=f"WHERE NOT {_EARLY}", stamp=None)
+    O.cte(f"{table}_day2", O.merge_sql(f"{table}_day1", f"{table}_late", schema, merge_keys, [*update, "RAW_LOAD_DATE"], "CDL_LOAD_DATE", O.RUN_TS),
+          f"{table}_day1", f"{table}_late")
+
+
+_two_days("cdl_fact_sales", "raw_order_line", S.CDL_FACT_SALES, O.SALES_KEYS, ["ORDER_ID", "ORDER_LINE_NO"], C.SALES_UPDATE)
+_two_days("cdl_fact_returns", "raw_return", S.CDL_FACT_RETURNS, O.RETURN_KEYS, ["RETURN_ID", "ORDER_LINE_NO"], C.RETURNS_UPDATE)
+O.cte("days", f"""
+SELECT min(d) FILTER (early) lo1, max(d) FILTER (early) hi1, min(d) FILTER (o) lo2, max(d) hi2
+FROM (SELECT TRANSACTION_DATE d, {_EARLY} early, true o FROM raw_order_line UNION ALL SELECT RETURN_DATE, {_EARLY}, false FROM raw_return) x""",
+      "raw_order_line", "raw_return")
+
+_WHOLE = [t for t in R.CDL_ORDER if t not in ("cdl_dim_calendar", "cdl_fact_sales", "cdl_fact_returns")]
+
+
+def _log_rows(run, step, table, total, inserted, updated) -> str:
+    """One run-log row (without times) as SQL over scalar expressions."""
+    return (f"SELECT '{run}' run_id, '{step}' step, '{table}' table_name, 'success' status, cast({total} as bigint) rows_affected, "
+            f"cast({inserted} as bigint) rows_inserted, cast({updated} as bigint) rows_updated, "
+            f"cast(({total}) - ({inserted}) - ({updated}) as bigint) rows_unchanged")
+
+
+def _n(cte: str) -> str:
+    return f"(SELECT count(*) FROM {cte})"
+
+
+def _fresh(run: str, tables) -> str:
+    """A first run: all rows are inserted."""
+    return " UNION ALL ".join(_log_rows(run, "cdl", t, _n(t), _n(t), 0) for t in tables)
+
+
+def _cdl_runs(first: str, second: str, idle: str | None = None) -> str:
+    """The conformed layer's log of the two landings, and of a run that finds nothing new."""
+    facts = ("cdl_fact_sales", "cdl_fact_returns")
+    keys = {"cdl_fact_sales": "ORDER_ID, ORDER_LINE_NO", "cdl_fact_returns": "RETURN_ID, ORDER_LINE_NO"}
+    days1, days2 = "(SELECT date_diff('day', lo1, hi1) + 1 FROM days)", "(SELECT date_diff('day', least(lo1, lo2), hi2) + 1 FROM days)"
+    rows = [_fresh(first, _WHOLE), _log_rows(first, "cdl", "cdl_dim_calendar", days1, days1, 0)]
+    rows += [_log_rows(first, "cdl", t, _n(f"{t}_day1"), _n(f"{t}_day1"), 0) for t in facts]
+    rows += [_log_rows(second, "cdl", t, _n(t), 0, 0) for t in _WHOLE]
+    rows.append(_log_rows(second, "cdl", "cdl_dim_calendar", days2, f"{days2} - {days1}", 0))
+    rows += [_log_rows(second, "cdl", t, _n(f"{t}_day2"), f"{_n(f'{t}_day2')} - {_n(f'{t}_day1')}",
+                       f"(SELECT count(*) FROM {t}_day1 JOIN {t}_late USING ({keys[t]}))") for t in facts]
+    if idle:
+        rows += [_log_rows(idle, "cdl", t, _n(f"{t}_day2") if t in facts else days2 if t == "cdl_dim_calendar" else _n(t), 0, 0) for t in R.CDL_ORDER]
+    return " UNION ALL ".join(rows)
+
+
+_CDL_RUNS = (*_WHOLE, "days", *(f"{t}_{d}" for t in ("cdl_fact_sales", "cdl_fact_returns") for d in ("day1", "day2", "late")))
 
 
 def _log(df):
-    return df.select("run_id", "step", "table_name", "status", F.col("rows_affected").cast("bigint").alias("rows_affected"))
+    return df.select("run_id", "step", "table_name", "status", *[F.col(c).cast("bigint").alias(c) for c in (
+        "rows_affected", "rows_inserted", "rows_updated", "rows_unchanged")])
 
 
-@register("r1_refresh_cdl", O.sql(_counts(R.CDL_ORDER, "first") + " UNION ALL " + _counts(R.CDL_ORDER, "second"), *R.CDL_ORDER))
+@register("r1_refresh_cdl", O.sql(_cdl_runs("first", "second", "third"), *_CDL_RUNS))
 def r1(ctx):
-    """R1 + R3: the eleven CDL MERGEs in order into a fresh warehouse, then a second run (every
-    table now has a target); both run logs, rows counted while writing."""
+    """R1 + R3: the eleven CDL MERGEs in order into a fresh warehouse, then the landing of a second day, then a
+    run that finds nothing new and commits no version (else it fails); all run logs, with the rows inserted, updated and
+    unchanged counted while writing."""
     root = _scratch(ctx, "warehouse")
-    log = R.refresh_cdl(ctx.spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="first")
-    log += R.refresh_cdl(ctx.spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="second")
+    first, second = landings(ctx)
+    log = R.refresh_cdl(ctx.spark, first, root, DEFAULT_RUN_TS, run_id="first")
+    log += R.refresh_cdl(ctx.spark, second, root, DEFAULT_RUN_TS, run_id="second")
+    seqs = R.cdl_seqs(ctx.spark, root)
+    log += R.refresh_cdl(ctx.spark, second, root, DEFAULT_RUN_TS, run_id="third")
+    if R.cdl_seqs(ctx.spark, root) != seqs:
+        raise AssertionError("a run without new rows committed a version")
     R.append_run_log(ctx.spark, log, root)
     return _log(store.read_table(ctx.spark, os.path.join(root, "ops", "pipeline_runs")))
 
@@ -130,45 +202,72 @@ DEMAND_KEYS = ["KEY_PRODUCT", "KEY_COMPANY", "KEY_SELLING_METHOD", "AS_OF_DATE",
 
 
 def standard_marts(c, as_of):
-    """The three marts over conformed tables ``c``."""
+    """The three marts over conformed tables ``c``, each following its changes; ``as_of`` is a date."""
     from ..plans import marts as M
-    return {
-        "fact_sales_summary": R.Mart(lambda: M.fact_sales_summary(c["cdl_fact_sales"], c["cdl_dim_product"], c["cdl_dim_company"]),
-                                     SUMMARY_KEYS, ["COMPANY_CODE"], ["KEY_COMPANY", "KEY_PRODUCT"]),
-        "fact_product_profitability": R.Mart(lambda: M.fact_product_profitability(
-            c["cdl_fact_sales"], c["cdl_fact_returns"], c["cdl_fact_product_price"], c["cdl_fact_product_cost"],
-            c["cdl_dim_product"], as_of), PROFIT_KEYS, ["COMPANY_CODE"]),
-        "fact_demand_vs_sales": R.Mart(lambda: M.fact_demand_vs_sales(
-            c["cdl_fact_demand_forecast"], c["cdl_fact_sales_forecast"], c["cdl_fact_sales"], c["cdl_dim_product"],
-            c["cdl_dim_company"]), DEMAND_KEYS, ["COMPANY_CODE"]),
-    }
-
-
-def _mart_counts(run):
-    return " UNION ALL ".join(
-        f"SELECT '{run}' run_id, 'bl' step, '{name}' table_name, 'success' status, count(*) rows_affected FROM "
-        f"(SELECT DISTINCT {', '.join(keys)} FROM {cte})"
-        for name, cte, keys in (("fact_sales_summary", "b1_mart", SUMMARY_KEYS), ("fact_product_profitability", "b2_mart", PROFIT_KEYS),
-                                ("fact_demand_vs_sales", "b3_mart", DEMAND_KEYS)))
-
-
-@register("r2_refresh_bl", O.sql(_mart_counts("bl") + " UNION ALL SELECT 'bl', 'bl', 'broken_mart', 'failed', 0 "
-                                 "UNION ALL " + _mart_counts("bl2"), "b1_mart", "b2_mart", "b3_mart"))
+    follows = M.incremental_marts(str(as_of))
+
+    def mart(name, keys, cluster=()):
+        follow = follows[name]
+        return R.Mart(lambda: follow.rows(c, follow.params), keys, ["COMPANY_CODE"], list(cluster), follow=follow)
+
+    return {"fact_sales_summary": mart("fact_sales_summary", SUMMARY_KEYS, ["KEY_COMPANY", "KEY_PRODUCT"]),
+            "fact_product_profitability": mart("fact_product_profitability", PROFIT_KEYS),
+            "fact_demand_vs_sales": mart("fact_demand_vs_sales", DEMAND_KEYS)}
+
+
+def _on_day(cte: str, day: str) -> str:
+    """The mart ``cte`` over the facts as they were on a day."""
+    facts = ("cdl_fact_sales", "cdl_fact_returns")
+    body, deps = O.CTE[cte]
+    for t in facts:
+        body = re.sub(rf"\b{t}\b", f"{t}_{day}", body)
+    O.cte(f"{cte}_{day}", body, *[f"{d}_{day}" if d in facts else d for d in deps])
+    return f"{cte}_{day}"
+
+
+MART_CTES = (("fact_sales_summary", "b1_mart", SUMMARY_KEYS), ("fact_product_profitability", "b2_mart", PROFIT_KEYS),
+             ("fact_demand_vs_sales", "b3_mart", DEMAND_KEYS))
+_MART_DAYS = [_on_day(cte, day) for _, cte, _ in MART_CTES for day in ("day1", "day2")]
+
+
+def _mart_runs(first: str, second: str, idle: str | None = None) -> str:
+    """The marts' log of the two landings: a group is updated where any of its columns differs between the days."""
+    rows = []
+    for name, cte, keys in MART_CTES:
+        k = ", ".join(keys)
+        n1, n2 = (f"(SELECT count(*) FROM (SELECT DISTINCT {k} FROM {cte}_{d}) x)" for d in ("day1", "day2"))
+        new = f"(SELECT count(*) FROM (SELECT {k} FROM {cte}_day2 EXCEPT SELECT {k} FROM {cte}_day1) x)"
+        other = f"(SELECT count(*) FROM (SELECT * FROM {cte}_day2 EXCEPT SELECT * FROM {cte}_day1) x)"
+        rows += [_log_rows(first, "bl", name, n1, n1, 0), _log_rows(second, "bl", name, n2, new, f"{other} - {new}")]
+        rows += [_log_rows(idle, "bl", name, n2, 0, 0)] if idle else []
+    return " UNION ALL ".join(rows)
+
+
+def as_of_day(ctx):
+    """The latest order date, as a value: it is kept with the marts' state."""
+    from ..sources.testdata import read_table
+    return read_table(ctx.spark, ctx.sf_dir, "orders").agg(F.max(F.col("o_orderdate").cast("date"))).first()[0]
+
+
+@register("r2_refresh_bl", O.sql(_mart_runs("bl", "bl2", "bl3") + " UNION ALL SELECT 'bl', 'bl', 'broken_mart', 'failed', 0, 0, 0, 0",
+                                 *_MART_DAYS))
 def r2(ctx):
-    """R2 + R3: the CDL layer is refreshed and written first (R1); every mart is then built from the
-    *written* conformed tables, given its ADMIN block and merged into its table; a failing mart is
-    logged and the others still run. A second refresh merges into the written marts."""
-    from .marts import as_of_latest_order
-    root = _scratch(ctx, "warehouse")
-    R.refresh_cdl(ctx.spark, ctx.raw, root, DEFAULT_RUN_TS, run_id="bl")
-    marts = standard_marts(R.written_cdl(ctx.spark, root), as_of_latest_order(ctx))
+    """R2 + R3: after the first landing every mart is built from the *written* conformed tables, given its
+    ADMIN block and merged into its table; a failing mart is logged and the others still run. After the second only
+    the groups that its changes touch are recomputed; a third refresh finds nothing to do."""
+    root, spark = _scratch(ctx, "warehouse"), ctx.spark
+    as_of = as_of_day(ctx)
 
     def broken():
         raise RuntimeError("mart definition refers to a missing column")
 
-    log = R.refresh_bl(ctx.spark, {**marts, "broken_mart": R.Mart(broken, ["x"])}, root, DEFAULT_RUN_TS, run_id="bl")
-    log += R.refresh_bl(ctx.spark, marts, root, DEFAULT_RUN_TS, run_id="bl2")
-    return _log(R.log_frame(ctx.spark, log))
+    log = []
+    for run, raw in zip(("bl", "bl2"), landings(ctx)):
+        R.refresh_cdl(spark, raw, root, DEFAULT_RUN_TS, run_id=run)
+        marts = standard_marts(R.written_cdl(spark, root), as_of)
+        log += R.refresh_bl(spark, marts | ({"broken_mart": R.Mart(broken, ["x"])} if run == "bl" else {}), root, DEFAULT_RUN_TS, run_id=run)
+    log += R.refresh_bl(spark, marts, root, DEFAULT_RUN_TS, run_id="bl3")
+    return _log(R.log_frame(spark, log))
 
 
 @register("r6_stream_upsert", O.sql(f"SELECT {O.render(S.CDL_FACT_SALES)} FROM m1_merged", "m1_merged"))
@@ -191,19 +290,21 @@ def r6(ctx):
 
 
 @register("r7_daily_refresh", O.sql(
-    _counts(R.CDL_ORDER, "daily") + " UNION ALL " + _mart_counts("daily") + " UNION ALL " + " UNION ALL ".join(
-        f"SELECT 'daily', 'dq', '{m}', 'success', 0" for m in ("fact_sales_summary", "fact_product_profitability", "fact_demand_vs_sales")),
-    *R.CDL_ORDER, "b1_mart", "b2_mart", "b3_mart"))
+    _cdl_runs("day1", "day2") + " UNION ALL " + _mart_runs("day1", "day2") + " UNION ALL " + " UNION ALL ".join(
+        f"SELECT '{d}', 'dq', '{m}', 'success', 0, 0, 0, 0" for d in ("day1", "day2")
+        for m in ("fact_sales_summary", "fact_product_profitability", "fact_demand_vs_sales")),
+    *_CDL_RUNS, *_MART_DAYS))
 def r7(ctx):
-    """§3.3 daily refresh end to end: the RAW tables land as NDJSON files, are loaded with their
-    declared schemas, conformed (R1), the three marts merged from the written conformed layer (R2),
-    each mart checked by its DQ suite, everything logged. Returns the run log without times."""
-    from .marts import as_of_latest_order
+    """§3.3 daily refresh end to end, on two days: the RAW tables land as NDJSON files, are loaded with their
+    declared schemas, conformed (R1), the marts' touched groups merged from the written conformed layer (R2),
+    each mart checked by its DQ suite, everything logged. Returns the run logs without times."""
     base = _scratch(ctx, "daily")
-    landing = os.path.join(base, "landing")
-    for name, df in ((n, ctx.raw[n]) for n in S.RAW):
-        store.write_jsonl(df, os.path.join(landing, name))
-    raw = R.read_landing(ctx.spark, landing)
-    as_of = as_of_latest_order(ctx)
-    log = R.daily_refresh(ctx.spark, raw, os.path.join(base, "warehouse"), lambda c: standard_marts(c, as_of), DEFAULT_RUN_TS, "daily")
+    as_of, log = as_of_day(ctx), None
+    for day, raw in zip(("day1", "day2"), landings(ctx)):
+        landing = os.path.join(base, f"landing-{day}")
+        for name in S.RAW:
+            store.write_jsonl(raw[name], os.path.join(landing, name))
+        done = R.daily_refresh(ctx.spark, R.read_landing(ctx.spark, landing), os.path.join(base, "warehouse"),
+                               lambda c: standard_marts(c, as_of), DEFAULT_RUN_TS, day)
+        log = done if log is None else log.unionByName(done)
     return _log(log)

@@ -146,5 +146,7 @@ PIPELINE_ARTIFACTS = _schema(
 PIPELINE_LESSONS = _schema(("id", S), ("context", S), ("error_message", S), ("fix_description", S),
                            ("error_category", S), ("created_at", TS),
                            not_null=("id", "context", "error_message"))
+#: The run log of the refreshes: the pipeline_runs record and the rows of each change class.
+REFRESH_LOG = T.StructType([*PIPELINE_RUNS.fields, *_schema(("rows_inserted", L), ("rows_updated", L), ("rows_unchanged", L)).fields])
 OPS = {"pipeline_runs": PIPELINE_RUNS, "pipeline_artifacts": PIPELINE_ARTIFACTS,
        "pipeline_lessons": PIPELINE_LESSONS}

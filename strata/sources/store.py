@@ -9,12 +9,13 @@ commit. A marker names the folders of its version: one, or one per partition or
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,9 +122,19 @@ def current_version(spark: SparkSession, path: str) -> str | None:
     return os.path.join(path, found[-1][1].split("/")[0]) if found else None
 
 
+def table_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The columns of the folder written last; one folder is looked at, however many the version has."""
+    return spark.read.parquet(os.path.join(path, _folders(spark, path)[-1][1])).schema
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version; folders written before a column was added have NULL there."""
     found = _folders(spark, path)
-    return spark.read.parquet(*[os.path.join(path, f) for _, f in found]) if found else None
+    if not found:
+        return None
+    if len(found) == 1:
+        return spark.read.parquet(os.path.join(path, found[0][1]))
+    return read_folders(spark, path, [f for _, f in found], table_schema(spark, path))
 
 
 def _commit(spark: SparkSession, path: str, base: int, lines: list[str]) -> None:
@@ -283,8 +294,40 @@ def infer_column_types(df: DataFrame, cols: list[str] | None = None, with_timest
 _NO_VALUE = "__null__"
 
 
+def read_folders(spark: SparkSession, path: str, folders: list[str], schema: T.StructType) -> DataFrame:
+    """The rows of some of a table's folders."""
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[os.path.join(path, f) for f in folders])
+
+
+def partition_folders(spark: SparkSession, path: str, seq: int | None = None) -> dict[str, str | None]:
+    """folder → partition value of a committed version (the current one by default)."""
+    return {f: v for v, f in _folders(spark, path, seq)}
+
+
+def read_partitions(spark: SparkSession, path: str, values: set[str | None]) -> DataFrame:
+    """The partitions of the current version whose value (as text, None for NULL) is in ``values``: the other
+    folders are neither listed nor read."""
+    named = {_NO_VALUE if v is None else v for v in values}
+    return read_folders(spark, path, [f for f, v in partition_folders(spark, path).items() if v in named or v is None],
+                        table_schema(spark, path))
+
+
+#: What ``count_changes`` observes.
+CHANGE_CLASSES = ("inserted", "updated", "unchanged")
+
+
+def count_changes(df: DataFrame, change_col: str) -> tuple[DataFrame, Observation]:
+    """``df`` without ``change_col``, and the rows per change class, counted while ``df`` is written."""
+    obs = Observation(f"changes_{uuid.uuid4().hex[:8]}")
+    counts = [F.count_if(F.col(change_col) == c).alias(c) for c in CHANGE_CLASSES]
+    return df.observe(obs, *counts).drop(change_col), obs
+
+
 def merge_partitions(spark: SparkSession, path: str, source: DataFrame, partition_col: str, keys: list[str],
-                     merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+                     merge: Callable[[DataFrame | None, DataFrame], DataFrame], sort: list[str] | None = None,
+                     change_col: str | None = None) -> dict[str, int]:
     """MERGE into a large partitioned table, rewriting only the partitions the source affects.
 
     Affected are the partitions of the source's rows and those that hold a target row with a source
@@ -292,7 +335,10 @@ def merge_partitions(spark: SparkSession, path: str, source: DataFrame, partitio
     even where a key's partition changes or is NULL. The merged partitions are written to a new folder
     and committed with a marker that keeps the folders of all others: readers see the whole merge or
     none of it, and a repeated run after a failure is safe. The partition column stays in the data with
-    its own type; only its text names a folder.
+    its own type; only its text names a folder. ``sort`` orders the rows within a file.
+
+    With ``change_col`` the merge names each row's change class in that column; it is not stored, and the rows
+    per class of the partitions written are returned (one pass: counted while writing).
     """
     base = current_seq(spark, path)
     old = _folders(spark, path, base)
@@ -301,17 +347,26 @@ def merge_partitions(spark: SparkSession, path: str, source: DataFrame, partitio
     if old:
         known = read_table(spark, path).select(*keys, name.alias("_p"))
         hit |= {r[0] for r in known.join(source.select(*keys).distinct(), keys, "left_semi").select("_p").distinct().collect()}
-    touched = [os.path.join(path, f) for v, f in old if v in hit]
-    schema = read_table(spark, path).schema if old else None
-    target = spark.read.schema(schema).parquet(*touched) if touched else (spark.createDataFrame([], schema) if old else None)
+        hit |= {None}  # a folder without a value is a whole table
+    touched = [f for v, f in old if v in hit]
+    target = read_folders(spark, path, touched, table_schema(spark, path)) if old else None
     merged = merge(target, source)
     version = f"v-{uuid.uuid4().hex}"
     # AQE deals partitions out to tasks by size: few files a partition, and a large one spreads
     named = merged.withColumn("_p", F.concat(F.lit("p"), F.md5(name))).hint("rebalance", "_p")
+    if sort:
+        named = named.sortWithinPartitions("_p", *sort)
+    obs = None
+    if change_col:
+        named, obs = count_changes(named, change_col)
     named.write.partitionBy("_p").parquet(os.path.join(path, version))
-    written = [] if not path_exists(spark, os.path.join(path, version)) else spark.read.schema(named.schema).parquet(os.path.join(path, version)).select(name.alias("v"), "_p").distinct().collect()
-    lines = [(v, f) for v, f in old if v not in hit] + [(r["v"], f"{version}/_p={r['_p']}") for r in written]
+    # a merged row lies in a partition of the source or of the target, so folder names tell the values
+    texts = {f"_p=p{hashlib.md5(v.encode()).hexdigest()}": v for v in {v for v, _ in old} | hit if v is not None}
+    fs, root = _fs(spark, os.path.join(path, version))
+    folders = [st.getPath().getName() for st in fs.listStatus(root)] if fs.exists(root) else []
+    lines = [(v, f) for v, f in old if v not in hit] + [(texts[f], f"{version}/{f}") for f in sorted(folders) if f.startswith("_p=")]
     if lines:
         _commit(spark, path, base, [json.dumps(x) for x in lines])
     else:
-        full_refresh(merged, path, expected_seq=base)  # an empty table keeps its schema
+        full_refresh(merged.drop(change_col) if change_col else merged, path, expected_seq=base)  # an empty table keeps its schema
+    return {k: int(v) for k, v in obs.get.items()} if obs else {}

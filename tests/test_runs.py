@@ -3,12 +3,15 @@ incremental = merge of the rows after the high-water mark."""
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import tempfile
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as E
+from strata.plans import changes as CH
 from strata.plans import runs as R
 from strata.plans.cdl import DEFAULT_RUN_TS, build_fact_sales
 from strata.plans.mapping import FieldMapping, TableMapping, apply_mapping
@@ -59,6 +62,8 @@ def test_refresh_cdl_second_run_changes_nothing(spark):
     after = _rows(store.read_table(spark, store.table_path(root, "cdl", "cdl_fact_sales")))
     assert [r[4] for r in log1] == ["success"] * 11 and [r[4] for r in log2] == ["success"] * 11
     assert before == after                      # same source, same run stamp: a repeat run is a no-op
+    assert set(R.cdl_seqs(spark, root).values()) == {1}                        # and commits no version
+    assert all(r[9:] == (0, 0, r[5]) for r in log2) and all(r[9:] == (r[5], 0, 0) for r in log1)
 
 
 def test_late_unstamped_and_same_day_rows_are_merged(spark):
@@ -214,9 +219,9 @@ def test_profit_and_demand_keep_currencies_apart(spark):
 
 def test_marts_from_written_cdl_match_lazy_plans(spark):
     log = E.queries()["r2_refresh_bl"](spark, SF).collect()
-    counts = {r.table_name: r.rows_affected for r in log}
-    assert len(log) == 7 and counts["fact_sales_summary"] == E.queries()["b1_fact_sales_summary"](spark, SF).count()
-    assert counts["fact_demand_vs_sales"] == E.queries()["b3_fact_demand_vs_sales"](spark, SF).count()
+    counts = {(r.run_id, r.table_name): r.rows_affected for r in log}
+    assert len(log) == 10 and counts["bl2", "fact_sales_summary"] == E.queries()["b1_fact_sales_summary"](spark, SF).count()
+    assert counts["bl3", "fact_demand_vs_sales"] == E.queries()["b3_fact_demand_vs_sales"](spark, SF).count()
     assert {r.status for r in log if r.table_name == "broken_mart"} == {"failed"}
 
 
@@ -262,7 +267,109 @@ def test_strict_build_raises_on_repeated_merge_keys(spark):
 def test_daily_refresh_end_to_end(spark):
     log = E.queries()["r7_daily_refresh"](spark, SF).collect()
     steps = [(r.step, r.status) for r in log]
-    assert steps.count(("cdl", "success")) == 11 and steps.count(("bl", "success")) == 3
-    assert steps.count(("dq", "success")) == 3
-    rows = {r.table_name: r.rows_affected for r in log if r.step == "bl"}
+    assert steps.count(("cdl", "success")) == 22 and steps.count(("bl", "success")) == 6
+    assert steps.count(("dq", "success")) == 6
+    rows = {r.table_name: r.rows_affected for r in log if r.step == "bl" and r.run_id == "day2"}
     assert rows["fact_sales_summary"] == E.queries()["b1_fact_sales_summary"](spark, SF).count()
+
+
+LINE = dict(zip(S.RAW_ORDER_LINE.names, [None] * len(S.RAW_ORDER_LINE.names)))
+
+
+def _lines(spark, *rows):
+    """RAW order lines (order, line, day of the order, quantity, load day, customer)."""
+    full = [LINE | {"ORDER_ID": o, "ORDER_LINE_NO": n, "TRANSACTION_DATE": dt.date.fromisoformat(d), "ORDER_QTY": q,
+                    "LOAD_DATE": dt.datetime.fromisoformat(t) if t else None, "CUSTOMER_CODE": c} for o, n, d, q, t, c in rows]
+    return spark.createDataFrame([tuple(r.values()) for r in full], T.StructType([T.StructField(f.name, f.dataType) for f in S.RAW_ORDER_LINE.fields]))
+
+
+DAY = [("A", 1, "2024-01-05", 1, "2024-01-06", "c1"), ("B", 1, "2024-02-05", 2, "2024-02-06", "c1"), ("C", 1, "2024-03-05", 3, None, "c1"),
+       ("T", 1, "2024-03-06", 5, "2024-03-07", "c2"), ("T", 1, "2024-03-06", 4, "2024-03-07", "c1"), ("N", None, "2024-03-09", 1, "2024-03-09", "c1")]
+
+
+def _run(spark, root, *rows):
+    """One refresh of the sales fact; its changes and the folders its commit replaced or added, by month."""
+    path = store.table_path(root, "cdl", "cdl_fact_sales")
+    before = store.partition_folders(spark, path)
+    total, counts = R._merge_months(spark, {"raw_order_line": _lines(spark, *rows)}, root, "cdl_fact_sales", DEFAULT_RUN_TS)
+    after = store.partition_folders(spark, path)
+    assert total == store.read_table(spark, path).count()
+    return counts["inserted"], counts["updated"], sorted(v[:7] for f, v in after.items() if f not in before)
+
+
+def _held(spark, root):
+    table = store.read_table(spark, store.table_path(root, "cdl", "cdl_fact_sales"))
+    return sorted((r.ORDER_ID, r.ORDER_QTY, r.CUSTOMER_CODE) for r in table.collect())
+
+
+def test_refresh_converges_and_touches_the_changed_month(spark):
+    root = tempfile.mkdtemp(prefix="strata-wh-")
+    assert _run(spark, root, *DAY) == (5, 0, ["2024-01", "2024-02", "2024-03"])
+    assert _run(spark, root, *reversed(DAY)) == (0, 0, [])                     # equal RAW in another order: no version
+    # a newer row whose customer, which a MERGE never updates, is another one: taken in once
+    two = [*DAY, ("B", 1, "2024-02-05", 7, "2024-02-20", "c9")]
+    assert _run(spark, root, *two) == (0, 1, ["2024-02"]) and _run(spark, root, *two) == (0, 0, [])
+    assert ("B", 7, "c1") in _held(spark, root)
+    # rows tied on key and stamp are settled once, also when a third tied row lands in another month
+    assert ("T", 4, "c1") in _held(spark, root)
+    three = [*two, ("T", 1, "2024-01-20", 9, "2024-03-07", "c3")]
+    assert _run(spark, root, *three)[0] == 0 and _run(spark, root, *three) == (0, 0, [])
+    # late: an older row of a known key changes nothing, a new key without a stamp is inserted
+    four = [*three, ("A", 1, "2024-01-05", 99, "2023-01-01", "c1"), ("Z", 1, "2024-01-09", 8, None, "c1")]
+    assert _run(spark, root, *four) == (1, 0, ["2024-01"]) and ("A", 1, "c1") in _held(spark, root)
+    # a value corrected in place under the same stamp
+    fixed = [("C", 1, "2024-03-05", 33, None, "c1") if r[0] == "C" else r for r in four]
+    assert _run(spark, root, *fixed) == (0, 1, ["2024-03"]) and ("C", 33, "c1") in _held(spark, root)
+    assert _run(spark, root, *fixed) == (0, 0, [])
+    # a run that died before it noted its digests finds its rows held
+    state = R._state_path(root, "raw_digests", "cdl_fact_sales")
+    store.full_refresh(store.read_table(spark, state).filter("month is null"), state)
+    assert _run(spark, root, *fixed) == (0, 0, [])
+
+
+def test_month_digests_see_multisets(spark):
+    one = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string").withColumn("d", F.lit("2024-05-07").cast("date"))
+    digest = lambda df: CH.table_digest(df, "d")
+    assert digest(one) == digest(one.orderBy(F.col("a").desc()).repartition(3))
+    assert digest(one) != digest(one.dropDuplicates()) and digest(one) != digest(one.withColumn("b", F.lit("x")))
+    swapped = spark.createDataFrame([(None, 1)], "a int, b int"), spark.createDataFrame([(1, None)], "a int, b int")
+    assert CH.table_digest(swapped[0]) != CH.table_digest(swapped[1]) and digest(one.limit(0)) == {}
+
+
+def test_marts_follow_their_tables(spark):
+    """A second landing, a renamed product, a new price and a later as-of date: the touched groups are recomputed, and
+    every mart equals one built anew; a run without changes commits nothing."""
+    from strata.queries import io
+    ctx, root = Ctx(spark, SF), tempfile.mkdtemp(prefix="strata-wh-")
+    first, second = io.landings(ctx)
+    later = F.lit("2030-01-01").cast("timestamp")
+    product = second["raw_product"]
+    renamed = F.col("TOY_NO") == product.agg(F.min("TOY_NO")).first()[0]
+    price = second["raw_price"].withColumn("PRICE", F.when(renamed, F.col("PRICE") + 1).otherwise(F.col("PRICE")).cast(S.NUMERIC))
+    second = second | {"raw_product": product.withColumn("PRODUCT_NAME", F.when(renamed, "renamed").otherwise(F.col("PRODUCT_NAME")))
+                       .withColumn("LOAD_DATE", F.when(renamed, later).otherwise(F.col("LOAD_DATE"))), "raw_price": price}
+    logs = []
+    for run, raw, as_of in (("a", first, "1996-06-30"), ("b", second, "1998-08-02"), ("c", second, "1998-08-02")):
+        R.refresh_cdl(spark, raw, root, DEFAULT_RUN_TS, run)
+        marts = io.standard_marts(R.written_cdl(spark, root), as_of)
+        logs.append(R.refresh_bl(spark, marts, root, DEFAULT_RUN_TS, run))
+        assert [r[4] for r in logs[-1]] == ["success"] * 3, logs[-1]
+        if run == "b":
+            seqs = {m: store.current_seq(spark, store.table_path(root, "bl", m)) for m in marts}
+    assert seqs == {m: store.current_seq(spark, store.table_path(root, "bl", m)) for m in marts}
+    assert all(r[9] + r[10] == 0 and r[11] == r[5] for r in logs[2]) and all(r[10] for r in logs[1]) and logs[1][0][11]
+    for name, mart in marts.items():
+        whole, held = mart.build(), store.read_table(spark, store.table_path(root, "bl", name))
+        assert _rows(held.select(*whole.columns)) == _rows(whole), name
+    assert store.read_table(spark, store.table_path(root, "bl", "fact_sales_summary")).filter("PRODUCT_NAME = 'renamed'").count() > 0
+
+
+def test_a_mart_keeps_the_stamps_of_equal_rows(spark):
+    from strata.functions.scalars import add_admin
+    from strata.operators.merge import merge_mart
+    later = DEFAULT_RUN_TS + dt.timedelta(days=1)
+    mart = lambda rows, ts: add_admin(spark.createDataFrame(rows, "k int, v int"), ["k"], [], ts, "CDL")
+    old = mart([(1, 1), (2, 2), (4, 4)], DEFAULT_RUN_TS)
+    got = merge_mart(old, mart([(1, 1), (2, 9), (3, 3)], later), later, change_col="c", skip_equal=True).collect()
+    assert {r.k: (r.v, r.c, r.ADMIN_LAST_MODIFIED_DATE == later, r.ADMIN_DML_OPERATION_FLAG) for r in got} == {
+        1: (1, "unchanged", False, "INSERT"), 2: (9, "updated", True, "UPDATE"), 3: (3, "inserted", True, "INSERT"), 4: (4, "unchanged", False, "INSERT")}
