@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import add_admin, conform, fill_defaults, safe_divide
 from ..operators.aggs import count_distinct
+from ..operators.bitmaps import members, sets
 from ..operators.filters import require_grain
 from ..operators.joins import drill_across, enrich, grain_left_join, month_join
 from ..operators.merge import merge_mart
@@ -176,13 +177,26 @@ class Incremental:
 MARGIN_BANDS = ((40.0, "HIGH"), (20.0, "MEDIUM"))
 
 
-def company_category_report(summary: DataFrame, profitability: DataFrame) -> DataFrame:
+ORDER_SET_GRAIN = ["TX_MONTH", "COMPANY_CODE", "CATEGORY"]
+
+
+def order_sets(sales: DataFrame, product: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The orders of each month, company and category as mergeable sets (``operators.bitmaps``): an order with
+    several lines, products or days counts once in whatever the sets are rolled up to. ``numbers`` is the dictionary
+    ORDER_ID → ORDER_NO. Lines shrink to one row per order, company and category before they meet the dictionary."""
+    lines = sales.select("ORDER_ID", "COMPANY_CODE", "KEY_PRODUCT", F.trunc("TRANSACTION_DATE", "MM").alias("TX_MONTH")).distinct()
+    named = fill_defaults(enrich(lines, product, "KEY_PRODUCT", ["CATEGORY"])).select(*ORDER_SET_GRAIN, "ORDER_ID").distinct()
+    return sets(named.join(numbers, "ORDER_ID"), ORDER_SET_GRAIN, "ORDER_NO")
+
+
+def company_category_report(summary: DataFrame, profitability: DataFrame, orders: DataFrame) -> DataFrame:
     """BR report: per company and category, sales from the summary mart joined to margin from the
-    profitability mart (each aggregated to the report grain first), with a CASE band."""
+    profitability mart (each aggregated to the report grain first) and to the number of distinct orders
+    (``order_sets`` rolled up: counts per product or day do not add up), with a CASE band."""
     grain = ["COMPANY_CODE", "CATEGORY"]
     s = summary.groupBy(*grain).agg(F.sum("TOTAL_ORDER_QTY").alias("ORDER_QTY"),
-                                    F.sum(F.col("TOTAL_ORDER_VALUE").cast("decimal(18,2)")).alias("ORDER_VALUE"),
-                                    F.sum("ORDER_COUNT").alias("ORDERS"))
+                                    F.sum(F.col("TOTAL_ORDER_VALUE").cast("decimal(18,2)")).alias("ORDER_VALUE"))
+    s = s.join(members([orders], grain, "ORDERS"), grain, "left")
     p = profitability.groupBy(*grain).agg(
         F.sum(F.col("NET_SALES_VALUE").cast("decimal(18,2)")).alias("NET_SALES_VALUE"),
         F.sum(F.col("GROSS_MARGIN").cast("decimal(20,2)")).alias("GROSS_MARGIN"))
