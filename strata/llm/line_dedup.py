@@ -40,8 +40,9 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
     keys = F.transform(lines_of(F.col("text")), line_key)
     hashed = F.transform(keys, lambda k, i: F.struct(
         F.xxhash64(F.lit(1), k).alias("h1"), F.xxhash64(F.lit(2), k).alias("h2"), i.alias("p"), (k == "").alias("e")))
-    return (docs.select(document_key(docs).alias("d"), F.explode(F.filter(hashed, lambda x: ~x["e"])).alias("l"))
-            .select(F.struct("l.h1", "l.h2").alias("h"), "d", F.col("l.p").alias("p")))
+    # the document's key is made before its lines are rows, or the whole text would be hashed for every line
+    return (docs.select(document_key(docs).alias("d"), F.filter(hashed, lambda x: ~x["e"]).alias("ls"))
+            .select("d", F.explode("ls").alias("l")).select(F.struct("l.h1", "l.h2").alias("h"), "d", F.col("l.p").alias("p")))
 
 
 def frequent_keys(occurrences: DataFrame, min_docs: int) -> DataFrame:
@@ -67,10 +68,18 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     return words.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).cast(DROPS).alias("drops"))
 
 
-def _is_dropped(drops: Column, i: Column) -> Column:
-    word = F.get(F.filter(drops, lambda w: w["word"] == F.floor(i / 64)), F.lit(0))["bits"]
+def dense(drops: Column) -> Column:
+    """The words of a compressed bitmap from the first to the last that is not zero, in place: linear to make, and
+    then one step to any word."""
+    def words(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(drops, i - 1)["word"]).otherwise(-1)
+        return F.concat(F.array_repeat(F.lit(0).cast("long"), x["word"] - before - 1), F.array(x["bits"]))
+    return F.flatten(F.transform(drops, words))
+
+
+def _is_dropped(words: Column, i: Column) -> Column:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))
-    return F.coalesce(word.bitwiseAND(bit) != 0, F.lit(False))
+    return F.coalesce(F.get(words, F.floor(i / 64).cast("int")).bitwiseAND(bit) != 0, F.lit(False))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
@@ -84,7 +93,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     d, drops, n, kept = (fresh(docs, x) for x in ("d", "drops", "n", "kept"))
     maps = drop_bitmaps(docs.select("doc_id", "text"), min_docs)
     keyed = docs.withColumn(d, document_key(docs))
-    joined = keyed.join(maps.select(F.col("d").alias(d), F.col("drops").alias(drops)), d, "left").drop(d)
+    # made dense before the join: inside the filter below it would be made again for every line
+    joined = keyed.join(maps.select(F.col("d").alias(d), dense(F.col("drops")).alias(drops)), d, "left").drop(d)
     lines = lines_of(F.col("text"))
     left = F.when(F.col(drops).isNull(), lines).otherwise(
         F.filter(lines, lambda _, i: ~_is_dropped(F.col(drops), i)))
