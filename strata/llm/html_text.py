@@ -41,6 +41,10 @@ DECLARED = frozenset(
     "breadcrumbs cookie cookies consent gdpr notice banner popup modal newsletter subscribe share sharing social related recommended "
     "comment comments disqus footer header masthead widget toolbar pagination pager login signup contentinfo complementary search".split())
 ARTICLE_PARTS = frozenset("article post entry content".split())
+#: First parts of names that tell the state or layout of an element that holds more than what they name.
+STATES = frozenset("has with no not is without js show hide".split())
+#: Elements that hold the page or its article: their names tell themes and states, not what they are.
+ROOTS = frozenset("html body main article".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>?", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SENTENCE_END = tuple(".!?…。！？;:\"”»)")
@@ -71,13 +75,22 @@ def _is_declared(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & DECLARED and not words & ARTICLE_PARTS:
-                return True
+        if name in ("class", "id", "role") and tag not in ROOTS and any(map(_names_other, value.split())):
+            return True
     return False
 
 
+def _names_other(name: str) -> bool:
+    """Whether one class, id or role names something beside the article: by its last part (``post-comments``, but
+    ``entry-header`` holds the title), or by its first part (``ad-slot``) unless it ends as an article does."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    if not parts or parts[0] in STATES:
+        return False
+    if parts[-1] in DECLARED:
+        return not (parts[-1] == "header" and parts[0] in ARTICLE_PARTS)
+    return parts[0] in DECLARED and parts[-1] not in ARTICLE_PARTS
+
+
 def lines_of(page: str | None) -> list[Line]:
     """The non-empty lines of a page in order: one per block, character references decoded, white space made single spaces."""
     out: list[Line] = []
