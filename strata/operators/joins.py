@@ -11,8 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import dedup_latest
-
 
 def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -53,22 +51,28 @@ def grain_left_join(owner: DataFrame, others: list[DataFrame], grain: list[str])
 def interval_join(df: DataFrame, hist: DataFrame, key, date_col: str, row_keys: list[str],
                   value_cols: list[str], eff: str = "EFFECTIVE_DATE", exp: str = "EXPIRY_DATE",
                   how: str = "left") -> DataFrame:
-    """Attach the ``hist`` row valid on ``df.date_col`` (eff ≤ date ≤ exp); latest effective wins.
-
-    An equi join on ``key`` plus a range condition: a hash/sort-merge join on the key with a
-    post-filter, never a nested loop. ``row_keys`` identify a ``df`` row for the latest-wins step.
+    """Attach the ``hist`` row valid on ``df.date_col`` (eff ≤ date ≤ exp); latest effective wins, equal
+    effective dates are decided by the later expiry and then by the smallest attached values.
+
+    The history becomes one row per key: its intervals as an array in order of validity. Each row of
+    ``df`` looks its date up in the array of its key, so ``df`` is shuffled by the key once, or not at all
+    where the history is small enough to broadcast, and no row is multiplied. The last interval of the
+    array that began by the date and has not ended is the one. ``row_keys`` (what identifies a row of ``df``) is not needed
+    for it and kept for callers.
     """
     k = _keys(key)
-    h = hist.select(*[F.col(c).alias(f"_h_{c}") for c in k], F.col(eff).alias("_h_eff"),
-                    F.col(exp).alias("_h_exp"), *[F.col(c) for c in value_cols])
-    cond = [df[c] == h[f"_h_{c}"] for c in k]
-    cond.append(df[date_col].between(h["_h_eff"], h["_h_exp"]))
-    j = df.join(h, reduce(lambda a, b: a & b, cond), how)
-    # latest effective date wins; equal effective dates are decided by the attached values (total order)
-    order = [F.col("_h_eff").desc_nulls_last(), F.col("_h_exp").desc_nulls_last()] + \
-        [F.col(c).asc_nulls_first() for c in value_cols]
-    j = dedup_latest(j, row_keys, order, tie_break=False)
-    return j.drop(*[f"_h_{c}" for c in k], "_h_eff", "_h_exp")
+    # of intervals with the same ends the smallest values count; then (eff, exp) orders a key's intervals
+    once = (hist.filter(F.col(eff).isNotNull() & F.col(exp).isNotNull()).groupBy(*k, F.col(eff).alias("_eff"), F.col(exp).alias("_exp"))
+            .agg(F.min(F.struct(*value_cols)).alias("_values")))
+    arrays = once.groupBy(*[F.col(c).alias(f"_h_{c}") for c in k]).agg(
+        F.array_sort(F.collect_list(F.struct("_eff", "_exp", "_values"))).alias("_intervals"))
+    j = df.join(arrays, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_h_{c}") for c in k]), "left")
+    day = F.col(date_col)
+    valid = F.filter("_intervals", lambda x: (x["_eff"] <= day) & (x["_exp"] >= day))
+    j = j.withColumn("_valid", F.try_element_at(valid, F.lit(-1)))
+    if how == "inner":
+        j = j.filter(F.col("_valid").isNotNull())
+    return j.select(*[F.col(c) for c in df.columns], *[F.col(f"_valid._values.{c}").alias(c) for c in value_cols])
 
 
 def month_join(left: DataFrame, right: DataFrame, keys, left_date: str, right_date: str,

@@ -180,6 +180,34 @@ def dq8(ctx):
     return Q.source_coverage(ctx.cdl["cdl_fact_product_price"], b1(ctx), ["KEY_PRODUCT"])
 
 
+# the conformed fact of a landing that lost its newest day: the RAW keys that it lacks
+_LOST = "LOAD_DATE < (SELECT max(LOAD_DATE) FROM raw_order_line) - INTERVAL 3 DAY"
+_LACKING = f"""
+SELECT DISTINCT ORDER_ID, ORDER_LINE_NO FROM raw_order_line
+EXCEPT SELECT ORDER_ID, ORDER_LINE_NO FROM raw_order_line WHERE {_LOST}"""
+
+
+def _lacking(ctx):
+    raw = ctx.raw["raw_order_line"]
+    newest = raw.agg(F.max("LOAD_DATE")).scalar()
+    landed = raw.filter(F.col("LOAD_DATE") < newest - F.expr("INTERVAL 3 DAYS"))
+    return Q.missing_keys(raw, landed, ["ORDER_ID", "ORDER_LINE_NO"])
+
+
+@register("j8b_reconcile_keys", O.sql(_LACKING, "raw_order_line"))
+def j8b(ctx):
+    """J8 by reconciliation: order lines that a landing without its last days lacks, found by comparing digests
+    of key buckets and then the keys of the unequal buckets."""
+    return _lacking(ctx)
+
+
+@register("dq8b_reconcile_coverage", O.sql(f"""
+SELECT count(*) missing_keys, count(DISTINCT ORDER_ID) missing_orders FROM ({_LACKING}) x""", "raw_order_line"))
+def dq8b(ctx):
+    """DQ8 by reconciliation: how many order lines and orders the landing lacks."""
+    return _lacking(ctx).agg(F.count(F.lit(1)).alias("missing_keys"), F.count_distinct("ORDER_ID").alias("missing_orders"))
+
+
 # ---------------------------------------------------------------- table utilities
 @register("s8_preview", O.sql(f"""
 SELECT {O.render(S.RAW_ORDER_LINE)} FROM raw_order_line

@@ -195,3 +195,17 @@ def test_interval_join_equal_effective_dates_is_deterministic(spark):
     for data in (rows, rows[::-1]):
         h = spark.createDataFrame(data, "k int, EFFECTIVE_DATE date, EXPIRY_DATE date, price int").repartition(2)
         assert J.interval_join(s, h, "k", "d", ["id"], ["price"]).collect()[0].price == 7
+
+
+def test_missing_keys_by_bucket_digests(spark):
+    from strata.operators import dq as Q
+    want = [(i, None if i % 50 == 0 else f"k{i % 7}") for i in range(2000)]
+    lost = {3, 50, 1999}
+    expected = spark.createDataFrame(want + want[:30], "a int, b string")
+    actual = spark.createDataFrame([r for r in want if r[0] not in lost] + [(9999, "more")] + want[100:140], "a int, b string")
+    got = Q.missing_keys(expected, actual, ["a", "b"], buckets=64)
+    assert {tuple(r) for r in got.collect()} == {r for r in want if r[0] in lost} and got.count() == 3
+    assert Q.missing_keys(expected, expected, ["a", "b"]).count() == 0
+    assert Q.missing_keys(expected, actual.limit(0), ["a", "b"]).count() == 2000
+    once = [spark.createDataFrame(rows, "a int, b string") for rows in (want, want[5:])]
+    assert {r.a for r in Q.missing_keys(*once, ["a", "b"], unique=True).collect()} == set(range(5))
