@@ -71,10 +71,22 @@ LESSON_GROUP = ["error_category", "error_message", "fix_description", "context"]
 def top_lessons(lessons: DataFrame, n: int = 10, example_chars: int = 200) -> DataFrame:
     """A8 + W3: count identical lessons, keep the ``n`` most frequent, then the first per category.
 
-    Grouping hashes the long message text once per row; the partial aggregate keeps one row per
-    distinct lesson and map task. The top-``n`` is a ``TakeOrderedAndProject`` (bounded by ``n``).
+    Two phases: 128-bit digests of the lessons are counted, and texts are fetched for those alone that can be
+    among the first ``n``, so no long text is shuffled to be counted. The digests of more than ``n`` lessons that
+    tie at the ``n``-th count cannot tell which come first; then all texts of that count or more are compared.
     """
-    g = lessons.groupBy(*LESSON_GROUP).agg(F.count(F.lit(1)).alias("occurrences"))
+    nullable = [x for c in LESSON_GROUP for x in (F.col(c), F.col(c).isNull())]
+    keyed = lessons.select(*LESSON_GROUP, F.xxhash64(F.lit(1), *nullable).alias("_a"), F.xxhash64(F.lit(2), *nullable).alias("_b"))
+    counts = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("occurrences"))
+    head = counts.orderBy(F.col("occurrences").desc()).limit(n + 1).collect()  # n + 1 digests
+    tied = len(head) > n and head[n - 1]["occurrences"] == head[n]["occurrences"]
+    once = F.first(F.struct(*LESSON_GROUP)).alias("_x")
+    if tied:
+        g = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("occurrences"), once).filter(F.col("occurrences") >= head[n]["occurrences"])
+    else:
+        first = lessons.sparkSession.createDataFrame([tuple(r) for r in head[:n]], "_a bigint, _b bigint, occurrences bigint")
+        g = keyed.join(F.broadcast(first), ["_a", "_b"]).groupBy("_a", "_b").agg(F.max("occurrences").alias("occurrences"), once)
+    g = g.select("_x.*", "occurrences")
     top = g.orderBy(F.col("occurrences").desc(), F.col("error_category").asc_nulls_first(),
                     *[F.col(c).asc_nulls_first() for c in LESSON_GROUP[1:]]).limit(n)
     cat = F.coalesce(F.col("error_category"), F.lit("other"))

@@ -142,7 +142,7 @@ def dq4(ctx):
     return Q.null_check(j3(ctx))
 
 
-@register("dq6_run_suite", O.sql("""
+_DQ6 = """
 SELECT check_name, expected, 'error' severity, violations, detail,
        case when expected IN ('0_rows', 'all_zero') and violations = 0 then 'pass'
             when expected = 'gt_zero' and violations > 0 then 'pass'
@@ -153,12 +153,42 @@ SELECT check_name, expected, 'error' severity, violations, detail,
   UNION ALL SELECT 'duplicate_check', '0_rows', count(*), cast(count(*) as varchar) || ' duplicated keys, '
                    || cast(coalesce(sum(cnt), 0) as varchar) || ' rows'
             FROM (SELECT KEY_CALENDAR, KEY_PRODUCT, KEY_COMPANY, KEY_CUSTOMER, KEY_SELLING_METHOD, count(*) cnt
-                  FROM b1_mart GROUP BY ALL HAVING count(*) > 1) d) r""", "b1_mart"))
+                  FROM b1_mart GROUP BY ALL HAVING count(*) > 1) d) r"""
+_DQ6_KEYS = ["KEY_CALENDAR", "KEY_PRODUCT", "KEY_COMPANY", "KEY_CUSTOMER", "KEY_SELLING_METHOD"]
+
+
+@register("dq6_run_suite", O.sql(_DQ6, "b1_mart"))
 def dq6(ctx):
     """DQ5 + DQ6: the four-check suite on the sales summary mart, verdicts evaluated."""
     from .marts import b1
-    keys = ["KEY_CALENDAR", "KEY_PRODUCT", "KEY_COMPANY", "KEY_CUSTOMER", "KEY_SELLING_METHOD"]
-    return Q.run_suite(b1(ctx), keys, S.FACT_SALES_SUMMARY)
+    return Q.run_suite(b1(ctx), _DQ6_KEYS, S.FACT_SALES_SUMMARY)
+
+
+@register("dq6b_stored_suite", O.sql(_DQ6, "b1_mart"))
+def dq6b(ctx):
+    """DQ6 on a growing mart: the months before 1997 land and are profiled, then all from July 1996 on is merged; the
+    second suite reads the months written since and adds them to the kept profiles."""
+    import os
+    import uuid
+
+    from ..operators.merge import merge_upsert
+    from ..plans.profiles import refresh_profile, stored_suite
+    from ..session import frozen, scratch_root
+    from ..sources import store
+    from .marts import b1
+    root = os.path.join(scratch_root(ctx.spark), f"profiled-{uuid.uuid4().hex}")
+    path, state = os.path.join(root, "mart"), os.path.join(root, "profile")
+    mart = frozen(b1(ctx).withColumn("LOAD_MONTH", F.trunc("TRANSACTION_DATE", "MM")), "mart")
+    data = [c for c in mart.columns if c not in _DQ6_KEYS]
+
+    def land(rows):
+        store.merge_partitions(ctx.spark, path, rows, "LOAD_MONTH", _DQ6_KEYS,
+                               lambda held, new: merge_upsert(held, new, _DQ6_KEYS, data, stamp_col=None, null_safe=True, unique_source=True))
+
+    land(mart.filter(F.col("TRANSACTION_DATE") < F.lit("1997-01-01").cast("date")))
+    refresh_profile(ctx.spark, path, state, _DQ6_KEYS)
+    land(mart.filter(F.col("TRANSACTION_DATE") >= F.lit("1996-07-01").cast("date")))
+    return stored_suite(ctx.spark, path, state, _DQ6_KEYS, S.FACT_SALES_SUMMARY)
 
 
 @register("dq7_flag_errors", O.sql(f"""

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .. import oracle_sql as O
 from ..functions import keys as K
 from ..functions import scalars as P
-from ..plans.mapping import FieldMapping, TableMapping, apply_mapping
+from ..plans.mapping import FieldMapping, TableMapping, apply_mapping, load_mapping, read_mapped
 from ..registry import register
 from ..sources import schemas as S
 from ..sources.testdata import pipeline_artifacts, pipeline_lessons
@@ -229,6 +229,41 @@ def p16(ctx):
     return apply_mapping(ctx.raw["raw_customer"], CUSTOMER_MAPPING)
 
 
+ORDER_MAPPING = TableMapping(
+    target_table="bl_order_line",
+    fields=[FieldMapping("ORDER_ID", "STRING", "ORDER_ID", is_key=True),
+            FieldMapping("LINE_NO", "INT64", "ORDER_LINE_NO", is_key=True),
+            FieldMapping("ORDER_MONTH", "DATE", transform="trunc(TRANSACTION_DATE, 'MM')"),
+            FieldMapping("STATUS", "STRING", "upper(ORDER_STATUS)", value="OPEN"),
+            FieldMapping("QTY", "INT64", "ORDER_QTY"),
+            FieldMapping("AMOUNT", "NUMERIC", "ORDER_VALUE"),
+            FieldMapping("LOADED_AT", "TIMESTAMP", "LOAD_DATE")],
+    filters=["ORDER_QTY > 0"], incremental_field="LOADED_AT", partition_fields=["ORDER_MONTH"])
+
+
+@register("p16b_load_mapping", O.sql(f"""
+SELECT ORDER_ID, LINE_NO, cast(ORDER_MONTH as varchar) ORDER_MONTH, STATUS, QTY,
+       cast(AMOUNT as varchar) AMOUNT, {O.ts_text('LOADED_AT')} LOADED_AT
+FROM (SELECT *, row_number() OVER (PARTITION BY ORDER_ID, LINE_NO ORDER BY LOADED_AT DESC NULLS LAST, ORDER_MONTH NULLS FIRST,
+                                   STATUS NULLS FIRST, QTY NULLS FIRST, AMOUNT NULLS FIRST) rn
+      FROM (SELECT ORDER_ID, cast(ORDER_LINE_NO as bigint) LINE_NO, cast(date_trunc('month', TRANSACTION_DATE) as date) ORDER_MONTH,
+                   coalesce(upper(ORDER_STATUS), 'OPEN') STATUS, cast(ORDER_QTY as bigint) QTY,
+                   cast(ORDER_VALUE as decimal(38,9)) AMOUNT, LOAD_DATE LOADED_AT
+            FROM raw_order_line WHERE ORDER_QTY > 0) m) r WHERE rn = 1""", "raw_order_line"))
+def p16b(ctx):
+    """A mapping loaded twice into a month-partitioned table: the rows stamped before 1997, then the whole feed,
+    of which only rows from the mark on are read and merged on the declared keys."""
+    import os
+    import uuid
+
+    from ..session import scratch_root
+    path = os.path.join(scratch_root(ctx.spark), f"mapped-{uuid.uuid4().hex}")
+    feed = ctx.raw["raw_order_line"]
+    load_mapping(feed.filter(F.col("LOAD_DATE") < F.lit("1997-01-01").cast("timestamp")), ORDER_MAPPING, path)
+    load_mapping(feed, ORDER_MAPPING, path)
+    return read_mapped(ctx.spark, ORDER_MAPPING, path)
+
+
 @register("p17_literal_table", O.sql("""
 SELECT m.code SELLING_METHOD_CODE, m.name SELLING_METHOD_NAME, cast(count(o.ORDER_ID) as bigint) order_lines
 FROM (VALUES ('100', 'Wholesale'), ('200', 'Direct-to-Consumer'), ('300', 'E-Commerce'), ('400', 'Marketplace')) m(code, name)

@@ -229,18 +229,24 @@ CLUSTER_MAX = 4
 def write_mart(df: DataFrame, path: str, month_col: str = "ADMIN_LOAD_DATE",
                cluster_cols: list[str] | None = None, partition_col: str = "LOAD_MONTH",
                expected_seq: int | None = None) -> str:
-    """A month-partitioned mart, sorted by at most four cluster columns, committed as a new version.
+    """A month-partitioned mart, clustered by at most four columns, committed as a new version.
 
-    AQE deals months out to tasks by size, so a task writes one or a few months and a large month
-    spreads over several files; within a file rows are in cluster order, which gives Parquet statistics
-    that let key filters skip row groups.
+    Rows are range-partitioned by month and cluster columns, so a task writes a few months or one range of the
+    keys of a large month: files of a month have disjoint key ranges, and a key filter skips files
+    by their statistics, row groups within a file too. A hash of the row ends the range key, so that one
+    key with a third of all rows fills several files instead of one task; only these share a key. Without
+    cluster columns AQE deals months out to tasks by size.
     """
     cluster_cols = list(cluster_cols or [])
     if len(cluster_cols) > CLUSTER_MAX:
         raise ValueError(f"a mart is clustered by at most {CLUSTER_MAX} columns, not {len(cluster_cols)}")
     order = [partition_col, *cluster_cols]
     out = df.withColumn(partition_col, F.date_trunc("MONTH", F.col(month_col)).cast("date"))
-    out = out.hint("rebalance", partition_col).sortWithinPartitions(*order)
+    if cluster_cols:
+        data = [F.col(f"`{c}`") for c in out.columns if not isinstance(out.schema[c].dataType, T.MapType)]
+        out = out.repartitionByRange(*order, F.xxhash64(*data)).sortWithinPartitions(*order)
+    else:
+        out = out.hint("rebalance", partition_col).sortWithinPartitions(partition_col)
     return full_refresh(out, path, [partition_col], expected_seq)
 
 
