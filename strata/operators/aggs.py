@@ -75,17 +75,21 @@ def top_lessons(lessons: DataFrame, n: int = 10, example_chars: int = 200) -> Da
     among the first ``n``, so no long text is shuffled to be counted. The digests of more than ``n`` lessons that
     tie at the ``n``-th count cannot tell which come first; then all texts of that count or more are compared.
     """
-    nullable = [x for c in LESSON_GROUP for x in (F.col(c), F.col(c).isNull())]
-    keyed = lessons.select(*LESSON_GROUP, F.xxhash64(F.lit(1), *nullable).alias("_a"), F.xxhash64(F.lit(2), *nullable).alias("_b"))
-    counts = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("occurrences"))
+    # the category has a digest of its own: it may be derived from the text, and is then computed once more for the chosen rows only
+    texts = [x for c in LESSON_GROUP[1:] for x in (F.col(c), F.col(c).isNull())]
+    category = F.xxhash64(F.col(LESSON_GROUP[0]), F.col(LESSON_GROUP[0]).isNull())
+    digest = ["_a", "_b", "_c"]
+    keyed = lessons.select(*LESSON_GROUP, F.xxhash64(F.lit(1), *texts).alias("_a"), F.xxhash64(F.lit(2), *texts).alias("_b"), category.alias("_c"))
+    counts = keyed.groupBy(*digest).agg(F.count(F.lit(1)).alias("occurrences"))
     head = counts.orderBy(F.col("occurrences").desc()).limit(n + 1).collect()  # n + 1 digests
     tied = len(head) > n and head[n - 1]["occurrences"] == head[n]["occurrences"]
     once = F.first(F.struct(*LESSON_GROUP)).alias("_x")
     if tied:
-        g = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("occurrences"), once).filter(F.col("occurrences") >= head[n]["occurrences"])
+        g = keyed.groupBy(*digest).agg(F.count(F.lit(1)).alias("occurrences"), once).filter(F.col("occurrences") >= head[n]["occurrences"])
     else:
-        first = lessons.sparkSession.createDataFrame([tuple(r) for r in head[:n]], "_a bigint, _b bigint, occurrences bigint")
-        g = keyed.join(F.broadcast(first), ["_a", "_b"]).groupBy("_a", "_b").agg(F.max("occurrences").alias("occurrences"), once)
+        first = lessons.sparkSession.createDataFrame([tuple(r) for r in head[:n]], "_a bigint, _b bigint, _c bigint, occurrences bigint")
+        chosen = keyed.filter(F.col("_a").isin([r["_a"] for r in head[:n]]))
+        g = chosen.join(F.broadcast(first), digest).groupBy(*digest).agg(F.max("occurrences").alias("occurrences"), once)
     g = g.select("_x.*", "occurrences")
     top = g.orderBy(F.col("occurrences").desc(), F.col("error_category").asc_nulls_first(),
                     *[F.col(c).asc_nulls_first() for c in LESSON_GROUP[1:]]).limit(n)
