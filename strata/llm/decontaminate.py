@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, with_python_columns
+from .common import fresh, frozen, with_python_columns
 
 WINDOW = 10
 #: UTF-8 text of benchmark items that one search holds at once; larger benchmarks take several passes.
@@ -81,14 +82,18 @@ def merged(spans) -> list[list[int]]:
     return out
 
 
-def item_batches(items: DataFrame, pass_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in batches of about ``pass_bytes`` of text, by a hash of their id and text."""
+def item_batches(items: DataFrame, pass_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in batches of about ``pass_bytes`` of text, by a hash of their id and text; the driver holds one at a
+    time. Of several, each is read from a written table of the items, where a batch lies in one file."""
     keyed = (items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
              .select(F.col("item_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("text")))
     total = keyed.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // pass_bytes))
     part = keyed.withColumn("b", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
-    return [[(r["name"], bytes(r["text"])) for r in part.filter(F.col("b") == b).collect()] for b in range(n)]
+    if n > 1:
+        part = frozen(part.repartition(n, "b"), "items")
+    for b in range(n):
+        yield [(r["name"], bytes(r["text"])) for r in part.filter(F.col("b") == b).collect()]
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -97,7 +102,8 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, pass_byt
 
     A null text has no words. Items without an id, text or word match nothing; repeated items count
     once per id. Documents are rows: repeated rows are searched each. Columns of ``docs`` that clash
-    with the three new ones are replaced; all others pass through.
+    with the three new ones are replaced; all others pass through. Each pass but the last writes its result, so
+    neither the driver, a plan nor a task ever holds more items than one pass.
     """
     out = docs.drop("n_words", "hit_spans", "items")
     spans, names = fresh(docs, "spans"), fresh(docs, "names")
@@ -105,7 +111,9 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, pass_byt
     out = (out.withColumn(raw, F.encode("text", "UTF-8")).withColumn(spans, F.array().cast("array<array<int>>"))
            .withColumn(names, F.array().cast("array<string>")).withColumn("n_words", F.lit(0).cast("long")))
     keep = [c for c in out.columns if c not in (spans, names, "n_words")]
-    for batch in item_batches(items, pass_bytes):
+    for i, batch in enumerate(item_batches(items, pass_bytes)):
+        if i:
+            out = frozen(out, "searched")
 
         def make(batch=batch):
             found = searchers(batch, window)
