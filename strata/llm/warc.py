@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frozen, scratch_path
@@ -25,23 +25,12 @@ CHUNK_BYTES = 64 << 10
 FILE_RECORDS = 1024
 #: Bytes of rows that a task hands over at once, and of an archive that it reads at once.
 BATCH_BYTES = 1 << 20
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 RECORDS = "record_id string, page_id long, url string, record_type string, refers_to long, payload binary"
 
 
-def sha1_base32(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 40 hex digits in eight groups of 20 bits, four letters each."""
-    hexed = F.sha1(payload)
-    out = []
-    for k in range(8):
-        bits = F.conv(F.substring(hexed, 5 * k + 1, 5), 16, 10).cast("int")
-        out += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
-
-
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Pages with payload, digest, record_type and refers_to.
+    """Pages with payload, digest (SHA-1 in hex; the records name it in base32), record_type and refers_to.
 
     Of pages with equal payloads of at least ``min_bytes`` the one with the largest page_id is the
     response and the others revisit it. Rows that share that largest page_id are all responses; a null
@@ -50,7 +39,7 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    base = base.withColumn("digest", sha1_base32(F.col("payload")))
+    base = base.withColumn("digest", F.sha1("payload"))
     last = base.groupBy("digest").agg(F.max("page_id").alias("last"))
     first = F.col("last").isNull() | (F.octet_length("payload") < min_bytes) | F.col("page_id").eqNullSafe(F.col("last"))
     return (base.join(last, "digest")
