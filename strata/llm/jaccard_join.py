@@ -29,37 +29,39 @@ CELLS_BITS = 22
 SKETCH_BLOCK = 1 << 12
 #: Members of one meeting, or partners of one document, that a task takes at once.
 BLOCK = 1024
-CACHE_WORDS = 300_000
+#: Classes that a task remembers to have seen before it starts anew.
+CACHE_CLASSES = 300_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
 def _stir(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _C2
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None, k: int, words: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a UTF-8 text; of all its words together if they are fewer."""
+def shingles(text: bytes | None, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles of a UTF-8 text; of all its words together if they are fewer.
+
+    Words are hashed anew each time: that is cheaper than to look them up among the many of a task.
+    """
+    import xxhash
+
     parts = text.translate(_LOWER).split() if text else []
     if not parts:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
     k = min(k, len(h))
-    out = np.full(len(h) - k + 1, np.uint64(k))
-    for i in range(k):
-        out = _stir(out * _C1 + h[i:len(h) - k + 1 + i])
-    return np.unique(out)
+    n = len(h) - k + 1
+    out, shifted = np.full(n, np.uint64(k)), np.empty(n, np.uint64)
+    for i in range(k):  # out = _stir(out * _C1 + h[i:i + n]) in place
+        out *= _C1
+        out += h[i:i + n]
+        out ^= np.right_shift(out, np.uint64(30), out=shifted)
+        out *= _C2
+        out ^= np.right_shift(out, np.uint64(31), out=shifted)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def set_class(s: np.ndarray) -> int:
@@ -182,11 +184,11 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kinds)], names)
 
-        words, counts = WordHash(), np.zeros(1 << CELLS_BITS, np.uint32)
+        counts = np.zeros(1 << CELLS_BITS, np.uint32)
         for b in batches:
             rows = []
             for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                s = shingles(text.as_py(), k, words)
+                s = shingles(text.as_py(), k)
                 np.add.at(counts, (s >> np.uint64(64 - CELLS_BITS)).astype(np.int64), np.uint32(1))
                 rows.append((0, doc, th, set_class(s) if len(s) else None, len(s), bitmap(s) if len(s) else None))
             yield batch(rows)
@@ -224,14 +226,14 @@ def _prefix_rows(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> Da
     def run(batches):
         import pyarrow as pa
 
-        words, seen = WordHash(), set()
+        seen = set()
         for b in batches:
             out: list = [[], [], [], []]
             for text in b.column(0):
-                s = shingles(text.as_py(), k, words)
+                s = shingles(text.as_py(), k)
                 if not len(s) or (c := set_class(s)) in seen:
                     continue
-                if len(seen) >= CACHE_WORDS:
+                if len(seen) >= CACHE_CLASSES:
                     seen.clear()
                 seen.add(c)
                 n = len(s)
@@ -246,8 +248,17 @@ def _prefix_rows(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> Da
     return docs.select(F.encode("text", "UTF-8")).mapInArrow(run, "token long, class long, n int, pos int")
 
 
-def _groups(batches, keys: int):
-    """Runs of rows equal in the first ``keys`` columns of sorted batches, as lists of column arrays."""
+def _starts(cols) -> np.ndarray:
+    """Which rows differ from the row before in any of the columns; the first does."""
+    out = np.ones(len(cols[0]), bool)
+    out[1:] = False
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _whole_groups(batches, keys: int):
+    """Sorted batches as lists of column arrays in which no run of rows equal in the first ``keys`` columns is cut."""
     held = None
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -255,16 +266,26 @@ def _groups(batches, keys: int):
             cols = [np.concatenate(x) for x in zip(held, cols)]
         if not len(cols[0]):
             continue
-        change = np.zeros(len(cols[0]) - 1, bool)
-        for c in cols[:keys]:
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        if last := int(np.flatnonzero(_starts(cols[:keys]))[-1]):
+            yield [c[:last] for c in cols]
+        held = [c[last:] for c in cols]
+    if held:
+        yield held
+
+
+def _groups(batches, keys: int):
+    """Runs of two rows or more equal in the first ``keys`` columns of sorted batches, as lists of column arrays."""
+    for cols in _whole_groups(batches, keys):
+        cuts = [*np.flatnonzero(_starts(cols[:keys])).tolist(), len(cols[0])]
         for lo, hi in zip(cuts, cuts[1:]):
             if hi - lo > 1:
                 yield [c[lo:hi] for c in cols]
-        held = [c[cuts[-1]:] for c in cols]
-    if held and len(held[0]) > 1:
-        yield held
+
+
+def _group_sizes(cols) -> np.ndarray:
+    """For each row of sorted columns the number of rows equal to it."""
+    cuts = np.append(np.flatnonzero(_starts(cols)), len(cols[0]))
+    return np.repeat(np.diff(cuts), np.diff(cuts))
 
 
 def _meetings(prefixes: DataFrame) -> DataFrame:
@@ -273,11 +294,12 @@ def _meetings(prefixes: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for token, cls, n, pos in _groups(batches, 1):
-            _, at = np.unique(cls, return_index=True)
-            if len(at) > 1:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (token, cls, n, pos)), pa.array(np.full(len(at), len(at)))],
-                                                 ["token", "class", "n", "pos", "size"])
+        for cols in _whole_groups(batches, 1):
+            once = _starts(cols[:2])
+            cols = [c[once] for c in cols]
+            size = _group_sizes(cols[:1])
+            shared = size > 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in (*cols, size)], ["token", "class", "n", "pos", "size"])
 
     part = prefixes.repartition("token").sortWithinPartitions("token", "class")
     return part.mapInArrow(_pack(run), "token long, class long, n int, pos int, size long")
@@ -330,15 +352,17 @@ def _leader_pairs(meetings: DataFrame, percent: int) -> DataFrame:
             .repartition("token").sortWithinPartitions("token", "class"))
 
     def run(batches):
-        for _, cls, n, pos, weight in _groups(batches, 1):
-            left = np.lexsort((cls, -weight))
-            while len(left) > 1:
-                i, j = left[0], left[1:]
+        for token, cls, n, pos, weight in _whole_groups(batches, 1):  # all its meetings at once, a leader of each in turn
+            left = np.lexsort((cls, -weight, token))
+            while len(left := left[_group_sizes([token[left]]) > 1] if len(left) else left):
+                first = _starts([token[left]])
+                leader = left[np.flatnonzero(first)][np.cumsum(first) - 1]
+                i, j = leader[~first], left[~first]
                 fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j])
-                mine = j[fits]
-                mine = mine[_possible(n, pos, i, mine, percent)]
-                if len(mine):
-                    yield _pair_batch(cls, n, np.full(len(mine), i), mine)
+                mine = fits.copy()
+                mine[fits] = _possible(n, pos, i[fits], j[fits], percent)
+                if mine.any():
+                    yield _pair_batch(cls, n, i[mine], j[mine])
                 left = j[~fits]
 
     return part.mapInArrow(_pack(run), PAIRS).distinct()
@@ -417,9 +441,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     def make_sets(batches):
         import pyarrow as pa
 
-        words = WordHash()
         for b in batches:
-            rows = [(set_class(s), ordered(s, level).tobytes()) for x in b.column(0) if len(s := shingles(x.as_py(), k, words))]
+            rows = [(set_class(s), ordered(s, level).tobytes()) for x in b.column(0) if len(s := shingles(x.as_py(), k))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                                              ["class", "set"])
 
