@@ -57,11 +57,16 @@ def global_rows(df: DataFrame, order: list[str], row: str = "row") -> tuple[Data
     return out, total
 
 
+#: Bytes of rows that a task computes new columns for at once; what it holds of them and hands over grows with it.
+PIECE_BYTES = 2 << 20
+
+
 def with_python_columns(df: DataFrame, fields: str, make) -> DataFrame:
-    """``df`` plus the columns ``fields`` (DDL), computed batch by batch inside the tasks.
+    """``df`` plus the columns ``fields`` (DDL), computed piece by piece inside the tasks.
 
     ``make()`` runs once per task and returns a function from an Arrow record batch to the list of new
-    arrays or value lists; the rows never leave their task.
+    arrays or value lists; the rows never leave their task. Spark's batches are counted in rows and may hold long
+    texts, so they are cut into pieces of about PIECE_BYTES, each handed on before the next.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -73,9 +78,11 @@ def with_python_columns(df: DataFrame, fields: str, make) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         f, kinds = make(), [to_arrow_type(x.dataType) for x in new.fields]
-        for b in batches:
-            more = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(f(b), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *new.names])
+        for whole in batches:
+            rows = max(1, whole.num_rows * PIECE_BYTES // max(1, whole.nbytes))
+            for b in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                more = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(f(b), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *new.names])
 
     return df.mapInArrow(run, schema)
 
