@@ -47,3 +47,11 @@ def test_fingerprints_and_cents_equal_the_decimal_formulas(spark):
     old = (F.col("c").cast("decimal(20,0)") / F.lit(100)).cast("decimal(18,2)").cast(D.NUMERIC)
     now = D._cents_to_decimal(F.col("c"))
     assert cents.filter(~now.eqNullSafe(old)).isEmpty() and cents.select(now.alias("x")).schema["x"].dataType == D.NUMERIC
+
+
+def test_written_tables_are_compressed_with_zstd(spark, tmp_path):
+    from strata.session import frozen
+    from strata.sources import store
+    store.full_refresh(spark.range(10).toDF("id"), str(tmp_path / "t"))
+    files = [*(tmp_path / "t").rglob("*.parquet")] + frozen(spark.range(10).toDF("id"), "ids").inputFiles()
+    assert files and all(str(f).endswith(".zstd.parquet") for f in files)
