@@ -136,11 +136,17 @@ def _whole_words(words: str, at: Column, text: str, cut_left: Column, cut_right:
     return F.transform(whole, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """term, nt: the number of distinct texts that hold it."""
+def text_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, nt: the number of distinct texts that hold it, for each of ``terms``, repeated or not.
+
+    One grouping counts the words of the texts and marks those asked for: a join with the terms would hand on a
+    row per word and text, which Spark moves below the count.
+    """
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     words = F.array_distinct(F.transform(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+")), F.lower))
-    return texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    words = texts.select(F.explode(words).alias("term"), F.lit(1).alias("n"))
+    both = words.unionByName(terms.select("term", F.lit(0).alias("n")))
+    return both.groupBy("term").agg(F.sum("n").alias("nt"), F.min("n").alias("least")).filter("least = 0").select("term", "nt")
 
 
 def shares(pairs: DataFrame, total: int) -> DataFrame:
@@ -163,8 +169,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = beside.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("net"))
     pairs = salted_join(pairs, entities, ["entity"], F.col("term"))
     # only the counts of terms beside entities are repeated for the salts
-    counts = text_counts(docs).join(beside.select("term").distinct(), "term", "left_semi")
-    pairs = salted_join(pairs, counts, ["term"], F.col("entity"), "left")
+    pairs = salted_join(pairs, text_counts(docs, beside), ["term"], F.col("entity"), "left")
     # a word that touches an entity is part of a longer one to the split: it is in the texts where it was met at least
     pairs = pairs.withColumn("nt", F.greatest("nt", "net"))
     flagged = (shares(pairs, total).filter(F.col("share") >= GENERALISE)
