@@ -5,8 +5,9 @@ to the nearest signed axis. A query probes, in each table, the buckets of its ne
 what it meets there is ranked by the exact inner product of the original vectors.
 
 Equal vectors are one class with its smallest ids (no more than can be ranked), so copies are hashed
-and compared once. A bucket is cut into blocks of bounded size; a task sees one block and the queries
-that probe it and returns the best ``k`` per query, never the pairs.
+and compared once. Classes and queries are dealt into blocks of bounded size; a task sees one block of each,
+hashes them, and returns the best ``k`` per query of those that meet in any table, never the pairs. A vector so
+moves once per block of the other side and not once per bucket, and a pair that meets in several tables is compared once.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frozen
+from ..session import own_shuffles
+from .common import frozen, shuffle_partitions
 
-TABLES, PROBES, BLOCK = 8, 16, 2048
+#: Index classes of a block, and queries of a block: bounds what a task holds.
+TABLES, PROBES, BLOCK, ASKED_BLOCK = 8, 16, 32_768, 65_536
+#: Small indexes are cut into up to this many blocks of at least SMALL_BLOCK classes, so that several tasks share them.
+SPREAD, SMALL_BLOCK = 16, 2048
 
 
 def signs(tables: int, dim: int, seed: int) -> np.ndarray:
@@ -97,7 +102,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     spark = df.sparkSession
     found, kind = valid_vectors(df, id_col, vec_col)
     rows = frozen(found.dropDuplicates(["id", "vec"]), "vectors")
-    top = rows.agg(F.max("norm").alias("most"), F.min("norm").alias("least"), F.max("dim").alias("dim")).first()
+    with own_shuffles(spark):
+        top = rows.agg(F.max("norm").alias("most"), F.min("norm").alias("least"), F.max("dim").alias("dim"), F.count(F.lit(1)).alias("n")).first()
     out_schema = "query_id long, rank int, vec_id long, score double"
     if top["dim"] is None:
         return spark.createDataFrame([], out_schema)
@@ -110,81 +116,109 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     small = rows.withColumn("n", F.row_number().over(lead)).filter(F.col("n") <= k + 1)
     classes = small.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     queries = rows.filter(is_query(F.col("id"))).select("id", "vec")
-    asked = queries.select("vec").distinct()
+    # a number stands for a query's vector in all that is found for it
+    asked = frozen(queries.select("vec").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
+
+    def probed(x: np.ndarray, probes: int, only: int) -> np.ndarray:
+        """Per table and row, which signed axes are its ``probes`` nearest."""
+        out = np.zeros((only, len(x), 2 * width), bool)
+        for t in range(only):
+            np.put_along_axis(out[t], axes(rotate(x, flips[t]), probes), True, 1)
+        return out
+
+    def held(x: np.ndarray, only: int) -> np.ndarray:
+        """Per table and row, the signed axis nearest to it."""
+        if uneven:  # the rest of the length goes into one coordinate
+            x /= most
+            x[:, dim] = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
+        return np.stack([axes(rotate(x, flips[t]), 1)[:, 0] for t in range(only)])
 
-    def placed(frame: DataFrame, probes: int, only: int) -> DataFrame:
-        """A row (slot, ...) per table (the first ``only``) and probed axis; slot is table * 2 width + axis."""
-        names = frame.columns
+    def searched(asked: DataFrame, probes: int, only: int) -> DataFrame:
+        """(q, cand, score): the ``k + 1`` best ids of each query among those that meet it in one of the first ``only`` tables."""
+        with own_shuffles(spark):
+            blocks = max(-(-top["n"] // block), min(-(-top["n"] // SMALL_BLOCK), shuffle_partitions(spark), SPREAD))
+            asks = -(-asked.count() // ASKED_BLOCK)
 
-        def run(batches):
+        def best(left, right):
+            """The ``k + 1`` best ids per query of one block."""
             import pyarrow as pa
 
-            for b in batches:
-                for lo in range(0, b.num_rows, 1024):
-                    part = b.slice(lo, 1024)
-                    x = _matrix(part.column(0), kind, width)
-                    if len(names) > 1 and uneven:  # indexed side: the rest of the length goes into one coordinate
-                        x /= most
-                        x[:, dim] = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-                    for t in range(only):
-                        ax = axes(rotate(x, flips[t]), probes) + t * 2 * width
-                        at = np.repeat(np.arange(part.num_rows), ax.shape[1])
-                        taken = part.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([pa.array(ax.ravel().astype(np.int32)), *taken.columns], ["slot", *names])
-
-        return frame.mapInArrow(run, "slot int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema))
-
-    def best(left, right):
-        """The ``k + 1`` best ids per query of one block."""
-        import pyarrow as pa
-
-        q, c = left.column("vec"), right.column("vec")
-        scores: list = []
-        if len(q) and len(c):
-            y, ids = _matrix(c, kind, dim), right.column("ids").to_pylist()
-            flat = np.array([i for x in ids for i in x])
-            row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-            for lo in range(0, len(q), 256):
-                s = exact(_matrix(q.slice(lo, 256), kind, dim), y)[:, row]
-                for j, line in enumerate(s):
-                    if len(line) > 4 * (k + 1):
-                        cut = np.partition(line, len(line) - k - 1)[len(line) - k - 1]
-                        some = np.flatnonzero(line >= cut)
-                    else:
-                        some = np.arange(len(line))
-                    some = some[np.lexsort((flat[some], -line[some]))][:k + 1]
-                    scores.append((lo + j, flat[some], line[some]))
-        at = np.concatenate([np.full(len(i), j) for j, i, _ in scores]) if scores else np.array([], int)
-        return pa.table({"vec": q.take(pa.array(at)).cast(pa.binary()),
-                         "cand": pa.array(np.concatenate([x[1] for x in scores]) if scores else [], pa.int64()),
-                         "score": pa.array(np.concatenate([x[2] for x in scores]) if scores else [], pa.float64())})
-
-    def searched(asked: DataFrame, probes: int, only: int) -> DataFrame:
-        index = placed(classes.select("vec", "ids"), 1, only)
-        sizes = {r["slot"]: r["count"] for r in index.groupBy("slot").count().collect()}  # tables x axes rows at most
-        cuts = F.create_map(*[F.lit(x) for s, n in sizes.items() if n > block for x in (s, -(-n // block))]) if any(
-            n > block for n in sizes.values()) else None
-        blocks = F.coalesce(F.try_element_at(cuts, F.col("slot")), F.lit(1)) if cuts is not None else F.lit(1)
-        index = index.withColumn("part", F.pmod(F.xxhash64("vec"), blocks).cast("int"))
-        probe = placed(asked, probes, only).withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        met = (probe.groupBy("slot", "part").cogroup(index.groupBy("slot", "part"))
-               .applyInArrow(best, "vec binary, cand long, score double"))
-        met = met.groupBy("vec", "cand").agg(F.max("score").alias("score"))  # the same product from any table
-        near = Window.partitionBy("vec").orderBy(F.desc("score"), "cand")
+            found: list = []
+            if left.num_rows and right.num_rows:
+                c, ids = right.column("vec"), right.column("ids").to_pylist()
+                y = _matrix(c, kind, dim)
+                at = np.concatenate([held(_matrix(c.slice(lo, 1024), kind, width), only) for lo in range(0, len(c), 1024)], axis=1)
+                numbers = left.column("q").to_numpy()
+                for lo in range(0, left.num_rows, 64):
+                    part = left.column("vec").slice(lo, 64)
+                    near = probed(_matrix(part, kind, width), probes, only)
+                    for j, (row, score) in enumerate(top_met(_matrix(part, kind, dim), y, near, at, k + 1)):
+                        flat = np.array([i for r in row for i in ids[r]], dtype=np.int64)
+                        score = np.repeat(score, [len(ids[r]) for r in row])
+                        some = np.lexsort((flat, -score))[:k + 1]
+                        found.append((numbers[lo + j], flat[some], score[some]))
+            return pa.table({"q": pa.array(np.concatenate([np.full(len(i), q, dtype=np.int64) for q, i, _ in found]) if found else [], pa.int64()),
+                             "cand": pa.array(np.concatenate([i for _, i, _ in found]) if found else [], pa.int64()),
+                             "score": pa.array(np.concatenate([x for _, _, x in found]) if found else [], pa.float64())})
+
+        def dealt(col: str, parts: int):
+            return F.pmod(F.xxhash64(col), F.lit(parts)).cast("int")
+
+        def all_of(parts: int):
+            return F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1)))
+
+        index = classes.withColumn("i", dealt("vec", blocks)).withColumn("j", all_of(asks))
+        probe = asked.withColumn("j", dealt("q", max(asks, 1))).withColumn("i", all_of(blocks))
+        met = (probe.groupBy("i", "j").cogroup(index.groupBy("i", "j")).applyInArrow(best, "q long, cand long, score double"))
+        # dealt by the query once; an id of two vectors keeps its better product
+        met = met.repartition("q").groupBy("q", "cand").agg(F.max("score").alias("score"))
+        near = Window.partitionBy("q").orderBy(F.desc("score"), "cand")
         return met.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1).drop("n")
 
     first = frozen(searched(asked, probes, tables), "found")
-    full = first.groupBy("vec").count().filter(F.col("count") > k)
-    short = asked.join(full, "vec", "left_anti")
+    full = first.groupBy("q").count().filter(F.col("count") > k)
+    short = frozen(asked.join(full, "q", "left_anti"), "short")
     if not short.isEmpty():
         second = searched(short, 2 * width, 1)
-        first = first.join(full, "vec", "left_semi").unionByName(second)
-    mine = queries.join(first, "vec").filter(F.col("id") != F.col("cand"))
+        first = first.join(full, "q", "left_semi").unionByName(second)
+    mine = queries.join(asked, "vec").select("id", "q").join(first, "q").filter(F.col("id") != F.col("cand"))
     near = Window.partitionBy("id").orderBy(F.desc("score"), "cand")
     return (mine.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
             .select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("cand").alias("vec_id"), "score"))
 
 
+def top_met(q: np.ndarray, y: np.ndarray, near: np.ndarray, at: np.ndarray, k: int):
+    """Per row of ``q``: the rows of ``y`` (with their exact inner products) that hold its ``k`` best among those it
+    meets, ties at the end included; all it meets if they are fewer. It meets a row whose axis ``at[t]`` is one of its ``near[t]``.
+
+    A fast product chooses: no row is left out whose exact product could be among the best by the bound of its error.
+    """
+    fast = q @ y.T
+    eps = (q.shape[1] + 16) * 1e-15 * np.linalg.norm(q, axis=1) * np.sqrt((y * y).sum(1).max())
+    sure = np.isfinite(fast).all(1) & np.isfinite(eps)
+    few = 4 * k + 16
+    some = np.argpartition(fast, len(y) - few, axis=1)[:, len(y) - few:] if len(y) > few else None
+
+    def met(j: int, rows: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(rows), bool)
+        for t in range(len(at)):
+            hit |= near[t, j][at[t, rows]]
+        return rows[hit]
+
+    every = np.arange(len(y))
+    for j in range(len(q)):
+        line, rows = fast[j], None
+        if some is not None and sure[j]:
+            rows = met(j, some[j])
+            if len(rows) < k or np.partition(line[rows], len(rows) - k)[len(rows) - k] <= line[some[j]].min() + 2 * eps[j]:
+                rows = None  # too few of the best are met: look at all
+        if rows is None:
+            rows = met(j, every)
+        if len(rows) > k and sure[j]:
+            rows = rows[line[rows] >= np.partition(line[rows], len(rows) - k)[len(rows) - k] - 2 * eps[j]]
+        yield rows, exact(q[j:j + 1], y[rows])[0]
+
+
 def exact(q: np.ndarray, y: np.ndarray) -> np.ndarray:
     """All inner products in double precision, each summed in the same order whatever block it is in."""
     return np.einsum("ij,kj->ik", q, y, optimize=False)
