@@ -61,7 +61,7 @@ def test_forgotten_tables_are_deleted(spark):
 def test_ndjson_is_written_small_and_read_as_before(spark, tmp_path):
     rows = spark.range(2000).select(F.concat(F.lit("ORD-"), "id").alias("ORDER_ID"), F.lit("2020-01-01").cast("date").alias("DAY"),
                                     F.when(F.col("id") % 3 > 0, F.col("id")).alias("N"))
-    store.write_jsonl(rows, str(tmp_path / "j"))
+    store.write_jsonl(rows, str(tmp_path / "j"), gzipped=True)
     files = [f for f in (tmp_path / "j").iterdir() if f.name.startswith("part-")]
     assert files and all(f.name.endswith(".json.gz") for f in files)
     assert sum(f.stat().st_size for f in files) * 3 < 2000 * 55
